@@ -32,33 +32,31 @@ def register(key: str, query: Query, sql: str | None = None) -> None:
         _SQL[key] = sql
 
 
+AREAS = ("funnel", "audit", "explore", "cohort", "rfm", "profit", "abtest", "ml")
+
+
 def _load() -> None:
+    """Each operator module lists its registered keys in ``QUERIES``; the
+    oracle module of the same area holds the SQL in ``SQL``."""
     if _QUERIES:
         return
-    from vitrine.operators import funnel
-    from vitrine.oracle import funnel_sql
-
-    for key in ("funnel_summary", "funnel_by_state", "funnel_by_category",
-                "funnel_by_category_distinct", "delay_root_cause", "monthly_performance",
-                "delay_rate_by_state"):
-        register(key, on_tables(getattr(funnel, key)), funnel_sql.SQL.get(key))
-
-    for mod in _extra_modules():
-        mod.register_all(register)
-
-
-def _extra_modules():
     import importlib
 
-    names = ["audit", "explore", "cohort", "rfm", "profit", "abtest", "ml"]
-    mods = []
-    for n in names:
+    for area in AREAS:
         try:
-            mods.append(importlib.import_module(f"vitrine.registry_{n}"))
+            ops = importlib.import_module(f"vitrine.operators.{area}")
         except ModuleNotFoundError as e:
-            if e.name != f"vitrine.registry_{n}":
+            if e.name != f"vitrine.operators.{area}":
                 raise
-    return mods
+            continue
+        try:
+            sql = importlib.import_module(f"vitrine.oracle.{area}_sql").SQL
+        except ModuleNotFoundError:
+            sql = {}
+        for key in ops.QUERIES:
+            fn = getattr(ops, key)
+            query = fn if getattr(fn, "takes_session", False) else on_tables(fn)
+            register(key, query, sql.get(key))
 
 
 def queries() -> dict[str, Query]:

@@ -20,6 +20,9 @@ from vitrine.operators.prepare import (
 )
 from vitrine.sources.tables import RetailTables
 
+QUERIES = ("funnel_summary", "funnel_by_state", "funnel_by_category", "funnel_by_category_distinct",
+           "delay_root_cause", "monthly_performance", "delay_rate_by_state")
+
 DELAY = F.col("delivery_delay_days")
 
 
