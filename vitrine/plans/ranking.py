@@ -109,3 +109,51 @@ def qcut_bin(x: Column, edges: Column) -> Column:
     value included: the number of edges strictly below ``x``. Duplicate edges
     leave empty bins instead of failing."""
     return F.size(F.filter(edges, lambda e: e < x)).cast("int")
+
+
+def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
+                      tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Exact per-group quantiles (linear interpolation), long form:
+    ``by..., i, p, q``.
+
+    One global rank over (by, value, tie-break); each group's rows are a
+    contiguous rank range, so the quantile rows are found by rank arithmetic.
+    No group is gathered into one task, whatever its size; the positions
+    frame has len(groups) x len(probs) rows and is broadcast.
+    """
+    spark = df.sparkSession
+    order = [F.col(c) for c in by] + [F.col(value).asc()] + [F.col(c) for c in tiebreak]
+    ranked = global_rank(df.where(F.col(value).isNotNull()).select(*by, *tiebreak, value), order, "_r")
+    stats = ranked.groupBy(*by).agg(F.min("_r").alias("_r0"), F.count(F.lit(1)).alias("_n"))
+    p = spark.createDataFrame([(i, float(x)) for i, x in enumerate(probs)], "i int, p double")
+    pos = (stats.crossJoin(F.broadcast(p))
+           .select(*by, "i", "p", (F.col("p") * (F.col("_n") - 1)).alias("_pos"), "_r0")
+           .select(*by, "i", "p", (F.col("_r0") + F.floor("_pos")).alias("_lo"),
+                   (F.col("_pos") - F.floor("_pos")).alias("_frac")))
+    vals = ranked.select("_r", F.col(value).cast("double").alias("_v"))
+    lo = vals.withColumnRenamed("_r", "_lo").withColumnRenamed("_v", "_vlo")
+    hi = vals.select((F.col("_r") - 1).alias("_lo"), F.col("_v").alias("_vhi"))
+    q = (F.broadcast(pos).join(lo, "_lo").join(hi, "_lo", "left")
+         .select(*by, "i", "p",
+                 F.when(F.col("_frac") == 0, F.col("_vlo"))
+                 .otherwise(F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("q")))
+    return q
+
+
+def rank_sum(df: DataFrame, value: str, is_first: Column, tiebreak: Sequence[str]) -> DataFrame:
+    """Sum of average ranks (ties share the mean rank) of the rows where
+    ``is_first`` holds, in the ranking of all rows by ``value``: the core of
+    the Mann-Whitney U statistic and of the exact ROC-AUC.
+
+    Returns one row: ``rank_sum``, ``n1``, ``n2`` and ``tie_term``
+    (Σ t³ - t over tie groups, for the variance correction).
+    """
+    base = df.select(F.col(value).alias("_x"), is_first.cast("int").alias("_g"), *tiebreak)
+    ranked = global_rank(base, [F.col("_x").asc(), *[F.col(c) for c in tiebreak]], "_r")
+    per_value = ranked.groupBy("_x").agg(F.min("_r").alias("_rmin"), F.count(F.lit(1)).alias("_t"),
+                                         F.sum("_g").alias("_t1"))
+    avg_rank = F.col("_rmin") + (F.col("_t") - 1) / 2.0
+    return per_value.agg(
+        F.sum(avg_rank * F.col("_t1")).alias("rank_sum"),
+        F.sum("_t1").alias("n1"), (F.sum("_t") - F.sum("_t1")).alias("n2"),
+        F.sum(F.col("_t").cast("double") ** 3 - F.col("_t")).alias("tie_term"))
