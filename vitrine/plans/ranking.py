@@ -157,3 +157,20 @@ def rank_sum(df: DataFrame, value: str, is_first: Column, tiebreak: Sequence[str
         F.sum(avg_rank * F.col("_t1")).alias("rank_sum"),
         F.sum("_t1").alias("n1"), (F.sum("_t") - F.sum("_t1")).alias("n2"),
         F.sum(F.col("_t").cast("double") ** 3 - F.col("_t")).alias("tie_term"))
+
+
+def global_cumsum(df: DataFrame, order: Sequence[Column], cols: Sequence[str], prefix: str = "cum_") -> DataFrame:
+    """Running sums of ``cols`` along a global order (inclusive), without a
+    single-partition window: per-partition totals become broadcast offsets
+    and each range partition is summed on its own."""
+    tagged = checkpoint(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+                        .withColumn("_pid", F.shiftright(F.col("_mid"), 33)))
+    totals = tagged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
+                                      for c in cols])
+    within = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    out = tagged.join(F.broadcast(offsets), "_pid")
+    for c in cols:
+        out = out.withColumn(prefix + c, F.col(f"_o_{c}") + F.sum(c).over(within))
+    return out.drop("_mid", "_pid", *[f"_o_{c}" for c in cols])
