@@ -32,7 +32,7 @@ def register(key: str, query: Query, sql: str | None = None) -> None:
         _SQL[key] = sql
 
 
-AREAS = ("funnel", "audit", "explore", "cohort", "rfm", "profit", "abtest", "ml")
+AREAS = ("funnel", "audit", "explore", "cohort", "rfm", "profit", "abtest", "ml", "models")
 
 
 def _load() -> None:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 
@@ -102,22 +103,22 @@ def normal_sf_two_sided(z) -> np.ndarray:
                      for v in np.asarray(z, dtype=float)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_sf_two_sided(t.to_numpy(), df.to_numpy()))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _t_q(q: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_ppf(q.to_numpy(), df.to_numpy()))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _chi2_p(x: pd.Series) -> pd.Series:
     return pd.Series(chi2_sf_1df(x.to_numpy()))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _norm_p(z: pd.Series) -> pd.Series:
     return pd.Series(normal_sf_two_sided(z.to_numpy()))
 
