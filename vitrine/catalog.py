@@ -32,7 +32,7 @@ def register(key: str, query: Query, sql: str | None = None) -> None:
         _SQL[key] = sql
 
 
-AREAS = ("funnel", "audit", "explore", "cohort", "rfm", "profit", "abtest", "ml", "models")
+AREAS = ("prepare", "funnel", "audit", "explore", "cohort", "rfm", "profit", "abtest", "ml", "models")
 
 
 def _load() -> None:
@@ -53,8 +53,8 @@ def _load() -> None:
             sql = importlib.import_module(f"vitrine.oracle.{area}_sql").SQL
         except ModuleNotFoundError:
             sql = {}
-        for key in ops.QUERIES:
-            fn = getattr(ops, key)
+        entries = ops.QUERIES.items() if isinstance(ops.QUERIES, dict) else [(k, getattr(ops, k)) for k in ops.QUERIES]
+        for key, fn in entries:
             query = fn if getattr(fn, "takes_session", False) else on_tables(fn)
             register(key, query, sql.get(key))
 

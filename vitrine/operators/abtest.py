@@ -29,7 +29,10 @@ QUERIES = ("ab_groups", "ab_summary", "ab_sample_check", "welch_test", "cohens_d
            "group_box_stats", "aov_histogram", "mann_whitney", "ab_pvalues")
 
 CTRL, TRT = "control", "treatment"
-X = F.col("payment_value")
+
+
+def _x():
+    return F.col("payment_value")
 
 
 def ab_frame(t: RetailTables, control=TEST_GROUPS["control"], treatment=TEST_GROUPS["treatment"],
@@ -44,12 +47,12 @@ def ab_frame(t: RetailTables, control=TEST_GROUPS["control"], treatment=TEST_GRO
     df = (t.orders.select("order_id", "customer_id", "order_status")
           .join(pay.select("order_id", "payment_value"), "order_id", "left")
           .join(t.customers, "customer_id", "left")
-          .where((F.col("order_status") == "delivered") & (X > 0)))
+          .where((F.col("order_status") == "delivered") & (_x() > 0)))
     state = F.col("customer_state")
     grp = F.when(state.isin(*control), F.lit(CTRL)).when(state.isin(*treatment), F.lit(TRT))
     return (df.withColumn("ab_group", grp).where(F.col("ab_group").isNotNull())
             .select("order_id", "customer_unique_id", "customer_state",
-                    X.cast("double").alias("payment_value"), "ab_group"))
+                    _x().cast("double").alias("payment_value"), "ab_group"))
 
 
 def ab_groups(t: RetailTables) -> DataFrame:
@@ -62,8 +65,8 @@ def _moments(df: DataFrame) -> DataFrame:
     c, tr = F.col("ab_group") == CTRL, F.col("ab_group") == TRT
     return df.agg(
         F.count_if(c).alias("n_c"), F.count_if(tr).alias("n_t"),
-        F.avg(F.when(c, X)).alias("m_c"), F.avg(F.when(tr, X)).alias("m_t"),
-        F.var_samp(F.when(c, X)).alias("v_c"), F.var_samp(F.when(tr, X)).alias("v_t"))
+        F.avg(F.when(c, _x())).alias("m_c"), F.avg(F.when(tr, _x())).alias("m_t"),
+        F.var_samp(F.when(c, _x())).alias("v_c"), F.var_samp(F.when(tr, _x())).alias("v_t"))
 
 
 def ab_summary(t: RetailTables) -> DataFrame:
@@ -71,8 +74,8 @@ def ab_summary(t: RetailTables) -> DataFrame:
     df = ab_frame(t)
     med = grouped_quantiles(df, "payment_value", [0.5], ["ab_group"], ["order_id"]).select("ab_group", "q")
     g = df.groupBy("ab_group").agg(
-        F.count(F.lit(1)).alias("count"), F.avg(X).alias("_mean"), F.stddev_samp(X).alias("_std"),
-        F.min(X).alias("_min"), F.max(X).alias("_max"))
+        F.count(F.lit(1)).alias("count"), F.avg(_x()).alias("_mean"), F.stddev_samp(_x()).alias("_std"),
+        F.min(_x()).alias("_min"), F.max(_x()).alias("_max"))
     return g.join(med, "ab_group").select(
         "ab_group", "count", rnd("_mean", 2).alias("mean"), rnd("q", 2).alias("median"),
         rnd("_std", 2).alias("std"), rnd("_min", 2).alias("min"), rnd("_max", 2).alias("max"))
@@ -150,7 +153,7 @@ def conversion_chi2(t: RetailTables, exposure_factor: float = 1.5) -> DataFrame:
 
 def _threshold_counts(t: RetailTables, threshold) -> DataFrame:
     df = ab_frame(t)
-    c, tr, up = F.col("ab_group") == CTRL, F.col("ab_group") == TRT, X >= threshold
+    c, tr, up = F.col("ab_group") == CTRL, F.col("ab_group") == TRT, _x() >= threshold
     return df.agg(F.count_if(c & up).alias("ca"), F.count_if(c & ~up).alias("cb"),
                   F.count_if(tr & up).alias("ta"), F.count_if(tr & ~up).alias("tb"))
 
@@ -268,8 +271,8 @@ def remove_group_overlap(t: RetailTables) -> DataFrame:
 
 def group_mean_ci(t: RetailTables) -> DataFrame:
     """AB15: mean ± 1.96 standard errors per group (error-bar data)."""
-    g = ab_frame(t).groupBy("ab_group").agg(F.avg(X).alias("_m"),
-                                            (F.stddev_samp(X) / F.sqrt(F.count(F.lit(1)))).alias("_sem"))
+    g = ab_frame(t).groupBy("ab_group").agg(F.avg(_x()).alias("_m"),
+                                            (F.stddev_samp(_x()) / F.sqrt(F.count(F.lit(1)))).alias("_sem"))
     return g.select("ab_group", rnd("_m", 4).alias("mean"), rnd("_sem", 6).alias("sem"),
                     rnd(F.col("_m") - 1.96 * F.col("_sem"), 4).alias("ci_low"),
                     rnd(F.col("_m") + 1.96 * F.col("_sem"), 4).alias("ci_high"))
@@ -284,9 +287,9 @@ def group_box_stats(t: RetailTables) -> DataFrame:
                                      for i, n in enumerate(["q1", "median", "q3"])])
     iqr = F.col("q3") - F.col("q1")
     qs = qs.select("*", (F.col("q1") - 1.5 * iqr).alias("_lf"), (F.col("q3") + 1.5 * iqr).alias("_uf"))
-    inside = (X >= F.col("_lf")) & (X <= F.col("_uf"))
+    inside = (_x() >= F.col("_lf")) & (_x() <= F.col("_uf"))
     w = df.join(F.broadcast(qs), "ab_group").groupBy("ab_group", "q1", "median", "q3").agg(
-        F.min(F.when(inside, X)).alias("whisker_low"), F.max(F.when(inside, X)).alias("whisker_high"),
+        F.min(F.when(inside, _x())).alias("whisker_low"), F.max(F.when(inside, _x())).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"))
     return w.select("ab_group", rnd("q1", 4).alias("q1"), rnd("median", 4).alias("median"),
                     rnd("q3", 4).alias("q3"), rnd("whisker_low", 4).alias("whisker_low"),
@@ -295,7 +298,7 @@ def group_box_stats(t: RetailTables) -> DataFrame:
 
 def aov_histogram(t: RetailTables, bins: int = 50) -> DataFrame:
     """AB17: 50 equal-width bins of order value per group."""
-    return equal_width_histogram(ab_frame(t), X, bins, by=["ab_group"])
+    return equal_width_histogram(ab_frame(t), _x(), bins, by=["ab_group"])
 
 
 def _mann_whitney(t: RetailTables) -> DataFrame:

@@ -57,13 +57,20 @@ def null_profile(t: RetailTables) -> DataFrame:
 
 
 def shape_profile(t: RetailTables) -> DataFrame:
-    """AUD4: rows and columns of every table and of the denormalised frame."""
-    frames = [(name, getattr(t, attr)) for attr, name in REPORT_NAMES.items()]
-    frames.append(("main", denormalise_orders(t)))
-    return reduce(DataFrame.unionByName, [
-        df.agg(F.count(F.lit(1)).alias("n_rows"))
-          .select(F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
-        for name, df in frames])
+    """AUD4: rows and columns of every table and of the notebook's wide
+    frame. The wide frame's row count is Σ items x payments x reviews per
+    order (``explore.order_weights``); its column count is read from the
+    plan's schema; the frame itself is never produced."""
+    from vitrine.operators.explore import order_weights
+
+    parts = [getattr(t, attr).agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(name).alias("table_name"), "n_rows", F.lit(len(getattr(t, attr).columns)).alias("n_columns"))
+             for attr, name in REPORT_NAMES.items()]
+    wide_cols = len(denormalise_orders(t, mode="raw").columns)
+    w = (order_weights(t).join(t.customers.select("customer_id"), "customer_id", "left")
+         .agg(F.sum("w").alias("n_rows"))
+         .select(F.lit("main").alias("table_name"), "n_rows", F.lit(wide_cols).alias("n_columns")))
+    return reduce(DataFrame.unionByName, parts + [w])
 
 
 def schema_profile(t: RetailTables) -> DataFrame:

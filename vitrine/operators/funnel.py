@@ -23,14 +23,17 @@ from vitrine.sources.tables import RetailTables
 QUERIES = ("funnel_summary", "funnel_by_state", "funnel_by_category", "funnel_by_category_distinct",
            "delay_root_cause", "monthly_performance", "delay_rate_by_state")
 
-DELAY = F.col("delivery_delay_days")
+
+
+def _delay():
+    return F.col("delivery_delay_days")
 
 
 def funnel_summary(t: RetailTables, excluded=DEFAULT_EXCLUDED) -> DataFrame:
     """FU1: stage counts and stage percentages in one pass over orders."""
     o = orders_enriched(t)
     delivered = F.col("order_delivered_customer_date").isNotNull()
-    on_time = delivered & (DELAY <= 0)
+    on_time = delivered & (_delay() <= 0)
     agg = o.agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.count_if(F.coalesce(active_status(excluded=excluded), F.lit(False))).alias("valid_orders"),
@@ -58,10 +61,10 @@ def funnel_by_state(t: RetailTables) -> DataFrame:
     rows = _weighted(o.join(t.customers, "customer_id")
                      .join(review_stats(t.reviews), "order_id", "left"))
     m = F.col("m")
-    late_w = F.sum(F.when(DELAY > 0, m).otherwise(0))
+    late_w = F.sum(F.when(_delay() > 0, m).otherwise(0))
     agg = rows.groupBy(F.col("customer_state").alias("state")).agg(
         F.count_distinct("order_id").alias("total_orders"),
-        (F.sum(DELAY * m) / F.sum(F.when(DELAY.isNotNull(), m))).alias("_avg_delay"),
+        (F.sum(_delay() * m) / F.sum(F.when(_delay().isNotNull(), m))).alias("_avg_delay"),
         late_w.alias("late_orders"),
         F.sum(m).alias("_rows"),
         (F.sum("sum_score") / F.sum("n_scored")).alias("_avg_review"),
@@ -91,8 +94,8 @@ def funnel_by_category(t: RetailTables, excluded=DEFAULT_EXCLUDED, min_orders: i
         F.count_distinct("order_id").alias("total_orders"),
         F.sum(F.col("price") * m).alias("_revenue"),
         F.sum(m).alias("_rows"),
-        (F.sum(DELAY * m) / F.sum(F.when(DELAY.isNotNull(), m))).alias("_avg_delay"),
-        F.sum(F.when(DELAY > 0, m).otherwise(0)).alias("late_orders"),
+        (F.sum(_delay() * m) / F.sum(F.when(_delay().isNotNull(), m))).alias("_avg_delay"),
+        F.sum(F.when(_delay() > 0, m).otherwise(0)).alias("late_orders"),
         (F.sum("sum_score") / F.sum("n_scored")).alias("_avg_review"),
     ).where(F.col("total_orders") > min_orders)
     out = agg.select(
@@ -195,7 +198,7 @@ def monthly_performance(t: RetailTables, excluded=DEFAULT_EXCLUDED) -> DataFrame
         F.sum(F.col("price") * m).alias("_revenue"),
         F.sum(n * m).alias("_rows"),
         (F.sum(F.col("sum_score") * n) / F.sum(F.col("n_scored") * n)).alias("_avg_review"),
-        F.sum(F.when(DELAY > 0, n * m).otherwise(0)).alias("late_orders"),
+        F.sum(F.when(_delay() > 0, n * m).otherwise(0)).alias("late_orders"),
     )
     return agg.select(
         "month", "total_orders", "unique_customers", rnd("_revenue", 2).alias("total_revenue"),

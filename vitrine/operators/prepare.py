@@ -103,10 +103,12 @@ def fill_unknown(df: DataFrame, column: str, value: str = "Unknown") -> DataFram
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
 
 
-def median_impute(df: DataFrame, column: str) -> DataFrame:
-    """PRP13: null -> exact column median. The median is a 1-row global
-    aggregate (partial aggregation, bounded), broadcast back."""
-    med = df.agg(F.median(column).alias("_median"))
+def median_impute(df: DataFrame, column: str, tiebreak: list[str] | None = None) -> DataFrame:
+    """PRP13: null -> exact column median (linear interpolation), found by a
+    global rank (no single task holds the column) and broadcast as 1 row."""
+    from vitrine.plans.ranking import grouped_quantiles
+
+    med = grouped_quantiles(df, column, [0.5], [], tiebreak or []).select(F.col("q").alias("_median"))
     return (df.crossJoin(F.broadcast(med))
             .withColumn(column, F.coalesce(F.col(column), F.col("_median")))
             .drop("_median"))
@@ -137,13 +139,102 @@ def items_with_category(t: RetailTables) -> DataFrame:
     return t.items.join(prod, "product_id", "inner")
 
 
-def denormalise_orders(t: RetailTables) -> DataFrame:
+def denormalise_orders(t: RetailTables, mode: str = "rollup") -> DataFrame:
     """PRP4: orders ⟕ customers ⟕ items ⟕ payments ⟕ products ⟕ reviews ⟕
-    sellers, fan-out kept on purpose (it is the reference's wide frame)."""
+    sellers.
+
+    ``mode='rollup'`` (default) joins payments and reviews as per-order
+    rollups: one row per order item, nothing multiplied. ``mode='raw'`` is
+    the notebook's frame, where an order repeats items x payments x reviews
+    times; statistics over that frame are better taken from
+    ``explore.order_weights``, which counts the repeats without producing them.
+    """
+    if mode == "raw":
+        return (t.orders
+                .join(t.customers, "customer_id", "left")
+                .join(t.items, "order_id", "left")
+                .join(t.payments, "order_id", "left")
+                .join(t.products, "product_id", "left")
+                .join(t.reviews, "order_id", "left")
+                .join(t.sellers, "seller_id", "left"))
+    pay = t.payments.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("n_payments"), F.sum("payment_value").alias("payment_value"),
+        F.min_by("payment_type", "payment_sequential").alias("payment_type"))
+    rev = review_stats(t.reviews).select("order_id", "n_rev", "avg_score").join(
+        latest_review_per_order(t.reviews), "order_id")
     return (t.orders
             .join(t.customers, "customer_id", "left")
             .join(t.items, "order_id", "left")
-            .join(t.payments, "order_id", "left")
+            .join(pay, "order_id", "left")
             .join(t.products, "product_id", "left")
-            .join(t.reviews, "order_id", "left")
+            .join(rev, "order_id", "left")
             .join(t.sellers, "seller_id", "left"))
+
+
+# ------------------------------------------------------------ registered
+def _q_denormalised(t: RetailTables) -> DataFrame:
+    """PRP4 as a query: one row per order item with per-order rollups."""
+    return denormalise_orders(t).select(
+        "order_id", "order_item_id", "customer_state", "product_category_name", "seller_state",
+        F.col("price").cast("double").alias("price"), F.col("payment_value").cast("double").alias("payment_value"),
+        "n_payments", "payment_type", "n_rev", "review_score")
+
+
+def _q_dedup(t: RetailTables) -> DataFrame:
+    """PRP5 as a query: one row per (order, item); orders without items once."""
+    wide = (denormalise_orders(t).select("order_id", "order_item_id", "price", "freight_value")
+            .withColumn("payment_sequential", F.lit(1)).withColumn("review_id", F.lit(1)))
+    return dedup_order_items(wide).select("order_id", "order_item_id",
+                                          F.col("price").cast("double").alias("price"),
+                                          F.col("freight_value").cast("double").alias("freight_value"))
+
+
+def _q_latest_review(t: RetailTables) -> DataFrame:
+    return latest_review_per_order(t.reviews)
+
+
+def _q_items(t: RetailTables) -> DataFrame:
+    return items_per_order(t.items).select(
+        "order_id", F.col("price").cast("double").alias("price"),
+        F.col("freight_value").cast("double").alias("freight_value"), "item_count", "product_id")
+
+
+def _q_payments(t: RetailTables) -> DataFrame:
+    return payments_per_order(t.payments).select(
+        "order_id", F.col("payment_value").cast("double").alias("payment_value"), "payment_type", "voucher_used")
+
+
+def _q_payments_mode(t: RetailTables) -> DataFrame:
+    return payments_per_order_mode(t.payments).select(
+        "order_id", F.col("payment_value").cast("double").alias("payment_value"), "payment_installments",
+        "payment_type")
+
+
+def _q_enriched(t: RetailTables) -> DataFrame:
+    """PRP1-PRP3 + PRP10: valid orders with both delay definitions and month."""
+    o = add_delay_floor(valid_orders(orders_enriched(t)), "delay_days_floor")
+    return o.select("order_id", "order_status", "delivery_delay_days", "delay_days_floor", "order_month")
+
+
+def _q_sql_preview(t: RetailTables) -> DataFrame:
+    """SRC4-SRC6: the tables as temp views, a SQL string run by ``spark.sql``,
+    a deterministic 10-row preview of the derived columns."""
+    spark = t.orders.sparkSession
+    t.register_views()
+    return spark.sql("""
+        SELECT order_id, date_format(order_purchase_timestamp, 'yyyy-MM') AS order_month,
+               datediff(to_date(order_delivered_customer_date), to_date(order_estimated_delivery_date))
+                 AS delivery_delay_days
+        FROM r_orders ORDER BY order_id LIMIT 10""")
+
+
+QUERIES = {
+    "denormalised_orders": _q_denormalised,
+    "dedup_order_items": _q_dedup,
+    "latest_review_per_order": _q_latest_review,
+    "items_per_order": _q_items,
+    "payments_per_order": _q_payments,
+    "payments_per_order_mode": _q_payments_mode,
+    "orders_enriched": _q_enriched,
+    "sql_preview": _q_sql_preview,
+}

@@ -41,7 +41,8 @@ TREATMENT_STATES = ("PR", "SC", "RS")
 TEST_GROUPS = {"control": tuple(f"NATION_{i}" for i in range(4)),
                "treatment": tuple(f"NATION_{i}" for i in range(4, 7))}
 
-ZERO = F.lit(Decimal("0"))
+def _zero():
+    return F.lit(Decimal("0"))
 
 
 # --------------------------------------------------------------- item models
@@ -110,7 +111,7 @@ def order_item_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, top: int = 100
     v = (rows.select("order_id", "customer_state", "category", "price", "freight_value",
                      F.explode(variants).alias("_v"))
          .where(F.col("_v.k") > 0))
-    disc = F.when(F.col("_v.low"), F.col("price") * cost.lit("discount_rate")).otherwise(ZERO)
+    disc = F.when(F.col("_v.low"), F.col("price") * cost.lit("discount_rate")).otherwise(_zero())
     ship = cost.item_shipping()
     profit = F.col("price") - ship - disc - cost.lit("operational_cost")
     shaped = v.select(
@@ -388,7 +389,7 @@ def threshold_sweep(t: RetailTables, treatment=TEST_GROUPS["treatment"],
         F.avg(F.when(q, pay)).alias("_avg_q"))
     return g.select("threshold", "qualifying_orders",
                     rnd(F.col("qualifying_orders") * 100.0 / F.col("_n"), 1).alias("pct_qualifying"),
-                    rnd(F.coalesce(F.col("_avg_q") * cost.lit("shipping_rate"), ZERO), 2).alias("avg_shipping_absorbed"))
+                    rnd(F.coalesce(F.col("_avg_q") * cost.lit("shipping_rate"), _zero()), 2).alias("avg_shipping_absorbed"))
 
 
 def breakeven_order_value(t: RetailTables, control=TEST_GROUPS["control"],

@@ -18,44 +18,58 @@ from vitrine.sources.tables import RetailTables
 QUERIES = ("rfm_base", "rfm_scores", "rfm_segments", "rfm_segment_summary", "rfm_segments_short",
            "rfm_qcut_segments", "rfm_profit_summary")
 
-R, Fq, M = F.col("r_score"), F.col("f_score"), F.col("m_score")
+
+def R():
+    return F.col("r_score")
+
+
+def Fq():
+    return F.col("f_score")
+
+
+def M():
+    return F.col("m_score")
+
 
 # Fixed segment rules of the workload, evaluated in order (first match wins):
 # (label, recommended strategy, condition).
 SEGMENTS_8 = [
-    ("Champions", "VIP loyalty program + early access to new products", (R >= 4) & (Fq >= 4) & (M >= 4)),
-    ("Loyal Customers", "Points & cashback rewards, upsell premium categories", (R >= 3) & (Fq >= 3)),
-    ("New Customers", "Onboarding email series + free shipping on 2nd order", (R >= 4) & (Fq <= 2)),
-    ("At Risk", "Win-back campaign: 15% discount + personalised recommendation", (R <= 2) & (Fq >= 4)),
-    ("Cant Lose Them", "Urgent re-engagement: big discount + remind of past purchases", (R <= 2) & (Fq >= 3)),
-    ("Lost", "Survey + 30% off voucher, otherwise write off", (R <= 1) & (Fq <= 2)),
-    ("Potential Loyalists", "Nurture with curated content + 2nd purchase incentive", (R >= 3) & (Fq <= 2)),
+    ("Champions", "VIP loyalty program + early access to new products",
+     "r_score >= 4 AND f_score >= 4 AND m_score >= 4"),
+    ("Loyal Customers", "Points & cashback rewards, upsell premium categories", "r_score >= 3 AND f_score >= 3"),
+    ("New Customers", "Onboarding email series + free shipping on 2nd order", "r_score >= 4 AND f_score <= 2"),
+    ("At Risk", "Win-back campaign: 15% discount + personalised recommendation", "r_score <= 2 AND f_score >= 4"),
+    ("Cant Lose Them", "Urgent re-engagement: big discount + remind of past purchases",
+     "r_score <= 2 AND f_score >= 3"),
+    ("Lost", "Survey + 30% off voucher, otherwise write off", "r_score <= 1 AND f_score <= 2"),
+    ("Potential Loyalists", "Nurture with curated content + 2nd purchase incentive", "r_score >= 3 AND f_score <= 2"),
 ]
 SEGMENT_8_DEFAULT = ("Needs Attention", "Flash sale offer + review request email")
 
 SEGMENTS_5 = [
-    ("Champions", (R >= 4) & (Fq >= 4) & (M >= 4)),
-    ("Loyal Customers", (R >= 3) & (Fq >= 3)),
-    ("New Customers", (R >= 4) & (Fq <= 2)),
-    ("At Risk", (R <= 2) & (Fq >= 4)),
+    ("Champions", "r_score >= 4 AND f_score >= 4 AND m_score >= 4"),
+    ("Loyal Customers", "r_score >= 3 AND f_score >= 3"),
+    ("New Customers", "r_score >= 4 AND f_score <= 2"),
+    ("At Risk", "r_score <= 2 AND f_score >= 4"),
 ]
 SEGMENT_5_DEFAULT = "Needs Attention"
 
 SEGMENTS_QCUT = [
-    ("Champions", (R >= 4) & (Fq >= 4)),
-    ("Loyal Customers", (R >= 3) & (Fq >= 3)),
-    ("Recent Customers", (R >= 4) & (Fq <= 2)),
-    ("At Risk (High Value)", (R <= 2) & (M >= 4)),
-    ("Lost (Low Value)", (R <= 2) & (M <= 2)),
+    ("Champions", "r_score >= 4 AND f_score >= 4"),
+    ("Loyal Customers", "r_score >= 3 AND f_score >= 3"),
+    ("Recent Customers", "r_score >= 4 AND f_score <= 2"),
+    ("At Risk (High Value)", "r_score <= 2 AND m_score >= 4"),
+    ("Lost (Low Value)", "r_score <= 2 AND m_score <= 2"),
 ]
 SEGMENT_QCUT_DEFAULT = "Potential Loyalists"
 
 
 def first_match(rules, default) -> Column:
-    """Ordered CASE: the first rule whose condition holds gives the value."""
+    """Ordered CASE: the first rule whose condition (SQL predicate) holds
+    gives the value."""
     expr = F.lit(default)
     for value, cond in reversed(rules):
-        expr = F.when(cond, F.lit(value)).otherwise(expr)
+        expr = F.when(F.expr(cond), F.lit(value)).otherwise(expr)
     return expr
 
 
@@ -112,8 +126,8 @@ def rfm_base(t: RetailTables, top: int = 20) -> DataFrame:
 def rfm_scores(t: RetailTables, top: int = 50) -> DataFrame:
     """RF2: scores and the 'r-f-m' string; the ``top`` by m, f, r."""
     s = rfm_scored(t, by_state=True)
-    s = s.withColumn("rfm_score", F.concat_ws("-", R, Fq, M))
-    s = s.orderBy(M.desc(), Fq.desc(), R.desc(), "customer_unique_id", "customer_state").limit(top)
+    s = s.withColumn("rfm_score", F.concat_ws("-", R(), Fq(), M()))
+    s = s.orderBy(M().desc(), Fq().desc(), R().desc(), "customer_unique_id", "customer_state").limit(top)
     return _out(s, True, ("r_score", "f_score", "m_score", "rfm_score"))
 
 
@@ -190,7 +204,7 @@ def rfm_qcut_segments(t: RetailTables) -> DataFrame:
     return s.select(
         "customer_unique_id", "recency", "frequency",
         rnd("monetary", 2).alias("monetary"), rnd("total_profit", 2).alias("total_profit"),
-        "r_score", "f_score", "m_score", F.concat(R, Fq, M).alias("rfm_score"),
+        "r_score", "f_score", "m_score", F.concat(R(), Fq(), M()).alias("rfm_score"),
         first_match(SEGMENTS_QCUT, SEGMENT_QCUT_DEFAULT).alias("segment"))
 
 
