@@ -21,11 +21,18 @@ def test_every_oracle_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_query_matches_oracle(spark, con, key):
-    s = QUERIES[key](spark, SF_SMALL).toPandas()
-    d = con.execute(SQL[key]).df()
-    ok, msg = compare(s, d)
+    df = QUERIES[key](spark, SF_SMALL)
+    rel = con.execute(SQL[key])
+    # same column names and the same value types on both sides
+    duck_types = {d[0]: str(d[1]) for d in rel.description}
+    for f in df.schema.fields:
+        assert TYPES.get(f.dataType.simpleString()) == duck_types.get(f.name), (f.name, f.dataType, duck_types)
+    ok, msg = compare(df.toPandas(), rel.df())
     assert ok, msg
 
 

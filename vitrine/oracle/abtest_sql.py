@@ -89,7 +89,7 @@ SELECT n_c, n_t, {R('m_c', 4)} AS mean_control, {R('m_t', 4)} AS mean_treatment,
   {R('(m_t / m_c - 1) * 100', 4)} AS lift_pct, {R(_T, 6)} AS t_stat, {R(_DF, 4)} AS welch_df FROM mo""", AB),
     "cohens_d": with_views(f"SELECT {R('sqrt((v_c + v_t) / 2)', 6)} AS pooled_std, {R(_D, 6)} AS cohens_d FROM mo", AB),
     "conversion_chi2": with_views(f"""
-SELECT cc AS control_converted, ct AS control_total, tc AS treatment_converted, tt AS treatment_total,
+SELECT CAST(cc AS BIGINT) AS control_converted, ct AS control_total, CAST(tc AS BIGINT) AS treatment_converted, tt AS treatment_total,
   {R('cc / ct', 6)} AS control_rate, {R('tc / tt', 6)} AS treatment_rate,
   {R('(tc / tt - cc / ct) * 100', 4)} AS lift_pp, {R(yates('CAST(cc AS DOUBLE)', '(ct - cc)', 'tc', '(tt - tc)'), 6)} AS chi2
 FROM cv2""", AB + ",\n" + CONV),

@@ -45,12 +45,12 @@ FROM r_payments p LEFT JOIN (SELECT order_id, payment_type FROM (
 GROUP BY p.order_id"""),
     "orders_enriched": with_views("""
 SELECT order_id, order_status,
-  datediff('day', CAST(order_estimated_delivery_date AS DATE), CAST(order_delivered_customer_date AS DATE)) AS delivery_delay_days,
+  CAST(datediff('day', CAST(order_estimated_delivery_date AS DATE), CAST(order_delivered_customer_date AS DATE)) AS INTEGER) AS delivery_delay_days,
   CAST(floor(datediff('second', order_estimated_delivery_date, order_delivered_customer_date) / 86400) AS INT) AS delay_days_floor,
   strftime(order_purchase_timestamp, '%Y-%m') AS order_month
 FROM r_orders WHERE order_status NOT IN ('canceled', 'unavailable')"""),
     "sql_preview": with_views("""
 SELECT order_id, strftime(order_purchase_timestamp, '%Y-%m') AS order_month,
-  datediff('day', CAST(order_estimated_delivery_date AS DATE), CAST(order_delivered_customer_date AS DATE)) AS delivery_delay_days
+  CAST(datediff('day', CAST(order_estimated_delivery_date AS DATE), CAST(order_delivered_customer_date AS DATE)) AS INTEGER) AS delivery_delay_days
 FROM r_orders ORDER BY order_id LIMIT 10"""),
 }
