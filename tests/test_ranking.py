@@ -93,3 +93,43 @@ def test_no_single_partition_window_over_detail_rows(spark, tables_small):
 
     plan = rfm_segments(tables_small)._jdf.queryExecution().executedPlan().toString()
     assert "ntile" not in plan.lower()
+
+
+def test_hot_key_spreads_over_partitions(many_parts):
+    """A value held by a third of the rows must not land in one task: the
+    range exchange orders on (value, tie-break), so the hot value is split."""
+    n = 30000
+    df = many_parts.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 1000).alias("k"), "id")
+    sorted_parts = df.orderBy("k", "id").select(F.spark_partition_id().alias("p"), "k")
+    hot = sorted_parts.where("k = 7").groupBy("p").count().collect()
+    assert len(hot) >= 2                       # the hot value spans several tasks
+    assert max(r["count"] for r in hot) < n / 3  # and none of them holds it all
+    ranked = global_rank(df, [F.col("k"), F.col("id")], "r")
+    assert ranked.agg(F.countDistinct("r")).first()[0] == n
+
+
+def test_item_numbering_with_a_hot_order(many_parts):
+    """order_item_id for an order holding a third of all lines is still
+    1..n within the order (global rank minus the order's first rank)."""
+    from vitrine.sources.tables import tpch_views
+
+    n = 3000
+    li = many_parts.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") + 10).cast("long").alias("l_orderkey"),
+        (F.col("id") % 7).cast("long").alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"),
+        F.col("id").cast("int").alias("l_linenumber"), F.lit(1.0).alias("l_quantity"),
+        (F.col("id") * 1.5 + 100).alias("l_extendedprice"), F.lit(0.0).alias("l_discount"),
+        F.lit(0.0).alias("l_tax"), F.lit("N").alias("l_returnflag"), F.lit("O").alias("l_linestatus"),
+        F.lit("2020-01-01").cast("timestamp_ntz").alias("l_shipdate"))
+    empty = {k: many_parts.createDataFrame([], s) for k, s in {
+        "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                  "o_orderdate timestamp_ntz, o_orderpriority string",
+        "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+        "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+        "nation": "n_nationkey int, n_name string, n_regionkey int",
+        "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"}.items()}
+    items = tpch_views({"lineitem": li, **empty})["items"]
+    hot = items.where("order_id = 1").agg(F.min("order_item_id"), F.max("order_item_id"),
+                                          F.countDistinct("order_item_id")).first()
+    assert tuple(hot) == (1, n // 3, n // 3)
