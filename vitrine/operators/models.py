@@ -64,6 +64,35 @@ def _cached(t: RetailTables, name: str, build):
     return _CACHE[k]
 
 
+def _fit_root(t: RetailTables, name: str) -> str:
+    import hashlib
+    import sys
+
+    from vitrine import session
+
+    files = sorted(f for df in t.as_dict().values() for f in df.inputFiles())
+    data = hashlib.sha1("|".join(files).encode()).hexdigest()[:16]
+    version = session.code_version(sys.modules[__name__], sys.modules["vitrine.operators.ml"])
+    return f"{session.shared_dir(t.orders.sparkSession)}/vitrine-models/{data}-{version}/{name.replace(':', '_')}"
+
+
+def _persisted_fit(t: RetailTables, name: str, build) -> tuple[PipelineModel, DataFrame]:
+    """Fit once per input and code version: the fitted pipeline (SNK3) and
+    its scores are written to the shared checkpoint folder and reloaded by
+    later calls and later sessions instead of retraining."""
+    from vitrine import session
+    from vitrine.sources.sinks import load_model, save_model
+
+    spark = t.orders.sparkSession
+    root = _fit_root(t, name)
+    if not session.path_exists(spark, f"{root}/_COMPLETE"):
+        model, scored = build()
+        save_model(model, f"{root}/model")
+        scored.write.mode("overwrite").parquet(f"{root}/scored")
+        session.touch(spark, f"{root}/_COMPLETE")
+    return load_model(f"{root}/model"), spark.read.parquet(f"{root}/scored")
+
+
 def _prob(col: str = "probability"):
     return vector_to_array(F.col(col))[1]
 
@@ -113,7 +142,7 @@ def _fit_churn(t: RetailTables, name: str) -> tuple[PipelineModel, DataFrame]:
 
 
 def fit_churn(t: RetailTables, name: str) -> tuple[PipelineModel, DataFrame]:
-    return _cached(t, f"churn:{name}", lambda: _fit_churn(t, name))
+    return _cached(t, f"churn:{name}", lambda: _persisted_fit(t, f"churn:{name}", lambda: _fit_churn(t, name)))
 
 
 def _churn_query(name: str):
@@ -241,7 +270,7 @@ def _fit_clv(t: RetailTables) -> tuple[PipelineModel, DataFrame]:
 
 
 def fit_clv(t: RetailTables):
-    return _cached(t, "clv", lambda: _fit_clv(t))
+    return _cached(t, "clv", lambda: _persisted_fit(t, "clv", lambda: _fit_clv(t)))
 
 
 def clv_model(t: RetailTables) -> DataFrame:
@@ -305,7 +334,7 @@ def _fit_delay(t: RetailTables) -> tuple[PipelineModel, DataFrame]:
 
 
 def fit_delay(t: RetailTables):
-    return _cached(t, "delay", lambda: _fit_delay(t))
+    return _cached(t, "delay", lambda: _persisted_fit(t, "delay", lambda: _fit_delay(t)))
 
 
 def delay_model(t: RetailTables) -> DataFrame:

@@ -77,3 +77,43 @@ def resolve_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="vitrine-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Root of the shared checkpoint folder as configured (without the
+    per-context subfolder ``setCheckpointDir`` adds), so that tables and
+    models derived once can be found again by later sessions."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    return resolve_checkpoint_dir(spark).rstrip("/")
+
+
+def code_version(*modules) -> str:
+    """Short hash of the given modules' source: part of every derived-data
+    key, so output written by older code is never reused."""
+    import hashlib
+    import inspect
+
+    h = hashlib.sha1()
+    for m in modules:
+        h.update(inspect.getsource(m).encode())
+    return h.hexdigest()[:10]
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Write an empty marker file (the last step of a completed output)."""
+    p, fs = _fs(spark, path)
+    fs.create(p, True).close()

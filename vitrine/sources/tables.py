@@ -218,10 +218,16 @@ _MATERIALIZED: dict = {}
 
 def materialized_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Derive the retail views once and keep them as Parquet tables in the
-    shared checkpoint folder; reuse them while the inputs are unchanged."""
-    from vitrine.session import resolve_checkpoint_dir
+    shared checkpoint folder; reuse them (in this or a later session) while
+    the inputs and the deriving code are unchanged."""
+    import vitrine.plans.ranking  # noqa: F401  (part of the version key)
 
-    root = f"{resolve_checkpoint_dir(spark).rstrip('/')}/vitrine-tables/{_fingerprint(spark, sf_dir)}"
+    import sys
+
+    from vitrine import session
+
+    version = session.code_version(sys.modules[__name__], sys.modules["vitrine.plans.ranking"])
+    root = f"{session.shared_dir(spark)}/vitrine-tables/{_fingerprint(spark, sf_dir)}-{version}"
     key = (spark.sparkContext.applicationId, root)
     if key not in _MATERIALIZED:
         jvm = spark.sparkContext._jvm
