@@ -26,7 +26,7 @@ from vitrine.sources.tables import RetailTables
 QUERIES = ("ab_groups", "ab_summary", "ab_sample_check", "welch_test", "cohens_d", "mean_diff_ci",
            "conversion_chi2", "threshold_chi2", "cohens_h", "proportion_diff_ci", "bonferroni",
            "effect_size_summary", "group_overlap", "remove_group_overlap", "group_mean_ci",
-           "group_box_stats", "aov_histogram", "mann_whitney", "ab_pvalues")
+           "group_box_stats", "aov_histogram", "mann_whitney", "ab_pvalues", "ab_summary_payment_rows")
 
 CTRL, TRT = "control", "treatment"
 
@@ -45,13 +45,15 @@ def ab_frame(t: RetailTables, control=TEST_GROUPS["control"], treatment=TEST_GRO
     elif unit != "payment_row":
         raise ValueError(f"unit must be 'order' or 'payment_row', not {unit!r}")
     df = (t.orders.select("order_id", "customer_id", "order_status")
-          .join(pay.select("order_id", "payment_value"), "order_id", "left")
+          .join(pay.select("order_id", *(["payment_sequential"] if unit == "payment_row" else []),
+                           "payment_value"), "order_id", "left")
           .join(t.customers, "customer_id", "left")
           .where((F.col("order_status") == "delivered") & (_x() > 0)))
     state = F.col("customer_state")
     grp = F.when(state.isin(*control), F.lit(CTRL)).when(state.isin(*treatment), F.lit(TRT))
+    extra = ["payment_sequential"] if unit == "payment_row" else []
     return (df.withColumn("ab_group", grp).where(F.col("ab_group").isNotNull())
-            .select("order_id", "customer_unique_id", "customer_state",
+            .select("order_id", *extra, "customer_unique_id", "customer_state",
                     _x().cast("double").alias("payment_value"), "ab_group"))
 
 
@@ -69,10 +71,11 @@ def _moments(df: DataFrame) -> DataFrame:
         F.var_samp(F.when(c, _x())).alias("v_c"), F.var_samp(F.when(tr, _x())).alias("v_t"))
 
 
-def ab_summary(t: RetailTables) -> DataFrame:
+def ab_summary(t: RetailTables, unit: str = "order") -> DataFrame:
     """AB2: count, mean, median, std, min and max per group."""
-    df = ab_frame(t)
-    med = grouped_quantiles(df, "payment_value", [0.5], ["ab_group"], ["order_id"]).select("ab_group", "q")
+    df = ab_frame(t, unit=unit)
+    tie = ["order_id"] if unit == "order" else ["order_id", "payment_sequential"]
+    med = grouped_quantiles(df, "payment_value", [0.5], ["ab_group"], tie).select("ab_group", "q")
     g = df.groupBy("ab_group").agg(
         F.count(F.lit(1)).alias("count"), F.avg(_x()).alias("_mean"), F.stddev_samp(_x()).alias("_std"),
         F.min(_x()).alias("_min"), F.max(_x()).alias("_max"))
@@ -316,3 +319,8 @@ def mann_whitney(t: RetailTables) -> DataFrame:
     ties) and its tie-corrected normal z (p-value in ``ab_pvalues``)."""
     return _mann_whitney(t).select(F.col("n1").alias("n_treatment"), F.col("n2").alias("n_control"),
                                    rnd("u", 2).alias("u_stat"), rnd("z", 6).alias("z"))
+
+
+def ab_summary_payment_rows(t: RetailTables) -> DataFrame:
+    """AB2 over one row per payment, the unit of the original notebook."""
+    return ab_summary(t, unit="payment_row")

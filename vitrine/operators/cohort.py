@@ -18,7 +18,7 @@ from vitrine.functions import DEFAULT_EXCLUDED, active_status, month_label, pct,
 from vitrine.sources.tables import RetailTables
 
 QUERIES = ("customer_cohort", "cohort_retention", "cohort_retention_pct", "cohort_revenue",
-           "retention_matrix")
+           "retention_matrix", "cohort_retention_as_written")
 
 MAX_MONTH = 6
 
@@ -83,3 +83,9 @@ def cohort_revenue(t: RetailTables, excluded=DEFAULT_EXCLUDED) -> DataFrame:
            .agg(F.count(F.lit(1)).alias("cohort_size"), F.sum("price").alias("_rev")))
     return agg.select("cohort_month", "cohort_size", rnd("_rev", 2).alias("total_revenue"),
                       rnd(F.col("_rev") / F.col("cohort_size"), 2).alias("revenue_per_customer"))
+
+
+def cohort_retention_as_written(t: RetailTables) -> DataFrame:
+    """CO2 with the original status spelling ('cancelled'), as the golden
+    cohort file was produced."""
+    return cohort_retention(t, excluded=("cancelled", "unavailable"))

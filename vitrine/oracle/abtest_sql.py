@@ -141,3 +141,8 @@ SELECT n1 AS n_treatment, n2 AS n_control, {R(_U, 2)} AS u_stat,
   {R(f'({_U} - n1 * n2 / 2.0) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie_term / ((n1 + n2) * (n1 + n2 - 1))))', 6)} AS z
 FROM mw""", AB + ",\n" + RK),
 }
+
+_AB_ROWS = AB.split("mo AS (")[0].rstrip().rstrip(",").replace(
+    "LEFT JOIN (SELECT order_id, SUM(payment_value) AS payment_value FROM r_payments GROUP BY 1) p",
+    "LEFT JOIN r_payments p")
+SQL["ab_summary_payment_rows"] = SQL["ab_summary"].replace(AB.strip(), _AB_ROWS.strip())

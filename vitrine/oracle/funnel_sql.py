@@ -102,3 +102,8 @@ CROSS JOIN (SELECT {R("AVG(is_delayed) * 100", 2)} AS national_rate_pct FROM dl)
    FROM r_orders o WHERE (order_status IS NULL OR order_status NOT IN ('canceled','unavailable'))
      AND order_delivered_customer_date IS NOT NULL)"""),
 }
+
+SQL["funnel_summary_as_written"] = SQL["funnel_summary"].replace(
+    "order_status NOT IN ('canceled','unavailable')", "order_status NOT IN ('cancelled','unavailable')")
+SQL["funnel_by_category_as_written"] = SQL["funnel_by_category"].replace(
+    "o.order_status NOT IN ('canceled', 'unavailable')", "o.order_status NOT IN ('cancelled', 'unavailable')")
