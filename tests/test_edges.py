@@ -177,3 +177,13 @@ def test_model_save_load(spark, tmp_path):
                          LogisticRegression(maxIter=5)]).fit(df)
     save_model(m, str(tmp_path / "m"))
     assert load_model(str(tmp_path / "m")).transform(df).count() == 20
+
+
+def test_splits_accept_string_keys(spark):
+    from vitrine.operators.ml import split_random, split_stratified
+
+    df = spark.createDataFrame([(f"{i:032x}", i % 3 == 0) for i in range(50)], "customer_unique_id string, y boolean")
+    df = df.withColumn("churned", F.col("y").cast("int"))
+    s = split_stratified(df)
+    assert s.where("split = 'test'").count() == 10
+    assert split_random(df).where("split = 'test'").count() == 10

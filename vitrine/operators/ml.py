@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vitrine.functions import DEFAULT_EXCLUDED, active_status, delay_days_floor, rnd
 from vitrine.operators.prepare import latest_review_per_order
@@ -164,10 +163,13 @@ def label_encode(t: RetailTables) -> DataFrame:
                                    "payment_enc")
 
 
-def hash_key(col: str) -> Column:
-    """Deterministic pseudo-random order key, the same in every engine for
-    integer keys (Lehmer step); string keys use xxhash64."""
-    return ((F.col(col).cast("bigint") * 48271) % 2147483647)
+def hash_key(df: DataFrame, col: str) -> Column:
+    """Deterministic pseudo-random order key. Integer keys take a Lehmer
+    step, (key x 48271) mod (2^31 - 1), the same in every engine; other keys
+    (the marketplace's hex ids) use the seeded 64-bit xxHash."""
+    if dict(df.dtypes)[col] in ("tinyint", "smallint", "int", "bigint"):
+        return (F.col(col).cast("bigint") * 48271) % 2147483647
+    return F.pmod(F.xxhash64(F.col(col), F.lit(SEED)), F.lit(2147483647))
 
 
 def split_stratified(df: DataFrame, label: str = "churned", key: str = "customer_unique_id",
@@ -175,7 +177,7 @@ def split_stratified(df: DataFrame, label: str = "churned", key: str = "customer
     """ML6: ``split`` = 'test'/'train' keeping each class's share. The test
     set has ceil(test_size * n) rows, shared out over classes by largest
     remainder; inside a class the rows with the smallest hash go to test."""
-    h = df.withColumn("_h", hash_key(key))
+    h = df.withColumn("_h", hash_key(df, key))
     ranked = global_rank(h, [F.col(label), F.col("_h"), F.col(key)], "_r", count_col="_n")
     cls = ranked.groupBy(label).agg(F.min("_r").alias("_r0"), F.count(F.lit(1)).alias("_nc"),
                                     F.max("_n").alias("_n"))
@@ -195,7 +197,7 @@ def split_stratified(df: DataFrame, label: str = "churned", key: str = "customer
 
 def split_random(df: DataFrame, key: str = "customer_unique_id", test_size: float = 0.2) -> DataFrame:
     """ML7: plain 80/20 split by hash order; ceil(test_size * n) test rows."""
-    ranked = global_rank(df.withColumn("_h", hash_key(key)), [F.col("_h"), F.col(key)], "_r", count_col="_n")
+    ranked = global_rank(df.withColumn("_h", hash_key(df, key)), [F.col("_h"), F.col(key)], "_r", count_col="_n")
     return ranked.withColumn("split", F.when(F.col("_r") <= F.ceil(F.col("_n") * test_size), "test")
                              .otherwise("train")).drop("_h", "_r", "_n")
 
@@ -346,7 +348,7 @@ def sample_rows(t: RetailTables, n: int = 2000) -> DataFrame:
     """ML29: a seeded sample of at most ``n`` test rows of the delay table
     (hash order; the limit is the operator)."""
     d = split_stratified(delay_table(t), label="is_delayed", key="order_id").where(F.col("split") == "test")
-    return (d.orderBy(hash_key("order_id"), "order_id").limit(n)
+    return (d.orderBy(hash_key(d, "order_id"), "order_id").limit(n)
             .select("order_id", *_round_features(d, DELAY_FEATURES), "is_delayed"))
 
 
@@ -378,4 +380,4 @@ def class_weights(t: RetailTables) -> DataFrame:
 
 
 __all__ = list(QUERIES) + ["order_table", "customer_table", "churn_frame", "churn_encoded", "clv_table",
-                           "delay_table", "label_codes", "with_weights", "hash_key", "T"]
+                           "delay_table", "label_codes", "with_weights", "hash_key"]
