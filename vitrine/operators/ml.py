@@ -81,9 +81,9 @@ def _first_by_time(col: str) -> Column:
 def customer_table(t: RetailTables) -> DataFrame:
     """ML2 core: 11 features per customer; missing delay -> 0, missing
     review -> the exact median over customers (1-row, broadcast)."""
-    all_orders = order_table(t)
-    ref = all_orders.agg(F.max("order_purchase_timestamp").alias("_ref"))
-    o = all_orders.where(F.col("customer_unique_id").isNotNull())
+    # the reference date needs the clean orders only, not the joined table
+    ref = clean_orders(t).agg(F.max("order_purchase_timestamp").alias("_ref"))
+    o = order_table(t).where(F.col("customer_unique_id").isNotNull())
     c = (o.groupBy("customer_unique_id").agg(
         F.max("order_purchase_timestamp").alias("_last"),
         F.count_distinct("order_id").alias("frequency"),
@@ -99,6 +99,7 @@ def customer_table(t: RetailTables) -> DataFrame:
         .crossJoin(F.broadcast(ref))
         .withColumn("recency_days", delay_days_floor("_ref", "_last"))
         .drop("_ref", "_last"))
+    c = checkpoint(c)  # read by the median and by the output: compute once
     med = grouped_quantiles(c, "avg_review_score", [0.5], [], ["customer_unique_id"]).select(
         F.col("q").alias("_med"))
     return (c.crossJoin(F.broadcast(med))
@@ -121,10 +122,10 @@ def customer_features(t: RetailTables) -> DataFrame:
 
 
 def churn_frame(t: RetailTables, threshold: int = CHURN_THRESHOLD) -> DataFrame:
-    """ML3 core: customers with ``churned`` = recency above ``threshold`` days.
-    The feature table is a natural materialisation point: checkpointed once,
-    then encoded, split and fed to three models."""
-    return checkpoint(customer_table(t).withColumn("churned", (F.col("recency_days") > threshold).cast("int")))
+    """ML3 core: customers with ``churned`` = recency above ``threshold`` days
+    (the customer table is checkpointed, so encoding, splitting and three
+    model fits read stored rows)."""
+    return customer_table(t).withColumn("churned", (F.col("recency_days") > threshold).cast("int"))
 
 
 def churn_labels(t: RetailTables, threshold: int = CHURN_THRESHOLD) -> DataFrame:

@@ -37,12 +37,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
-                count_col: str | None = None) -> DataFrame:
+                count_col: str | None = None, materialize_input: bool = False) -> DataFrame:
     """Append ``rank_col`` = 1-based row number in the global ``order``.
 
     ``order`` must be a total order (end it with a unique key). With
-    ``count_col`` the total row count is attached as well.
+    ``count_col`` the total row count is attached as well. The range
+    exchange evaluates its input twice (sampling for the bounds, then the
+    shuffle); ``materialize_input`` checkpoints an expensive input first so
+    both read the stored rows.
     """
+    if materialize_input:
+        df = checkpoint(df)
     tagged = checkpoint(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("_mid"), 33)
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
@@ -123,7 +128,8 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seq
     """
     spark = df.sparkSession
     order = [F.col(c) for c in by] + [F.col(value).asc()] + [F.col(c) for c in tiebreak]
-    ranked = global_rank(df.where(F.col(value).isNotNull()).select(*by, *tiebreak, value), order, "_r")
+    ranked = global_rank(df.where(F.col(value).isNotNull()).select(*by, *tiebreak, value), order, "_r",
+                         materialize_input=True)
     stats = ranked.groupBy(*by).agg(F.min("_r").alias("_r0"), F.count(F.lit(1)).alias("_n"))
     p = spark.createDataFrame([(i, float(x)) for i, x in enumerate(probs)], "i int, p double")
     pos = (stats.crossJoin(F.broadcast(p))
@@ -149,7 +155,7 @@ def rank_sum(df: DataFrame, value: str, is_first: Column, tiebreak: Sequence[str
     (Σ t³ - t over tie groups, for the variance correction).
     """
     base = df.select(F.col(value).alias("_x"), is_first.cast("int").alias("_g"), *tiebreak)
-    ranked = global_rank(base, [F.col("_x").asc(), *[F.col(c) for c in tiebreak]], "_r")
+    ranked = global_rank(base, [F.col("_x").asc(), *[F.col(c) for c in tiebreak]], "_r", materialize_input=True)
     per_value = ranked.groupBy("_x").agg(F.min("_r").alias("_rmin"), F.count(F.lit(1)).alias("_t"),
                                          F.sum("_g").alias("_t1"))
     avg_rank = F.col("_rmin") + (F.col("_t") - 1) / 2.0
