@@ -187,3 +187,23 @@ def test_splits_accept_string_keys(spark):
     s = split_stratified(df)
     assert s.where("split = 'test'").count() == 10
     assert split_random(df).where("split = 'test'").count() == 10
+
+
+def test_publish_once_with_concurrent_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from vitrine.session import publish
+
+    root = str(tmp_path / "derived")
+    calls = []
+
+    def build(out):
+        calls.append(out)
+        spark.range(5).write.parquet(f"{out}/t")
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda _: publish(spark, root, build), range(3)))
+    publish(spark, root, build)          # already complete: no rebuild
+    assert spark.read.parquet(f"{root}/t").count() == 5
+    assert 1 <= len(calls) <= 3
+    assert not [p for p in tmp_path.iterdir() if ".tmp-" in p.name]

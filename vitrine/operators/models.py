@@ -85,11 +85,12 @@ def _persisted_fit(t: RetailTables, name: str, build) -> tuple[PipelineModel, Da
 
     spark = t.orders.sparkSession
     root = _fit_root(t, name)
-    if not session.path_exists(spark, f"{root}/_COMPLETE"):
+    def write(out: str) -> None:
         model, scored = build()
-        save_model(model, f"{root}/model")
-        scored.write.mode("overwrite").parquet(f"{root}/scored")
-        session.touch(spark, f"{root}/_COMPLETE")
+        save_model(model, f"{out}/model")
+        scored.write.mode("overwrite").parquet(f"{out}/scored")
+
+    session.publish(spark, root, write)
     return load_model(f"{root}/model"), spark.read.parquet(f"{root}/scored")
 
 

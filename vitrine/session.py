@@ -117,3 +117,26 @@ def touch(spark: SparkSession, path: str) -> None:
     """Write an empty marker file (the last step of a completed output)."""
     p, fs = _fs(spark, path)
     fs.create(p, True).close()
+
+
+def publish(spark: SparkSession, root: str, build) -> None:
+    """Produce a derived folder at ``root`` exactly once, even with several
+    writers: ``build(tmp)`` writes into a private folder, which is then
+    renamed into place (an atomic directory rename on HDFS and local file
+    systems). A writer that loses the race drops its copy."""
+    import uuid
+
+    if path_exists(spark, f"{root}/_COMPLETE"):
+        return
+    tmp = f"{root}.tmp-{uuid.uuid4().hex}"
+    build(tmp)
+    touch(spark, f"{tmp}/_COMPLETE")
+    src, fs = _fs(spark, tmp)
+    dst, _ = _fs(spark, root)
+    parent = dst.getParent()
+    if not fs.exists(parent):
+        fs.mkdirs(parent)
+    if fs.exists(dst) or not fs.rename(src, dst):
+        fs.delete(src, True)
+    if not path_exists(spark, f"{root}/_COMPLETE"):
+        raise RuntimeError(f"could not publish {root}")
