@@ -152,10 +152,16 @@ def label_codes(df: DataFrame, col: str, fill: str, out: str) -> DataFrame:
     return filled.join(vocab, col, "left")
 
 
+def label_codes_many(df: DataFrame, specs: list[tuple[str, str, str]]) -> DataFrame:
+    """Several encoders: (column, fill value, code column) each."""
+    for col, fill, out in specs:
+        df = label_codes(df, col, fill, out)
+    return df
+
+
 def churn_encoded(t: RetailTables) -> DataFrame:
-    c = churn_frame(t)
-    c = label_codes(c, "customer_state", "Unknown", "state_enc")
-    return label_codes(c, "payment_type", "Unknown", "payment_enc")
+    return label_codes_many(churn_frame(t), [("customer_state", "Unknown", "state_enc"),
+                                             ("payment_type", "Unknown", "payment_enc")])
 
 
 def label_encode(t: RetailTables) -> DataFrame:
@@ -293,8 +299,7 @@ def clv_table(t: RetailTables) -> DataFrame:
     df = (feats.join(cats, "customer_unique_id", "left").join(fut, "customer_unique_id", "left")
           .withColumn("future_spend", F.coalesce(F.col("future_spend").cast("double"), F.lit(0.0))))
     df = checkpoint(df)
-    df = label_codes(df, "customer_state", "Unknown", "state_enc")
-    return label_codes(df, "top_category", "unknown", "cat_enc")
+    return label_codes_many(df, [("customer_state", "Unknown", "state_enc"), ("top_category", "unknown", "cat_enc")])
 
 
 def clv_features(t: RetailTables) -> DataFrame:
@@ -333,9 +338,9 @@ def delay_table(t: RetailTables) -> DataFrame:
           .join(items, "order_id", "left").join(prod, "order_id", "left").join(pay, "order_id", "left")
           .withColumn("volume_cm3", F.col("product_length_cm") * F.col("product_height_cm") * F.col("product_width_cm")))
     df = checkpoint(df)
-    df = label_codes(df, "customer_state", "Unknown", "state_enc")
-    df = label_codes(df, "product_category_name", "unknown", "cat_enc")
-    df = label_codes(df, "payment_type", "unknown", "payment_enc")
+    df = label_codes_many(df, [("customer_state", "Unknown", "state_enc"),
+                               ("product_category_name", "unknown", "cat_enc"),
+                               ("payment_type", "unknown", "payment_enc")])
     return df.dropna(subset=DELAY_FEATURES + ["is_delayed"])
 
 
