@@ -3,8 +3,9 @@
 Estimators are ``pyspark.ml`` (distributed training); features come from
 ``operators.ml``. Metrics are DataFrame aggregates over (label, score): the
 exact ROC-AUC is an average-rank sum (``plans.ranking.rank_sum``), the ROC
-curve a global running sum, nothing is collected. Fitted models are cached per
-session and input so one job can score and evaluate several times.
+curve a global running sum, nothing is collected. Each model is fitted once
+per input and code version: the pipeline and its scores are published to the
+shared checkpoint folder, so later queries and later sessions load them.
 """
 
 from __future__ import annotations
