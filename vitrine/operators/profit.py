@@ -282,8 +282,11 @@ def category_profit_ranks(t: RetailTables, top: int = 15) -> DataFrame:
 
 
 def category_margin_flags(t: RetailTables) -> DataFrame:
-    """PF11: each category's average margin against the median over categories."""
-    c = _category_measures(t)
+    """PF11: each category's average margin against the median over categories.
+    The measures (one row per category) are stored once and read twice."""
+    from vitrine.plans.ranking import checkpoint
+
+    c = checkpoint(_category_measures(t))
     med = c.agg(F.median("_avg_margin").alias("_med"))
     return c.crossJoin(F.broadcast(med)).select(
         "category", rnd("_avg_margin", 4).alias("avg_margin_pct"), rnd("_med", 4).alias("median_margin_pct"),
