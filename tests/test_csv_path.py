@@ -29,7 +29,8 @@ def _write(tmp_path):
                 for j in range(7)]
     sellers = [[f"s{j}", "01000", "city", "SP"] for j in range(4)]
     translation = [["beleza_saude", "health_beauty"], ["esporte_lazer", "sports_leisure"]]
-    frames = {"orders": orders, "customers": customers, "order_items": items, "payments": payments,
+    geolocation = [["01000", -23.5 + j / 100, -46.6, "sao paulo", "SP"] for j in range(30)] + [["01001", None, None, "x", "SP"]]
+    frames = {"geolocation": geolocation, "orders": orders, "customers": customers, "order_items": items, "payments": payments,
               "reviews": reviews, "products": products, "sellers": sellers, "translation": translation}
     for name, rows in frames.items():
         cols = [f.name for f in CSV_SCHEMAS[name].fields]
@@ -44,6 +45,15 @@ def csv_tables(spark, tmp_path_factory):
     return RetailTables.from_csv(spark, _write(tmp_path_factory.mktemp("raw")))
 
 
+def test_geolocation_profiled(csv_tables):
+    from vitrine.operators.audit import null_profile, shape_profile
+
+    nulls = {(r.table_name, r.column_name): r.null_count for r in null_profile(csv_tables).collect()}
+    assert nulls[("geolocation", "geolocation_lat")] == 1
+    shapes = {r.table_name: r.n_rows for r in shape_profile(csv_tables).collect()}
+    assert shapes["geolocation"] == 31
+
+
 def test_schemas_and_timestamps(csv_tables):
     assert dict(csv_tables.orders.dtypes)["order_purchase_timestamp"] == "timestamp_ntz"
     assert csv_tables.translation.columns == ["product_category_name", "product_category_name_english"]

@@ -20,15 +20,20 @@ QUERIES = ("table_row_counts", "null_audit_orders", "null_profile", "shape_profi
 REPORT_NAMES = {
     "orders": "orders", "customers": "customers", "items": "order_items", "products": "products",
     "sellers": "sellers", "payments": "payments", "reviews": "reviews",
-    "translation": "product_category_name_translation",
+    "translation": "product_category_name_translation", "geolocation": "geolocation",
 }
 
 
+def _present(t: RetailTables):
+    """(attribute, report name) of the tables this bundle has."""
+    return [(a, n) for a, n in REPORT_NAMES.items() if getattr(t, a) is not None]
+
+
 def table_row_counts(t: RetailTables) -> DataFrame:
     """AUD1: (table_name, row_count) for the seven core tables, UNION ALL."""
     parts = [getattr(t, attr).agg(F.count(F.lit(1)).alias("row_count"))
              .select(F.lit(name).alias("table_name"), "row_count")
-             for attr, name in REPORT_NAMES.items() if attr != "translation"]
+             for attr, name in _present(t) if attr not in ("translation", "geolocation")]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -53,7 +58,7 @@ def null_counts(df: DataFrame, table_name: str) -> DataFrame:
 def null_profile(t: RetailTables) -> DataFrame:
     """AUD3: (table_name, column_name, null_count) for every table."""
     return reduce(DataFrame.unionByName,
-                  [null_counts(getattr(t, attr), name) for attr, name in REPORT_NAMES.items()])
+                  [null_counts(getattr(t, attr), name) for attr, name in _present(t)])
 
 
 def shape_profile(t: RetailTables) -> DataFrame:
@@ -65,7 +70,7 @@ def shape_profile(t: RetailTables) -> DataFrame:
 
     parts = [getattr(t, attr).agg(F.count(F.lit(1)).alias("n_rows"))
              .select(F.lit(name).alias("table_name"), "n_rows", F.lit(len(getattr(t, attr).columns)).alias("n_columns"))
-             for attr, name in REPORT_NAMES.items()]
+             for attr, name in _present(t)]
     wide_cols = len(denormalise_orders(t, mode="raw").columns)
     w = (order_weights(t).join(t.customers.select("customer_id"), "customer_id", "left")
          .agg(F.sum("w").alias("n_rows"))
@@ -81,7 +86,7 @@ def schema_profile(t: RetailTables) -> DataFrame:
     """
     spark = t.orders.sparkSession
     rows = [(name, f.name, f.dataType.simpleString(), i)
-            for attr, name in REPORT_NAMES.items()
+            for attr, name in _present(t)
             for i, f in enumerate(getattr(t, attr).schema.fields)]
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, position int")
 

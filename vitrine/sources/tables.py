@@ -143,9 +143,12 @@ class RetailTables:
     reviews: DataFrame
     payments: DataFrame
     sellers: DataFrame
+    # zip-code coordinates: read and profiled only (the export's largest file)
+    geolocation: DataFrame | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        """The eight core tables (optional ones only when present)."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
 
     def register_views(self, prefix: str = "r_") -> None:
         """SRC4 (temp-view flavour): expose every table to ``spark.sql``."""
@@ -158,8 +161,10 @@ class RetailTables:
         """SRC1/SRC2: headered CSVs with fixed schemas. A UTF-8 BOM in a header
         is consumed by the CSV reader, so column names come out clean."""
         frames = {}
+        from vitrine.session import path_exists
+
         for name, fname in CSV_FILES.items():
-            if name == "geolocation":
+            if name == "geolocation" and not path_exists(spark, f"{raw_dir.rstrip('/')}/{fname}"):
                 continue
             df = (spark.read.schema(CSV_SCHEMAS[name]).option("header", True)
                   .option("mode", "FAILFAST" if strict_timestamps else "PERMISSIVE")
@@ -169,6 +174,7 @@ class RetailTables:
             orders=frames["orders"], customers=frames["customers"], items=frames["order_items"],
             products=frames["products"], translation=frames["translation"],
             reviews=frames["reviews"], payments=frames["payments"], sellers=frames["sellers"],
+            geolocation=frames.get("geolocation"),
         )
 
     # ------------------------------------------------------------ TPC-H
