@@ -67,28 +67,32 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
-
-
 def rule_votes() -> dict[str, Column]:
-    """The rules, over the columns of :func:`measures`; they overlap on purpose."""
+    """The rules, over the columns of :func:`measures`. Most speak up against
+    a text or abstain; several look at the same fault in different ways, so
+    that their agreement tells how far each can be trusted."""
     n, chars = F.col("n_words"), F.col("word_chars")
+    symbols, upper, shouts, again = F.col("n_symbols"), F.col("n_upper"), F.col("n_shouts"), F.col("n_repeat_words")
     some = n >= 10
-    return {
-        "length": _vote(n < 10, n >= 40),
-        "word_length": _vote((n > 0) & ((chars < 2 * n) | (chars > 12 * n)), some & (chars >= 3 * n) & (chars <= 9 * n)),
-        "symbols": _vote(10 * F.col("n_symbols") > n, some & (100 * F.col("n_symbols") <= 2 * n)),
-        "repeats": _vote(100 * F.col("n_repeat_words") > 20 * n, some & (100 * F.col("n_repeat_words") <= 8 * n)),
-        "lines": _vote((F.col("n_lines") >= 4) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")), (F.col("n_lines") >= 3) & (F.col("n_dup_lines") == 0)),
-        "upper": _vote(some & (100 * F.col("n_upper") > 30 * chars), some & (100 * F.col("n_upper") <= 12 * chars)),
-        "shouting": _vote(some & (4 * F.col("n_shouts") > n), some & (20 * F.col("n_shouts") <= n)),
-        "variety": _vote((n >= 40) & (5 * F.col("n_distinct") < n) & (n < 2000), some & (10 * F.col("n_distinct") >= 3 * n)),
+    against = {
+        "short": n < 10,
+        "word_length": (n > 0) & ((chars < 2 * n) | (chars > 15 * n)),
+        "symbols_by_word": 10 * symbols > n,
+        "symbols_by_char": 50 * symbols > chars,
+        "upper_by_char": some & (100 * upper > 30 * chars),
+        "upper_by_word": some & (2 * upper > 3 * n),
+        "shouting": some & (4 * shouts > n),
+        "repeats": 100 * again > 20 * n,
+        "mostly_repeats": 100 * again > 50 * n,
+        "variety": (n >= 40) & (n < 2000) & (5 * F.col("n_distinct") < n),
+        "lines": (F.col("n_lines") >= 4) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
     }
+    prose = some & (100 * symbols <= 2 * n) & (100 * upper <= 12 * chars) & (20 * shouts <= n) & (100 * again <= 10 * n)
+    return {k: F.when(bad, -1).otherwise(0) for k, bad in against.items()} | {"prose": F.when(prose, 1).otherwise(0)}
 
 
 def fit_rules(measured: DataFrame) -> LabelModel:
-    """EM over the vote patterns of all rows (at most 3 ** rules counts)."""
+    """EM over the vote patterns of all rows (at most 2 ** rules counts)."""
     votes = rule_votes()
     return fit_label_model(measured.select(*[c.alias(k) for k, c in votes.items()]), list(votes))
 

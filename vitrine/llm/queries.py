@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import pii, quality_rules, simhash, url_filter
+from vitrine.llm import language, pii, quality_model, quality_rules, simhash, toxicity, url_filter
+from vitrine.llm.common import learnable
 from vitrine.llm.oracle import URL_SQL
 
 
@@ -34,6 +35,22 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality(_table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(learnable(F.col("doc_id"))))
+    return language.predict(docs, model).withColumn("held_out", ~learnable(F.col("doc_id")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.withColumn("held_out", ~learnable(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_filter.make_rules(spark, URL_RULES)
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -48,6 +65,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_pii": op2_pii,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_language_id": op4_language_id,
+    "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
     "op9_quality_rules": op9_quality_rules,
 }

@@ -48,27 +48,28 @@ class LabelModel:
         return 1 / (1 + F.exp(-odds))
 
 
-def fit_label_model(votes: DataFrame, names: list[str], steps: int = 100, prior: float = 0.9, weight: float = 20.0) -> LabelModel:
-    """Fit from a frame with one vote column (-1, 0, 1) per labeller.
+def fit_label_model(votes: DataFrame, names: list[str], steps: int = 100, prior: float = 0.9, weight: float = 20.0, counted: bool = False) -> LabelModel:
+    """Fit from a frame with one vote column (-1, 0, 1) per labeller; with
+    ``counted`` it has one row per vote pattern and its ``count`` already.
 
     Start and smoothing say that a labeller is right more often than not
     (``weight`` pseudo-rows), which also fixes which class is "good". An empty
     frame gives that start.
     """
-    rows = votes.groupBy(*names).count().collect()
+    rows = (votes if counted else votes.groupBy(*names).count()).collect()
     k = len(names)
     pats = sorted((tuple(r[n] for n in names), r["count"]) for r in rows)
     idx = np.array([[v + 1 for v in p] for p, _ in pats], dtype=int).reshape(-1, k)
     cnt = np.array([c for _, c in pats], dtype=float)
     pseudo = np.zeros((k, 3, 2))
     for j in range(k):
-        seen = np.array([cnt[idx[:, j] == v].sum() for v in range(3)]) + 1.0
-        spoke = 1 - seen[1] / seen.sum()
-        pseudo[j, 1, :] = 1 - spoke
-        pseudo[j, 0] = spoke * np.array([0.8, 0.1])
-        pseudo[j, 2] = spoke * np.array([0.2, 0.9])
-    pseudo = np.clip(pseudo, 1e-3, None)
-    pseudo /= pseudo.sum(axis=1, keepdims=True)
+        seen = np.array([cnt[idx[:, j] == v].sum() for v in range(3)]) + 0.5
+        bad, _, fine = seen / seen.sum()
+        pseudo[j, 0] = np.clip([0.8 * bad / (1 - prior), 0.2 * bad / prior], 1e-4, 0.9)
+        pseudo[j, 2] = np.clip([0.1 * fine / (1 - prior), 0.9 * fine / prior], 1e-4, 0.9)
+        over = np.maximum(1, (pseudo[j, 0] + pseudo[j, 2]) / 0.95)
+        pseudo[j, 0], pseudo[j, 2] = pseudo[j, 0] / over, pseudo[j, 2] / over
+        pseudo[j, 1] = 1 - pseudo[j, 0] - pseudo[j, 2]
     table, good = pseudo.copy(), prior
     for _ in range(steps if len(cnt) else 0):
         log_bad = np.log1p(-good) + sum(np.log(table[j, idx[:, j], 0]) for j in range(k))
