@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.session import resolve_checkpoint_dir
@@ -36,6 +36,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS, -1), lambda w: w != "")
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """Columns that later filters and lambdas take as they are. The optimiser
+    would otherwise put the expression behind a column in the place of its
+    name when it pushes a filter down, and inside a lambda that means
+    computing it once per element; it doesn't look through a generator."""
+    made = F.explode(F.array(F.struct(*names))).alias("_settled")
+    return df.select(*[c for c in df.columns if c not in names], made).select(*[F.col(f"_settled.{c}").alias(c) if c in names else c for c in df.columns])
+
+
 def window_hashes(word_hashes: str, n: int) -> Column:
     """64-bit hashes of all runs of ``n`` neighbours in an array column of word
     hashes; empty if there are fewer. The column must exist already: it is
@@ -64,7 +73,3 @@ def vector_total(parts: DataFrame, key: str, value: str, length: int) -> dict:
 def learnable(doc_id: Column) -> Column:
     """Rows a classifier may learn from: crc32 of the id as text, modulo 4, is not 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(True))
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

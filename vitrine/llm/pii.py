@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import stash, texts
+from vitrine.llm.common import settled, stash, texts
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -92,7 +92,8 @@ def base_spans(rows: DataFrame) -> DataFrame:
     def good(kind: str) -> Column:
         return F.coalesce(F.filter(_placed(f"_p_{kind}", f"_m_{kind}", kind), lambda s: _valid(kind, s["value"])), none)
 
-    return out.withColumn("_spans", F.concat(*[good(k) for k in KINDS])).drop(*[f"_{a}_{k}" for a in "mp" for k in KINDS])
+    out = settled(out.withColumn("_spans", F.concat(*[good(k) for k in KINDS])), "_spans")
+    return out.drop(*[f"_{a}_{k}" for a in "mp" for k in KINDS])
 
 
 def listed(spans: Column) -> Column:

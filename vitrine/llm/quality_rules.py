@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import texts, window_hashes, words
+from vitrine.llm.common import settled, stash, texts, window_hashes, words
 from vitrine.llm.weak import VOTES, LabelModel, fit_label_model
 
 __all__ = ["VOTES", "measures", "rule_votes", "base_failed", "fit_rules", "judge"]
@@ -60,7 +60,8 @@ def measures(rows: DataFrame) -> DataFrame:
         lambda acc, p: F.struct((acc["n"] + F.least(F.lit(WINDOW).cast("long"), p - acc["last"])).alias("n"), p.cast("long").alias("last")),
         lambda acc: acc["n"],
     )
-    return a.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_p")
+    a = a.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_p")
+    return settled(a, "n_repeat_words", "n_dup_lines")
 
 
 def base_failed() -> Column:
@@ -108,7 +109,7 @@ def judge(measured: DataFrame, model: LabelModel, threshold: float = 0.5) -> Dat
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, counts, base_failed, quality, kept) of every row."""
-    m = measures(texts(docs)).drop("text")
+    m = stash(measures(texts(docs)).drop("text"), "quality-measures")
     return judge(m, fit_rules(m), threshold)
 
 

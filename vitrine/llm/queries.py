@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import language, pii, quality_model, quality_rules, simhash, toxicity, url_filter
+from vitrine.llm import language, license, pii, quality_model, quality_rules, simhash, toxicity, url_filter
 from vitrine.llm.common import learnable
 from vitrine.llm.oracle import URL_SQL
 
@@ -45,6 +45,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).withColumn("held_out", ~learnable(F.col("doc_id")))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_table(spark, sf_dir, "documents"), license.make_templates(spark))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -67,6 +71,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_language_id": op4_language_id,
+    "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
     "op9_quality_rules": op9_quality_rules,
