@@ -18,8 +18,10 @@ result; texts of any length are tokenised whole; other columns are ignored.
 from __future__ import annotations
 
 import math
+import os
 import random
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -31,12 +33,13 @@ from vitrine.llm.common import stash, texts
 
 CAPACITY, END_ID = 2048, 0
 CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 2, 2, 8, 6
-WELL_FILLED, ROUNDS, CACHE, TOGETHER = 0.995, 6, 400_000, 256
+WELL_FILLED, ROUNDS, CACHE, TOGETHER = 0.995, 6, 1_500_000, 1024
 
 
 class CachedTokenizer:
     """Token ids of a text, as bytes. The vocabulary's pre-tokenizer never
-    joins what a blank separates, so each distinct word is encoded once."""
+    joins what an ASCII blank separates and lower-cases all, so each distinct
+    word is encoded once; the words known are kept up to a bound."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -45,17 +48,34 @@ class CachedTokenizer:
         self._known: dict[bytes, bytes] = {}
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in batch]
-        if len(self._known) > CACHE:
-            self._known.clear()
         known = self._known
-        new = list({w for ws in split for w in ws if w not in known})
+        if len(known) > CACHE:
+            known.clear()
+        raws = [t.encode("utf-8", "replace") for t in batch]
+        # the strings of special tokens are the only place where case counts
+        split = [(r if b"<|" in r else r.lower()).split() for r in raws]
+        found = [list(map(known.get, ws)) for ws in split]
+        holes = [[i for i, v in enumerate(vs) if v is None] if None in vs else [] for vs in found]
+        new = list({ws[i] for ws, at in zip(split, holes) for i in at})
         encode = getattr(self._tok, "encode_batch_fast", self._tok.encode_batch)
         for a in range(0, len(new), 10_000):
             part = new[a : a + 10_000]
             for w, e in zip(part, encode([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+                known[w] = array("I", e.ids).tobytes()
+        for ws, vs, at in zip(split, found, holes):
+            for i in at:
+                vs[i] = known[ws[i]]
+        return [b"".join(vs) for vs in found]
+
+
+_TOKENIZERS: dict[str, CachedTokenizer] = {}
+
+
+def tokenizer(path: str) -> CachedTokenizer:
+    """One per Python worker: the words it knows serve its later tasks too."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = CachedTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -65,10 +85,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     end, step = end_id.to_bytes(4, "little"), 4 * capacity
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = CachedTokenizer(path)
+        tok = tokenizer(path)
         for b in batches:
             for a in range(0, len(b), TOGETHER):
                 part = b.iloc[a : a + TOGETHER]
