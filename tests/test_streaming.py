@@ -31,3 +31,16 @@ def test_scoring_stream_scores_each_new_order_once(spark, tables_small, tmp_path
     assert out.count() == expected
     assert out.select("order_id").distinct().count() == expected
     assert out.where("delay_probability < 0 or delay_probability > 1").count() == 0
+
+
+def test_every_order_comes_back_even_with_an_unseen_category(spark, tables_small):
+    t = tables_small
+    train = delay_table(t)
+    model = Pipeline(stages=[VectorAssembler(inputCols=DELAY_FEATURES, outputCol="features"),
+                             RandomForestClassifier(labelCol="is_delayed", numTrees=3, maxDepth=3, seed=1)]).fit(train)
+    vocab = vocabularies(train)
+    vocab["customer_state"] = vocab["customer_state"].limit(1)
+    out = score_orders(t.orders, t, model, vocab)
+    assert out.count() == t.orders.count()
+    assert out.where("delay_probability is null and reason is null").count() == 0
+    assert out.where("reason like '%state_enc%'").count() > 0

@@ -19,60 +19,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-_TINY = 1e-300
-
-
-def _betacf(a: np.ndarray, b: np.ndarray, x: np.ndarray, iters: int = 400, eps: float = 1e-15) -> np.ndarray:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = 1.0 / np.where(np.abs(d) < _TINY, _TINY, d)
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2.0 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / np.where(np.abs(d) < _TINY, _TINY, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < _TINY, _TINY, c)
-        h = h * d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / np.where(np.abs(d) < _TINY, _TINY, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < _TINY, _TINY, c)
-        delta = d * c
-        h = h * delta
-        if np.all(np.abs(delta - 1.0) < eps):
-            break
-    return h
-
-
-def betainc(a, b, x) -> np.ndarray:
-    """Regularised incomplete beta I_x(a, b), elementwise."""
-    a, b, x = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, b, x))
+_DEEPEST = 1 << 17
+
+
+def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log B(a, b). For a large argument the difference of two huge
+    log-gammas would lose all digits; it is taken from Stirling's series."""
+    big, small = np.maximum(a, b), np.minimum(a, b)
+    lg = np.vectorize(math.lgamma, otypes=[float])
+
+    def tail(z):
+        return 1 / (12 * z) - 1 / (360 * z**3)
+
+    drop = (big - 0.5) * np.log1p(small / big) + small * np.log(big + small) - small + tail(big + small) - tail(big)
+    return np.where(big > 1e3, lg(small) - drop, lg(a) + lg(b) - lg(np.minimum(a + b, 1e300)))
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """1 / (1 + c1 / (1 + c2 / (1 + ...))) of the incomplete beta function,
+    from the inside out; the depth doubles until two values agree."""
+    last, depth = None, 64
+    while depth <= _DEEPEST:
+        value = np.ones_like(x)
+        for n in range(depth, 0, -1):
+            m, odd = divmod(n, 2)
+            top = -(a + m) * (a + b + m) if odd else m * (b - m)
+            value = 1 + top * x / ((a + n - 1) * (a + n)) / value
+        value = 1 / value
+        if last is not None and np.all(np.abs(value - last) <= 1e-14 * np.abs(value)):
+            return value
+        last, depth = value, 2 * depth
+    raise ArithmeticError("incomplete beta function did not converge")
+
+
+def betainc(a, b, x, rest=None) -> np.ndarray:
+    """Regularised incomplete beta I_x(a, b), elementwise. ``rest`` is 1 - x
+    where the caller knows it better than the difference gives it."""
+    a, b, x, y = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, b, x, 1.0 - np.asarray(x, dtype=float) if rest is None else rest))
     out = np.full(x.shape, np.nan)
-    ok = (x >= 0) & (x <= 1) & (a > 0) & (b > 0)
+    ok = (x >= 0) & (y >= 0) & (a > 0) & (b > 0)
     out[ok & (x == 0)] = 0.0
-    out[ok & (x == 1)] = 1.0
-    mid = ok & (x > 0) & (x < 1)
-    if mid.any():
-        am, bm, xm = a[mid], b[mid], x[mid]
-        lg = np.vectorize(math.lgamma)
-        front = np.exp(lg(am + bm) - lg(am) - lg(bm) + am * np.log(xm) + bm * np.log1p(-xm))
-        direct = xm < (am + 1.0) / (am + bm + 2.0)
-        res = np.empty_like(xm)
-        res[direct] = front[direct] * _betacf(am[direct], bm[direct], xm[direct]) / am[direct]
-        flip = ~direct
-        res[flip] = 1.0 - front[flip] * _betacf(bm[flip], am[flip], 1.0 - xm[flip]) / bm[flip]
-        out[mid] = res
+    out[ok & (y == 0)] = 1.0
+    inner = ok & (x > 0) & (y > 0)
+    swap = inner & (x * (a + b + 2) > a + 1)
+    for part, p, q, u, v in ((inner & ~swap, a, b, x, y), (swap, b, a, y, x)):
+        if part.any():
+            p, q, u, v = p[part], q[part], u[part], v[part]
+            log_u = np.where(u < 0.5, np.log(u), np.log1p(-v))
+            log_v = np.where(v < 0.5, np.log(v), np.log1p(-u))
+            value = np.exp(p * log_u + q * log_v - _log_beta(p, q)) / p * _beta_fraction(p, q, u)
+            out[part] = value if part is not swap else 1.0 - value
     return out
 
 
 def t_sf_two_sided(t, df) -> np.ndarray:
     """P(|T| > |t|) for Student-t with ``df`` degrees of freedom."""
     t, df = np.asarray(t, dtype=float), np.asarray(df, dtype=float)
-    return betainc(df / 2.0, 0.5, df / (df + t * t))
+    return betainc(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def t_cdf(t, df) -> np.ndarray:
@@ -82,14 +85,22 @@ def t_cdf(t, df) -> np.ndarray:
 
 
 def t_ppf(q, df, iters: int = 200) -> np.ndarray:
-    """Student-t quantile by bisection on the CDF."""
+    """Student-t quantile by bisection on the tail, from a bracket that grows
+    until it holds the quantile."""
     q, df = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(q, df))
-    lo, hi = np.full(q.shape, -1e3), np.full(q.shape, 1e3)
+    tail = 2 * np.minimum(q, 1 - q)
+    hi = np.ones(q.shape)
+    for _ in range(1000):
+        short = t_sf_two_sided(hi, df) > tail
+        if not short.any():
+            break
+        hi = np.where(short, 2 * hi, hi)
+    lo = np.zeros(q.shape)
     for _ in range(iters):
         mid = 0.5 * (lo + hi)
-        below = t_cdf(mid, df) < q
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return 0.5 * (lo + hi)
+        inside = t_sf_two_sided(mid, df) > tail
+        lo, hi = np.where(inside, mid, lo), np.where(inside, hi, mid)
+    return np.where(q < 0.5, -1.0, 1.0) * 0.5 * (lo + hi)
 
 
 def chi2_sf_1df(x) -> np.ndarray:

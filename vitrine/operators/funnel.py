@@ -224,15 +224,17 @@ def delay_rate_by_state(t: RetailTables, excluded=DEFAULT_EXCLUDED, min_orders:
                  (F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date"))
                  .cast("int").alias("is_delayed")))
     rows = o.join(t.customers.select("customer_id", "customer_state"), "customer_id", "left")
-    national = rows.agg(rnd(F.avg("is_delayed") * 100, 2).alias("national_rate_pct"))
+    # compared and cut unrounded: late * all_total against all_late * total
+    national = rows.agg(F.sum("is_delayed").alias("_all_late"), F.count(F.lit(1)).alias("_all"))
     by_state = (rows.where(F.col("customer_state").isNotNull()).groupBy("customer_state")
                 .agg(F.count(F.lit(1)).alias("total"), F.sum("is_delayed").alias("delayed"))
-                .where(F.col("total") > min_orders)
-                .withColumn("rate_pct", rnd(F.col("delayed") * 100.0 / F.col("total"), 2)))
-    top_states = by_state.orderBy(F.desc("rate_pct"), F.desc("customer_state")).limit(top)
+                .where(F.col("total") > min_orders))
+    top_states = by_state.orderBy(F.desc(F.col("delayed") / F.col("total")), F.desc("customer_state")).limit(top)
     return top_states.crossJoin(F.broadcast(national)).select(
-        "customer_state", "total", F.col("delayed").cast("bigint").alias("delayed"), "rate_pct",
-        "national_rate_pct", (F.col("rate_pct") > F.col("national_rate_pct")).alias("above_national"))
+        "customer_state", "total", F.col("delayed").cast("bigint").alias("delayed"),
+        rnd(F.col("delayed") * 100.0 / F.col("total"), 2).alias("rate_pct"),
+        rnd(F.col("_all_late") * 100.0 / F.col("_all"), 2).alias("national_rate_pct"),
+        (F.col("delayed") * F.col("_all") > F.col("_all_late") * F.col("total")).alias("above_national"))
 
 
 def funnel_summary_as_written(t: RetailTables) -> DataFrame:

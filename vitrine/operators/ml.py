@@ -175,7 +175,8 @@ def hash_key(df: DataFrame, col: str) -> Column:
     step, (key x 48271) mod (2^31 - 1), the same in every engine; other keys
     (the marketplace's hex ids) use the seeded 64-bit xxHash."""
     if dict(df.dtypes)[col] in ("tinyint", "smallint", "int", "bigint"):
-        return (F.col(col).cast("bigint") * 48271) % 2147483647
+        # reduced first: the product of a 64-bit key would overflow
+        return (F.col(col).cast("bigint") % 2147483647 * 48271) % 2147483647
     return F.pmod(F.xxhash64(F.col(col), F.lit(SEED)), F.lit(2147483647))
 
 

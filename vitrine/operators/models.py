@@ -54,44 +54,45 @@ _CACHE: dict = {}
 
 
 def _key(t: RetailTables, name: str):
+    """By the identity of the input files; tables without one (built in
+    memory) share nothing with any other bundle."""
     spark = t.orders.sparkSession
-    return (spark.sparkContext.applicationId, tuple(sorted(t.orders.inputFiles())), name)
+    return (spark.sparkContext.applicationId, t.dataset_id or ("object", id(t)), name)
 
 
 def _cached(t: RetailTables, name: str, build):
     k = _key(t, name)
     if k not in _CACHE:
-        _CACHE[k] = build()
-    return _CACHE[k]
+        # the bundle is kept with its entry, so that no other gets its id()
+        _CACHE[k] = (t, build())
+    return _CACHE[k][1]
 
 
 def _fit_root(t: RetailTables, name: str) -> str:
-    import hashlib
-    import sys
-
     from vitrine import session
 
-    files = sorted(f for df in t.as_dict().values() for f in df.inputFiles())
-    data = hashlib.sha1("|".join(files).encode()).hexdigest()[:16]
-    version = session.code_version(sys.modules[__name__], sys.modules["vitrine.operators.ml"])
-    return f"{session.shared_dir(t.orders.sparkSession)}/vitrine-models/{data}-{version}/{name.replace(':', '_')}"
+    return f"{session.shared_dir(t.orders.sparkSession)}/vitrine-models/{t.dataset_id}-{session.package_version()}/{name.replace(':', '_')}"
 
 
 def _persisted_fit(t: RetailTables, name: str, build) -> tuple[PipelineModel, DataFrame]:
     """Fit once per input and code version: the fitted pipeline (SNK3) and
     its scores are written to the shared checkpoint folder and reloaded by
-    later calls and later sessions instead of retraining."""
+    later calls and later sessions instead of retraining. Without an identity
+    of the input nothing is stored."""
     from vitrine import session
     from vitrine.sources.sinks import load_model, save_model
 
+    if t.dataset_id is None:
+        return build()
     spark = t.orders.sparkSession
     root = _fit_root(t, name)
+
     def write(out: str) -> None:
         model, scored = build()
         save_model(model, f"{out}/model")
         scored.write.mode("overwrite").parquet(f"{out}/scored")
 
-    session.publish(spark, root, write)
+    root = session.publish(spark, root, write)
     return load_model(f"{root}/model"), spark.read.parquet(f"{root}/scored")
 
 

@@ -102,6 +102,19 @@ def code_version(*modules) -> str:
     return h.hexdigest()[:10]
 
 
+def package_version() -> str:
+    """Short hash of the library's whole source (the text operators, which
+    nothing else uses, aside)."""
+    import hashlib
+    from pathlib import Path
+
+    root, h = Path(__file__).parent, hashlib.sha1()
+    for p in sorted(root.rglob("*.py")):
+        if p.relative_to(root).parts[0] != "llm":
+            h.update(p.read_bytes())
+    return h.hexdigest()[:10]
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -119,24 +132,32 @@ def touch(spark: SparkSession, path: str) -> None:
     fs.create(p, True).close()
 
 
-def publish(spark: SparkSession, root: str, build) -> None:
-    """Produce a derived folder at ``root`` exactly once, even with several
-    writers: ``build(tmp)`` writes into a private folder, which is then
-    renamed into place (an atomic directory rename on HDFS and local file
-    systems). A writer that loses the race drops its copy."""
+def publish(spark: SparkSession, root: str, build) -> str:
+    """Produce a derived folder for ``root`` once and return its path.
+
+    ``build(tmp)`` writes into a folder of its own below ``root``; a small
+    pointer file, written last, names it. No rename is needed, so this holds
+    on object stores too. Readers follow the smallest pointer there is:
+    several writers at a time agree on one, and a folder without a pointer
+    (a writer that failed) is never read."""
     import uuid
 
-    if path_exists(spark, f"{root}/_COMPLETE"):
-        return
-    tmp = f"{root}.tmp-{uuid.uuid4().hex}"
-    build(tmp)
-    touch(spark, f"{tmp}/_COMPLETE")
-    src, fs = _fs(spark, tmp)
-    dst, _ = _fs(spark, root)
-    parent = dst.getParent()
-    if not fs.exists(parent):
-        fs.mkdirs(parent)
-    if fs.exists(dst) or not fs.rename(src, dst):
-        fs.delete(src, True)
-    if not path_exists(spark, f"{root}/_COMPLETE"):
+    found = _published(spark, root)
+    if found:
+        return found
+    name = uuid.uuid4().hex
+    build(f"{root}/data-{name}")
+    touch(spark, f"{root}/done-{name}")
+    found = _published(spark, root)
+    if not found:
         raise RuntimeError(f"could not publish {root}")
+    return found
+
+
+def _published(spark: SparkSession, root: str) -> str | None:
+    p, fs = _fs(spark, root)
+    if not fs.exists(p):
+        return None
+    names = sorted(st.getPath().getName() for st in fs.listStatus(p))
+    done = [n.removeprefix("done-") for n in names if n.startswith("done-")]
+    return f"{root}/data-{done[0]}" if done else None

@@ -145,10 +145,13 @@ class RetailTables:
     sellers: DataFrame
     # zip-code coordinates: read and profiled only (the export's largest file)
     geolocation: DataFrame | None = None
+    # identity of the files behind the tables; without it nothing derived from
+    # them is stored for later sessions
+    dataset_id: str | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
         """The eight core tables (optional ones only when present)."""
-        return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
+        return {f.name: getattr(self, f.name) for f in fields(self) if isinstance(getattr(self, f.name), DataFrame)}
 
     def register_views(self, prefix: str = "r_") -> None:
         """SRC4 (temp-view flavour): expose every table to ``spark.sql``."""
@@ -159,14 +162,17 @@ class RetailTables:
     @classmethod
     def from_csv(cls, spark: SparkSession, raw_dir: str, strict_timestamps: bool = False) -> "RetailTables":
         """SRC1/SRC2: headered CSVs with fixed schemas. A UTF-8 BOM in a header
-        is consumed by the CSV reader, so column names come out clean."""
+        is consumed by the CSV reader, so column names come out clean. Quoted
+        fields may hold line breaks and doubled quotes (free-text comments);
+        a header whose names or order differ from the schema is an error."""
         frames = {}
         from vitrine.session import path_exists
 
         for name, fname in CSV_FILES.items():
             if name == "geolocation" and not path_exists(spark, f"{raw_dir.rstrip('/')}/{fname}"):
                 continue
-            df = (spark.read.schema(CSV_SCHEMAS[name]).option("header", True)
+            df = (spark.read.schema(CSV_SCHEMAS[name]).option("header", True).option("enforceSchema", False)
+                  .option("multiLine", True).option("quote", '"').option("escape", '"')
                   .option("mode", "FAILFAST" if strict_timestamps else "PERMISSIVE")
                   .csv(f"{raw_dir.rstrip('/')}/{fname}"))
             frames[name] = parse_timestamps(df, TIMESTAMP_COLUMNS.get(name, []), strict_timestamps)
@@ -175,6 +181,7 @@ class RetailTables:
             products=frames["products"], translation=frames["translation"],
             reviews=frames["reviews"], payments=frames["payments"], sellers=frames["sellers"],
             geolocation=frames.get("geolocation"),
+            dataset_id=_identity(spark, [f"{raw_dir.rstrip('/')}/{f}" for f in CSV_FILES.values()]),
         )
 
     # ------------------------------------------------------------ TPC-H
@@ -187,8 +194,8 @@ class RetailTables:
         folder (SRC4: load once, query many times); later calls read them.
         """
         if materialize:
-            return cls(**materialized_views(spark, sf_dir))
-        return cls(**tpch_views(load_tpch(spark, sf_dir)))
+            return cls(**materialized_views(spark, sf_dir), dataset_id=_fingerprint(spark, sf_dir))
+        return cls(**tpch_views(load_tpch(spark, sf_dir)), dataset_id=_fingerprint(spark, sf_dir))
 
     def write(self, root: str) -> None:
         """SRC4: write every table as Parquet under ``root/<name>``."""
@@ -197,24 +204,38 @@ class RetailTables:
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> "RetailTables":
-        return cls(**{n: spark.read.parquet(f"{root.rstrip('/')}/{n}") for n in VIEW_NAMES})
+        from vitrine.session import path_exists
+
+        at = {n: f"{root.rstrip('/')}/{n}" for n in (*VIEW_NAMES, *OPTIONAL_NAMES)}
+        there = {n: p for n, p in at.items() if n in VIEW_NAMES or path_exists(spark, p)}
+        return cls(**{n: spark.read.parquet(p) for n, p in there.items()}, dataset_id=_identity(spark, list(there.values())))
 
 
 VIEW_NAMES = ("orders", "customers", "items", "products", "translation", "reviews", "payments", "sellers")
+OPTIONAL_NAMES = ("geolocation",)
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Identity of the input files (path, size, modification time) through
-    the Hadoop file system, so a changed input is never served stale."""
+    return _identity(spark, [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in TPCH_TABLES])
+
+
+def _identity(spark: SparkSession, roots: list[str]) -> str:
+    """Identity of input files (path, size, modification time; nested folders
+    included) through the Hadoop file system, so a changed input is never
+    served stale. Taken once per bundle of tables."""
     import hashlib
 
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     parts = []
-    for n in TPCH_TABLES:
-        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{n}.parquet")
+    for root in roots:
+        p = jvm.org.apache.hadoop.fs.Path(root)
         fs = p.getFileSystem(conf)
-        for st in fs.listStatus(p):
+        if not fs.exists(p):
+            continue
+        found = fs.listFiles(p, True)
+        while found.hasNext():
+            st = found.next()
             parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
     return hashlib.sha1("|".join(sorted(parts)).encode()).hexdigest()[:16]
 
@@ -251,7 +272,7 @@ def materialized_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
             payments_from_items(spark.read.parquet(f"{out}/items")).write.mode("overwrite").parquet(
                 f"{out}/payments")
 
-        session.publish(spark, root, build)
+        root = session.publish(spark, root, build)
         # DataFrames are immutable plans: resolve the tables once per session
         # and input, and hand the same plans to every query.
         _MATERIALIZED[key] = {n: spark.read.parquet(f"{root}/{n}") for n in VIEW_NAMES}

@@ -28,16 +28,20 @@ ENCODERS = (("customer_state", "Unknown", "state_enc"), ("product_category_name"
 
 
 def order_time_features(orders: DataFrame, t: RetailTables) -> DataFrame:
-    """Features known when an order is placed (no delivery columns needed)."""
-    items = t.items.groupBy("order_id").agg(F.sum("price").cast("double").alias("price"),
+    """Features known when an order is placed (no delivery columns needed);
+    only the batch's orders are aggregated."""
+    ids = orders.select("order_id").distinct()
+    own_items = t.items.join(ids, "order_id", "left_semi")
+    own_payments = t.payments.join(ids, "order_id", "left_semi")
+    items = own_items.groupBy("order_id").agg(F.sum("price").cast("double").alias("price"),
                                             F.sum("freight_value").cast("double").alias("freight"))
-    prod = (t.items.select("order_id", "product_id").join(t.products, "product_id")
+    prod = (own_items.select("order_id", "product_id").join(t.products, "product_id")
             .groupBy("order_id").agg(
                 F.coalesce(F.mode("product_category_name", deterministic=True), F.lit("unknown"))
                 .alias("product_category_name"),
                 *[F.avg(c).alias(c) for c in ("product_weight_g", "product_length_cm", "product_height_cm",
                                               "product_width_cm")]))
-    pay = t.payments.groupBy("order_id").agg(
+    pay = own_payments.groupBy("order_id").agg(
         F.coalesce(F.mode("payment_type", deterministic=True), F.lit("unknown")).alias("payment_type"))
     return (orders.select("order_id", "customer_id")
             .join(t.customers.select("customer_id", "customer_state"), "customer_id", "left")
@@ -53,20 +57,24 @@ def vocabularies(training: DataFrame) -> dict[str, DataFrame]:
 
 
 def encode(df: DataFrame, vocab: dict[str, DataFrame]) -> DataFrame:
-    """Apply fitted codes; a value unseen at training time gets null and the
-    row is not scored (as the model cannot place it)."""
+    """Apply fitted codes; a value unseen at training time gets null."""
     for col, fill, code in ENCODERS:
         df = (df.withColumn(col, F.coalesce(F.col(col), F.lit(fill)))
-              .join(F.broadcast(vocab[col]), col, "left"))
+              .join(vocab[col], col, "left"))
     return df
 
 
 def score_orders(orders: DataFrame, t: RetailTables, model: PipelineModel, vocab: dict[str, DataFrame],
                  threshold: float = 0.7) -> DataFrame:
-    feats = encode(order_time_features(orders, t), vocab).dropna(subset=DELAY_FEATURES)
-    return (model.transform(feats)
-            .select("order_id", vector_to_array(F.col("probability"))[1].alias("delay_probability"))
-            .withColumn("flagged", F.col("delay_probability") > threshold)
+    """Every order once, with its probability; an order the model can't place
+    has null there and the columns it lacks in ``reason``."""
+    feats = encode(order_time_features(orders, t), vocab)
+    lacks = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in DELAY_FEATURES])
+    feats = feats.withColumn("reason", F.nullif(lacks, F.lit("")))
+    scored = (model.transform(feats.where("reason is null"))
+              .select("order_id", vector_to_array(F.col("probability"))[1].alias("delay_probability"), "reason"))
+    rest = feats.where("reason is not null").select("order_id", F.lit(None).cast("double").alias("delay_probability"), "reason")
+    return (scored.unionByName(rest).withColumn("flagged", F.col("delay_probability") > threshold)
             .withColumn("scored_at", F.current_timestamp()))
 
 
@@ -74,11 +82,12 @@ def start_delay_scoring(spark: SparkSession, source_dir: str, sink_dir: str, che
                         t: RetailTables, model: PipelineModel, vocab: dict[str, DataFrame],
                         threshold: float = 0.7, available_now: bool = True) -> StreamingQuery:
     """Start the scoring stream over new order files in ``source_dir``
-    (Parquet with the orders schema). Returns the running query."""
+    (Parquet with the orders schema). Returns the running query. Each batch
+    has its own folder ``batch=<id>``, which a retry of the batch overwrites."""
     stream = spark.readStream.schema(t.orders.schema).parquet(source_dir)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        score_orders(batch, t, model, vocab, threshold).write.mode("append").parquet(sink_dir)
+        score_orders(batch, t, model, vocab, threshold).write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 day")
