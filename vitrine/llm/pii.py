@@ -7,7 +7,8 @@ documents t occurs at all. PMI(t, e) = log2(N * n_te / (n_t * n_e)), and
 IC(e) = log2(N / n_e) is what knowing e itself discloses. A term whose PMI
 reaches ``generalise`` (a share of IC) is replaced by a general one, from
 ``remove`` on it goes altogether. Terms must stand near e in at least
-``support`` different surroundings: copies of a document are no evidence.
+``support`` different surroundings, and these must not be near copies of each
+other: copies of a document are no evidence.
 
 Defined results: a null text is empty and has no spans; repeated rows get the
 same spans, each for itself; an empty table gives an empty result; of other
@@ -37,6 +38,8 @@ _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = r"\p{L}{3,}"
 #: Characters of a neighbouring piece in which context words are looked for, and words on each side.
 REACH, NEAR = 120, 5
+#: Share of different words among all words near a value, over its surroundings, below which these are near copies.
+VARIED = 0.5
 
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>"
 
@@ -121,8 +124,10 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, generalise: float = 0.9,
     around = stash(seen.groupBy("c.e", "c.l", "c.r").count(), "pii-surroundings")
     near_by = around.select("e", "count", F.explode(F.array_distinct(F.concat("l", "r"))).alias("term"))
     n_e = around.groupBy("e").agg(F.sum("count").alias("n_e"))
-    pairs = near_by.groupBy("e", "term").agg(F.sum("count").alias("n_te"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= support)
-    pairs = stash(pairs.join(n_e, "e"), "pii-pairs")
+    pairs = near_by.groupBy("e", "term").agg(F.sum("count").alias("n_te"), F.count(F.lit(1)).alias("kinds"))
+    # surroundings that hardly differ come from near copies of one document
+    varied = pairs.groupBy("e").agg(F.sum("kinds").alias("words"), F.count(F.lit(1)).alias("different")).where(F.col("different") >= VARIED * F.col("words"))
+    pairs = stash(pairs.where(F.col("kinds") >= support).join(n_e, "e").join(varied.select("e"), "e", "left_semi"), "pii-pairs")
     if pairs.isEmpty():
         return None
     wanted = stash(pairs.select("term").distinct(), "pii-terms")
