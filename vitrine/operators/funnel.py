@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import DEFAULT_EXCLUDED, active_status, pct, rnd
 from vitrine.operators.prepare import (
+    category_lines,
     fanout,
-    items_with_category,
     orders_enriched,
     review_stats,
 )
@@ -22,7 +22,7 @@ from vitrine.sources.tables import RetailTables
 
 QUERIES = ("funnel_summary", "funnel_by_state", "funnel_by_category", "funnel_by_category_distinct",
            "delay_root_cause", "monthly_performance", "delay_rate_by_state", "funnel_summary_as_written",
-           "funnel_by_category_as_written")
+           "funnel_by_category_as_written", "delay_root_cause_as_written")
 
 # The spelling the original funnel and cohort scripts filter on. It matches
 # no status in data spelled 'canceled', so those queries keep the cancelled
@@ -85,24 +85,25 @@ def funnel_by_state(t: RetailTables) -> DataFrame:
 def _category_rows(t: RetailTables, order_filter) -> DataFrame:
     o = orders_enriched(t).where(order_filter).select("order_id", "customer_id", "order_month",
                                                        "delivery_delay_days")
-    return items_with_category(t).join(o, "order_id")
+    return category_lines(t).join(o, "order_id")
 
 
 def funnel_by_category(t: RetailTables, excluded=DEFAULT_EXCLUDED, min_orders: int = 100,
                        top: int = 20) -> DataFrame:
     """FU3: category funnel over item rows, reviews joined raw (late rate over
     joined rows, as written); categories with more than ``min_orders`` orders,
-    highest late rate first."""
+    highest late rate first. Works on one row per (order, category)."""
     rows = _weighted(_category_rows(t, active_status(excluded=excluded))
                      .join(review_stats(t.reviews), "order_id", "left"))
-    m = F.col("m")
+    m, n = F.col("m"), F.col("n")
+    w = m * n
     agg = rows.groupBy("category").agg(
-        F.count_distinct("order_id").alias("total_orders"),
+        F.count(F.lit(1)).alias("total_orders"),
         F.sum(F.col("price") * m).alias("_revenue"),
-        F.sum(m).alias("_rows"),
-        (F.sum(_delay() * m) / F.sum(F.when(_delay().isNotNull(), m))).alias("_avg_delay"),
-        F.sum(F.when(_delay() > 0, m).otherwise(0)).alias("late_orders"),
-        (F.sum("sum_score") / F.sum("n_scored")).alias("_avg_review"),
+        F.sum(w).alias("_rows"),
+        (F.sum(_delay() * w) / F.sum(F.when(_delay().isNotNull(), w))).alias("_avg_delay"),
+        F.sum(F.when(_delay() > 0, w).otherwise(0)).alias("late_orders"),
+        (F.sum(F.col("sum_score") * n) / F.sum(F.col("n_scored") * n)).alias("_avg_review"),
     ).where(F.col("total_orders") > min_orders)
     out = agg.select(
         "category", "total_orders", rnd("_revenue", 2).alias("total_revenue"),
@@ -119,20 +120,12 @@ def funnel_by_category_distinct(t: RetailTables, excluded=DEFAULT_EXCLUDED, min_
     """FU4: the corrected category funnel: late orders and the late rate count
     distinct orders; reviews are averaged per order before the join.
 
-    Two-stage aggregation: (category, order) then category, so both distinct
-    counts become plain counts and no Expand is needed.
+    One row per (order, category) reaches the joins, so both distinct counts
+    are plain counts and no Expand is needed.
     """
-    rows = (_category_rows(t, active_status(excluded=excluded))
-            .join(review_stats(t.reviews).select("order_id", "avg_score"), "order_id", "left"))
-    per_order = rows.groupBy("category", "order_id").agg(
-        F.sum("price").alias("price"),
-        F.count(F.lit(1)).alias("n"),
-        F.max("delivery_delay_days").alias("delay"),
-        F.max("avg_score").alias("avg_score"),
-    )
-    n = F.col("n")
-    d = F.col("delay")
-    s = F.col("avg_score")
+    per_order = (_category_rows(t, active_status(excluded=excluded))
+                 .join(review_stats(t.reviews).select("order_id", "avg_score"), "order_id", "left"))
+    n, d, s = F.col("n"), _delay(), F.col("avg_score")
     agg = per_order.groupBy("category").agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.sum("price").alias("_revenue"),
@@ -159,25 +152,19 @@ def delay_root_cause(t: RetailTables, min_orders: int = 30, top: int = 25,
     orders; ``'compat'`` keeps the original fan-out numerator over a distinct
     denominator, which can exceed 100%.
     """
-    rows = _weighted(
-        _category_rows(t, F.col("order_delivered_customer_date").isNotNull())
-        .join(t.customers.select("customer_id", "customer_state"), "customer_id")
-        .join(review_stats(t.reviews), "order_id", "left"))
-    m = F.col("m")
-    per_order = rows.groupBy("customer_state", "category", "order_id").agg(
-        F.sum(m).alias("w"),
-        F.max("delivery_delay_days").alias("delay"),
-        F.sum("sum_score").alias("sum_score"),
-        F.sum("n_scored").alias("n_scored"),
-    )
-    w, d = F.col("w"), F.col("delay")
+    o = (orders_enriched(t).where(F.col("order_delivered_customer_date").isNotNull())
+         .select("order_id", "customer_id", "delivery_delay_days")
+         .join(t.customers.select("customer_id", "customer_state"), "customer_id"))
+    rows = _weighted(category_lines(t).join(o, "order_id").join(review_stats(t.reviews), "order_id", "left"))
+    n, d = F.col("n"), _delay()
+    w = F.col("m") * n
     late = (F.count_if(d > 0) if late_rate == "distinct"
             else F.sum(F.when(d > 0, w).otherwise(0)))
-    agg = per_order.groupBy("customer_state", "category").agg(
+    agg = rows.groupBy("customer_state", "category").agg(
         F.count(F.lit(1)).alias("total_orders"),
         (F.sum(d * w) / F.sum(F.when(d.isNotNull(), w))).alias("_avg_delay"),
         late.alias("_late"),
-        (F.sum("sum_score") / F.sum("n_scored")).alias("_avg_review"),
+        (F.sum(F.col("sum_score") * n) / F.sum(F.col("n_scored") * n)).alias("_avg_review"),
     ).where(F.col("total_orders") > min_orders)
     out = agg.select(
         "customer_state", "category", "total_orders", rnd("_avg_delay", 1).alias("avg_delay_days"),
@@ -245,3 +232,8 @@ def funnel_summary_as_written(t: RetailTables) -> DataFrame:
 def funnel_by_category_as_written(t: RetailTables) -> DataFrame:
     """FU3 with the original status spelling (the golden category funnel)."""
     return funnel_by_category(t, excluded=AS_WRITTEN)
+
+
+def delay_root_cause_as_written(t: RetailTables) -> DataFrame:
+    """FU5 with the original late rate: joined late rows over distinct orders."""
+    return delay_root_cause(t, late_rate="compat")

@@ -139,6 +139,24 @@ def items_with_category(t: RetailTables) -> DataFrame:
     return t.items.join(prod, "product_id", "inner")
 
 
+def category_lines(t: RetailTables) -> DataFrame:
+    """Items rolled up to one row per (order, category): ``n`` lines, price and
+    freight totals. The order joins then meet an order a few times at most,
+    however many lines it has (map-side partial sums absorb a hot order)."""
+    return _line_totals(items_with_category(t), "order_id", "category")
+
+
+def order_lines(t: RetailTables) -> DataFrame:
+    """Items rolled up to one row per order, with the columns of
+    ``category_lines`` but the category."""
+    return _line_totals(t.items, "order_id")
+
+
+def _line_totals(items: DataFrame, *keys: str) -> DataFrame:
+    return items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price"),
+                                    F.sum("freight_value").alias("freight_value"))
+
+
 def denormalise_orders(t: RetailTables, mode: str = "rollup") -> DataFrame:
     """PRP4: orders ⟕ customers ⟕ items ⟕ payments ⟕ products ⟕ reviews ⟕
     sellers.
@@ -181,12 +199,17 @@ def _q_denormalised(t: RetailTables) -> DataFrame:
 
 
 def _q_dedup(t: RetailTables) -> DataFrame:
-    """PRP5 as a query: one row per (order, item); orders without items once."""
-    wide = (denormalise_orders(t).select("order_id", "order_item_id", "price", "freight_value")
-            .withColumn("payment_sequential", F.lit(1)).withColumn("review_id", F.lit(1)))
+    """PRP5 as a query: one row per (order, item) of items x payments x
+    reviews, where an item repeats for every payment and review of its order;
+    orders without items once."""
+    wide = (t.orders.select("order_id")
+            .join(t.items.select("order_id", "order_item_id", "price", "freight_value"), "order_id", "left")
+            .join(t.payments.select("order_id", "payment_sequential", "payment_type"), "order_id", "left")
+            .join(t.reviews.select("order_id", "review_id", "review_score"), "order_id", "left"))
     return dedup_order_items(wide).select("order_id", "order_item_id",
                                           F.col("price").cast("double").alias("price"),
-                                          F.col("freight_value").cast("double").alias("freight_value"))
+                                          F.col("freight_value").cast("double").alias("freight_value"),
+                                          "payment_type", "review_score")
 
 
 def _q_latest_review(t: RetailTables) -> DataFrame:

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import DEFAULT_EXCLUDED, CostModel, active_status, pct, rnd
 from vitrine.operators.prepare import (
+    category_lines,
     fanout,
     items_per_order,
     items_with_category,
+    order_lines,
     orders_enriched,
     payments_per_order,
     review_stats,
@@ -46,32 +48,37 @@ def _zero():
 
 
 # --------------------------------------------------------------- item models
-def item_rows(t: RetailTables, order_filter: Column | None, cost: CostModel = COST,
-              with_category: bool = False, with_state: bool = False) -> DataFrame:
-    """Item rows with their review multiplicity ``m`` and weighted sums.
-
-    Sums over the raw ``items ⟕ reviews`` rows equal ``price * m`` etc.;
-    ``disc`` is the discount summed over the ``n_low`` low-review copies.
-    """
+def _reviewed(lines: DataFrame, t: RetailTables, order_filter: Column | None, with_state: bool) -> DataFrame:
+    """``lines`` with their order's columns, review statistics and review
+    multiplicity ``m``; the customer joins the order, not its lines."""
     o = orders_enriched(t)
     if order_filter is not None:
         o = o.where(order_filter)
     o = o.select("order_id", "customer_id", "order_month", "delivery_delay_days")
-    items = items_with_category(t) if with_category else t.items
-    rows = items.join(o, "order_id")
     if with_state:
-        rows = rows.join(t.customers.select("customer_id", "customer_state"), "customer_id")
-    rows = rows.join(review_stats(t.reviews), "order_id", "left")
-    m = fanout()
-    n_low = F.coalesce(F.col("n_low"), F.lit(0))
+        o = o.join(t.customers.select("customer_id", "customer_state"), "customer_id")
+    return (lines.join(o, "order_id").join(review_stats(t.reviews), "order_id", "left")
+            .withColumn("m", fanout()).withColumn("n_low", F.coalesce("n_low", F.lit(0))))
+
+
+def line_totals(t: RetailTables, order_filter: Column | None, cost: CostModel = COST,
+                with_category: bool = False, with_state: bool = False) -> DataFrame:
+    """One row per order (and category) with sums over its raw
+    ``items ⟕ reviews`` rows: ``w`` rows, revenue ``price * m`` etc.;
+    ``disc_w`` is the discount summed over the ``n_low`` low-review copies.
+    Items are rolled up before the joins: both item models are linear in
+    price and freight."""
+    lines = category_lines(t) if with_category else order_lines(t)
+    rows = _reviewed(lines, t, order_filter, with_state)
+    m, n = F.col("m"), F.col("n")
     return rows.select(
         "*",
-        m.alias("m"),
+        (m * n).alias("w"),
         (F.col("price") * m).alias("rev_w"),
         (cost.item_shipping() * m).alias("ship_w"),
-        (F.col("price") * cost.lit("discount_rate") * n_low).alias("disc_w"),
-        F.coalesce(F.col("sum_score"), F.lit(0)).alias("score_w"),
-        F.coalesce(F.col("n_scored"), F.lit(0)).alias("scored_w"),
+        (F.col("price") * cost.lit("discount_rate") * F.col("n_low")).alias("disc_w"),
+        (F.coalesce(F.col("sum_score"), F.lit(0)) * n).alias("score_w"),
+        (F.coalesce(F.col("n_scored"), F.lit(0)) * n).alias("scored_w"),
     )
 
 
@@ -82,7 +89,7 @@ def _model_a(keys: list, rows: DataFrame, cost: CostModel = COST, extra: dict |
     per_order = rows.groupBy(*keys, "order_id").agg(
         F.sum("rev_w").alias("rev"), F.sum("ship_w").alias("ship"), F.sum("disc_w").alias("disc"),
         F.sum("score_w").alias("score"), F.sum("scored_w").alias("scored"),
-        F.sum("m").alias("w"), F.max("delivery_delay_days").alias("delay"),
+        F.sum("w").alias("w"), F.max("delivery_delay_days").alias("delay"),
         *[v.alias(k) for k, v in extra.items()])
     agg = per_order.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_orders"),
@@ -103,8 +110,7 @@ def order_item_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, top: int = 100
     their multiplicities; only the ``top`` best distinct rows are expanded to
     their copies, so the output is exact without materialising the fan-out.
     """
-    rows = (item_rows(t, active_status(excluded=excluded), cost, with_category=True, with_state=True)
-            .withColumn("n_low", F.coalesce(F.col("n_low"), F.lit(0))))
+    rows = _reviewed(items_with_category(t), t, active_status(excluded=excluded), with_state=True)
     variants = F.array(
         F.struct(F.lit(True).alias("low"), F.col("n_low").alias("k")),
         F.struct(F.lit(False).alias("low"), (F.col("m") - F.col("n_low")).alias("k")))
@@ -134,7 +140,7 @@ def order_item_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, top: int = 100
 def category_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, min_orders: int = 100,
                     cost: CostModel = COST) -> DataFrame:
     """PF2: model A by category, categories with more than ``min_orders``."""
-    a = _model_a(["category"], item_rows(t, active_status(excluded=excluded), cost, with_category=True), cost)
+    a = _model_a(["category"], line_totals(t, active_status(excluded=excluded), cost, with_category=True), cost)
     a = a.where(F.col("total_orders") > min_orders)
     return a.select(
         "category", "total_orders", rnd("_rev", 2).alias("total_revenue"),
@@ -145,7 +151,7 @@ def category_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, min_orders: int
 
 def state_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, cost: CostModel = COST) -> DataFrame:
     """PF3: model A by customer state, with the average delay."""
-    a = _model_a(["customer_state"], item_rows(t, active_status(excluded=excluded), cost, with_state=True), cost)
+    a = _model_a(["customer_state"], line_totals(t, active_status(excluded=excluded), cost, with_state=True), cost)
     return a.select("customer_state", "total_orders", rnd("_rev", 2).alias("total_revenue"),
                     rnd("_profit", 2).alias("total_profit"), pct("_profit", "_rev").alias("profit_margin_pct"),
                     rnd("_delay", 2).alias("avg_delay_days"))
@@ -156,7 +162,7 @@ def payment_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, min_orders: int =
     """PF4: model A by (first payment type, installments)."""
     first = t.payments.where(F.col("payment_sequential") == 1).select(
         "order_id", "payment_type", "payment_installments")
-    rows = item_rows(t, active_status(excluded=excluded), cost).join(first, "order_id")
+    rows = line_totals(t, active_status(excluded=excluded), cost).join(first, "order_id")
     a = _model_a(["payment_type", "payment_installments"], rows, cost).where(F.col("total_orders") > min_orders)
     return a.select("payment_type", "payment_installments", "total_orders",
                     rnd("_rev", 2).alias("total_revenue"), rnd("_profit", 2).alias("total_profit"),
@@ -166,7 +172,7 @@ def payment_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, min_orders: int =
 def monthly_profit(t: RetailTables, excluded=None, cost: CostModel = COST) -> DataFrame:
     """PF5: model A by purchase month; no status filter unless given."""
     flt = None if excluded is None else active_status(excluded=excluded)
-    a = _model_a(["order_month"], item_rows(t, flt, cost), cost)
+    a = _model_a(["order_month"], line_totals(t, flt, cost), cost)
     return a.select(F.col("order_month").alias("month"), "total_orders",
                     rnd("_rev", 2).alias("total_revenue"), rnd("_profit", 2).alias("total_profit"),
                     pct("_profit", "_rev").alias("profit_margin_pct"))
@@ -178,12 +184,12 @@ def _model_b(keys: list, rows: DataFrame, cost: CostModel = COST) -> DataFrame:
         F.count_distinct("order_id").alias("total_orders"),
         F.sum("rev_w").alias("_rev"),
         (F.sum("rev_w") - F.sum("ship_w") - F.sum("disc_w")
-         - F.sum("m") * cost.lit("operational_cost")).alias("_profit"))
+         - F.sum("w") * cost.lit("operational_cost")).alias("_profit"))
 
 
 def month_category_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, cost: CostModel = COST) -> DataFrame:
     """PF6: model B by (month, category); revenue unrounded, profit rounded."""
-    rows = item_rows(t, active_status(excluded=excluded), cost, with_category=True)
+    rows = line_totals(t, active_status(excluded=excluded), cost, with_category=True)
     b = _model_b(["order_month", "category"], rows, cost)
     return b.select(F.col("order_month").alias("month"), "category",
                     F.col("_rev").cast("double").alias("total_revenue"),
@@ -192,7 +198,7 @@ def month_category_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, cost: Cost
 
 def geo_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, cost: CostModel = COST) -> DataFrame:
     """PF7: model B by customer state."""
-    rows = item_rows(t, active_status(excluded=excluded), cost, with_state=True)
+    rows = line_totals(t, active_status(excluded=excluded), cost, with_state=True)
     b = _model_b(["customer_state"], rows, cost)
     return b.select("customer_state", "total_orders", rnd("_rev", 2).alias("total_revenue"),
                     rnd("_profit", 2).alias("total_profit"), pct("_profit", "_rev").alias("profit_margin_pct"))

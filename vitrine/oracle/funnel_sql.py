@@ -42,6 +42,18 @@ FROM lines JOIN facts USING (order_id)
 WHERE valid GROUP BY category HAVING count(DISTINCT order_id) > 100
 ORDER BY late_rate_pct DESC, category NULLS FIRST LIMIT 20"""
 
+
+
+def _root_cause(late: str) -> str:
+    return f"""
+SELECT customer_state, category, count(*) AS total_orders, {_DAYS} AS avg_delay_days,
+  {P(late, "count(*)")} AS late_rate_pct,
+  {_mean("sum(points * n)", "sum(k * n)", 2)} AS avg_review_score
+FROM lines JOIN facts USING (order_id) JOIN r_customers USING (customer_id)
+WHERE got IS NOT NULL GROUP BY customer_state, category HAVING count(*) > 30
+ORDER BY late_rate_pct DESC, customer_state, category NULLS FIRST LIMIT 25"""
+
+
 _STEPS = f"""
 SELECT count(*) AS total_orders, count(*) FILTER (valid) AS valid_orders, count(paid) AS payment_confirmed,
   count(sent) AS shipped, count(got) AS delivered, count(*) FILTER (days <= 0) AS delivered_on_time,
@@ -70,13 +82,8 @@ SELECT category, count(*) AS total_orders, {R("sum(value)", 2)} AS total_revenue
 FROM lines JOIN facts USING (order_id)
 WHERE valid GROUP BY category HAVING count(*) > 100
 ORDER BY late_rate_pct DESC, category NULLS FIRST LIMIT 20""", _facts()),
-    "delay_root_cause": with_views(f"""
-SELECT customer_state, category, count(*) AS total_orders, {_DAYS} AS avg_delay_days,
-  {P("count(*) FILTER (days > 0)", "count(*)")} AS late_rate_pct,
-  {_mean("sum(points * n)", "sum(k * n)", 2)} AS avg_review_score
-FROM lines JOIN facts USING (order_id) JOIN r_customers USING (customer_id)
-WHERE got IS NOT NULL GROUP BY customer_state, category HAVING count(*) > 30
-ORDER BY late_rate_pct DESC, customer_state, category NULLS FIRST LIMIT 25""", _facts()),
+    "delay_root_cause": with_views(_root_cause("count(*) FILTER (days > 0)"), _facts()),
+    "delay_root_cause_as_written": with_views(_root_cause(LATE_ROWS), _facts()),
     "monthly_performance": with_views(f"""
 SELECT strftime(placed, '%Y-%m') AS month, count(*) AS total_orders, count(DISTINCT customer_unique_id) AS unique_customers,
   {R("sum(value * copies)", 2)} AS total_revenue, {R(f"sum(value * copies) / sum({W})", 2)} AS avg_order_value,

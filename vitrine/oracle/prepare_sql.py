@@ -23,8 +23,9 @@ LEFT JOIN (SELECT order_id, review_score FROM (SELECT *, row_number() OVER (PART
   ON o.order_id = lr.order_id
 LEFT JOIN r_sellers s ON i.seller_id = s.seller_id"""),
     "dedup_order_items": with_views(f"""
-SELECT DISTINCT o.order_id, i.order_item_id, CAST(i.price AS DOUBLE) AS price,
-  CAST(i.freight_value AS DOUBLE) AS freight_value {WIDE}"""),
+SELECT o.order_id, i.order_item_id, CAST(i.price AS DOUBLE) AS price,
+  CAST(i.freight_value AS DOUBLE) AS freight_value, p.payment_type, r.review_score {WIDE}
+QUALIFY row_number() OVER (PARTITION BY o.order_id, i.order_item_id ORDER BY p.payment_sequential, r.review_id) = 1"""),
     "latest_review_per_order": with_views("""
 SELECT order_id, review_score FROM (
   SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY review_answer_timestamp DESC, review_id DESC) AS rn
