@@ -33,7 +33,7 @@ from vitrine.llm.common import stash, texts
 
 CAPACITY, END_ID = 2048, 0
 CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 2, 2, 8, 6
-WELL_FILLED, ROUNDS, CACHE, TOGETHER = 0.995, 6, 1_500_000, 1024
+WELL_FILLED, ROUNDS, CACHE, TOGETHER = 0.995, 6, 1_500_000, 256
 
 
 class CachedTokenizer:
@@ -58,8 +58,8 @@ class CachedTokenizer:
         holes = [[i for i, v in enumerate(vs) if v is None] if None in vs else [] for vs in found]
         new = list({ws[i] for ws, at in zip(split, holes) for i in at})
         encode = getattr(self._tok, "encode_batch_fast", self._tok.encode_batch)
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
+        for a in range(0, len(new), 2_000):
+            part = new[a : a + 2_000]
             for w, e in zip(part, encode([w.decode("utf-8") for w in part], add_special_tokens=False)):
                 known[w] = array("I", e.ids).tobytes()
         for ws, vs, at in zip(split, found, holes):
