@@ -257,6 +257,18 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(got[d] >= 0.3 for d, t in truth.items() if not t) <= 0.03 * len(truth)
 
 
+def test_toxicity_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    held = docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2").cache()
+    got = {r["doc_id"]: r["score"] >= 0.3 for r in toxicity.score(held.select("doc_id", "text"), toxicity.fit(docs, labels)).collect()}
+    rows = held.select("doc_id", "lang", "toxic").collect()
+    for lang in ("en", "de", "es", "fr"):
+        toxic, other = ([got[r["doc_id"]] for r in rows if r["lang"] == lang and r["toxic"] == t] for t in (1, 0))
+        assert sum(toxic) >= 0.6 * len(toxic), lang
+        assert sum(other) <= 0.1 * len(other), lang
+
+
 def test_toxicity_odd_input(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (6, 0), (None, 1)], "doc_id long, toxic int")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
 A dictionary holds the segments that pay most for its class: common words for
-ordinary text, and for toxic text the word pieces whose document rate among
-toxic texts is many times that among ordinary ones. Both dictionaries end in
+ordinary text, and for toxic text the whole words and parts of words, of PIECE
+to LONGEST_PIECE characters, whose document rate among toxic texts is many
+times that among ordinary ones. Both dictionaries end in
 the same ordinary part, so a window of a text compresses shorter with the
 toxic one only where it holds toxic pieces. The differences over all windows
 of a text are calibrated by logistic regression on labelled texts that took no
@@ -33,10 +34,10 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import learnable, stash, texts
 
-WINDOW, LEVEL, LONGEST = 12, 12, 512
-MAX_FIT = 3000
+WINDOW, LEVEL, LONGEST = 6, 12, 512
+MAX_FIT, FEWEST = 3000, 8
 ORDINARY_BYTES, TOXIC_BYTES = 24576, 16384
-PIECE, RATIO, SHARE = 5, 20.0, 0.01
+PIECE, LONGEST_PIECE, RATIO, SHARE = 5, 12, 20.0, 0.01
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -53,9 +54,22 @@ def windows(text: str | None) -> Iterator[bytes]:
         yield (" " + " ".join(out)).encode("utf-8", "replace")
 
 
-def _pieces(word: str) -> list[str]:
+def _pieces(word: str) -> set[str]:
+    """The word after a blank, and its parts of PIECE to LONGEST_PIECE characters."""
     s = " " + word
-    return [s[i : i + PIECE] for i in range(len(s) - PIECE + 1)]
+    return {s, *(s[i : i + k] for k in range(PIECE, min(LONGEST_PIECE, len(s)) + 1) for i in range(len(s) - k + 1))}
+
+
+def _telling_spans(word: str, telling: set[str]) -> list[str]:
+    """The parts of a word that overlapping telling pieces cover."""
+    s, spans = " " + word, []
+    places = [(0, len(s))] if s in telling else sorted((i, i + k) for k in range(PIECE, min(LONGEST_PIECE, len(s)) + 1) for i in range(len(s) - k + 1) if s[i : i + k] in telling)
+    for a, z in places:
+        if spans and a < spans[-1][1]:
+            spans[-1][1] = max(z, spans[-1][1])
+        else:
+            spans.append([a, z])
+    return [s[a:z] for a, z in spans]
 
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
@@ -63,22 +77,26 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     nt, no = max(1, len(toxic)), max(1, len(ordinary))
     in_toxic, in_ordinary, common, word_docs = Counter(), Counter(), Counter(), Counter()
-    for docs, counts, by_word in ((toxic, in_toxic, word_docs), (ordinary, in_ordinary, common)):
-        for t in docs:
-            held = set(_WORD.findall(t.lower()))
-            by_word.update(held)
-            counts.update({p for w in held for p in _pieces(w)})
-    telling = {p for p, n in in_toxic.items() if n >= max(3, SHARE * nt) and n / nt >= RATIO * (in_ordinary[p] + 0.5) / no}
+    for t in toxic:
+        held = set(_WORD.findall(t.lower()))
+        word_docs.update(held)
+        in_toxic.update({p for w in held for p in _pieces(w)})
+    # only pieces that enough toxic texts hold are looked for in ordinary ones
+    often = {p for p, n in in_toxic.items() if n >= max(3, SHARE * nt)}
+    known: dict[str, set[str]] = {}
+    for t in ordinary:
+        held = set(_WORD.findall(t.lower()))
+        common.update(held)
+        for w in held:
+            if w not in known:
+                known[w] = _pieces(w) & often
+        in_ordinary.update(set().union(*(known[w] for w in held)))
+    telling = {p for p in often if in_toxic[p] / nt >= RATIO * (in_ordinary[p] + 0.5) / no}
     segments: Counter = Counter()
     for w, n in word_docs.items():
-        s, i = " " + w, 0
-        while i <= len(s) - PIECE:
-            j = i
-            while j <= len(s) - PIECE and s[j : j + PIECE] in telling:
-                j += 1
-            if j > i:
-                segments[s[i : j - 1 + PIECE]] += n
-            i = j + 1
+        for x in _telling_spans(w, telling):
+            segments[x] += n
+
     def packed(items: list[tuple[str, int]], limit: int, lead: str = "") -> bytes:
         out = b""  # the most frequent last: the nearest offsets are the cheapest
         for s, _ in items:
@@ -111,12 +129,14 @@ class Meter:
         plain, toxic = self._sizes
         gains = Counter(len(plain(w)) - len(toxic(w)) for w in windows(text))
         n = sum(gains.values())
+        # ordinary windows gain now and then, so a long text has to gain more often; FEWEST keeps short ones from standing out by length
+        length = np.log1p(max(n, FEWEST))
         if not n:
-            return (0.0, 0.0, 0.0, 0.0, 0.0)
-        strong = sum(c for g, c in gains.items() if g >= 3)
+            return (0.0, 0.0, 0.0, 0.0, 0.0, length, 0.0, 0.0)
+        at = lambda least: sum(c for g, c in gains.items() if g >= least)
         mass = sum(g * c for g, c in gains.items() if g >= 2)
         top = max(max(gains), 0)
-        return (float(min(top, 12)), float(min(top, 12) >= 5), np.log1p(strong), strong / n, mass / n)
+        return (float(min(top, 12)), float(min(top, 12) >= 5), np.log1p(at(3)), at(3) / n, mass / n, length, np.log1p(at(2)), np.log1p(at(5)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
