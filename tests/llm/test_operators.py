@@ -415,6 +415,22 @@ def test_leaks_are_found_verbatim_and_reworded(spark, docs, empty):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_every_short_item_of_a_large_benchmark_is_found(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    sizes = [1, 2, 5, *([15] * 1500)]
+    items = [(i, words(n) if n > 2 else [f"single{k}x{i}" for k in range(n)]) for i, n in enumerate(sizes)]
+    rows = []
+    for i, w in items:
+        around = words(120)
+        cut = rng.randrange(len(around))
+        rows.append((i, " ".join(around[:cut] + w + around[cut:])))
+    docs = spark.createDataFrame([*rows, *[(10_000 + k, " ".join(words(200))) for k in range(100)]], "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    assert got == {(i, i) for i, _ in items}
+
+
 def test_decontamination_odd_input(spark, odd):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one short item that nobody holds")], "item_id long, text string")
     out = decontaminate.drop_leaking(odd, items)
