@@ -160,6 +160,21 @@ def test_terms_that_disclose_an_entity_are_found_and_replaced(spark):
     assert clean[100] == dict(rows)[100]
 
 
+def test_terms_near_a_frequent_entity_or_in_a_formula_are_found(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    filler = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(i, f"{filler(9)} Hotname hot@corp.example.com {filler(9)}") for i in range(1500)]
+    rows += [(2000 + i, f"{filler(9)} contact Formulaic Person by phone at few@corp.example.com {filler(9)}") for i in range(4)]
+    rows += [(3000 + i, f"copies with {filler(1)} of one quixotic mail hut@corp.example.com sent around once more") for i in range(700)]
+    rows += [(4000 + i, filler(20)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: set(r["t"]) for r in pii.find_pii(df).select("doc_id", F.transform("_terms", lambda s: F.lower(s["value"])).alias("t")).collect()}
+    assert all("hotname" in found[i] for i in range(1500))
+    assert all({"formulaic", "person"} <= found[2000 + i] for i in range(4))
+    assert not any(found[3000 + i] for i in range(700))
+
+
 def test_pii_odd_input(odd, empty):
     out = pii.sanitise(odd)
     assert out.columns == odd.columns and out.count() == len(ODD)

@@ -38,8 +38,8 @@ _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = r"\p{L}{3,}"
 #: Characters of a neighbouring piece in which context words are looked for, and words on each side.
 REACH, NEAR = 120, 5
-#: Share of different words among all words near a value, over its surroundings, below which these are near copies.
-VARIED = 0.5
+#: Share of common words among all words of two surroundings from which these are near copies, and surroundings compared in one go.
+COPY, TOGETHER = 0.5, 256
 
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>"
 
@@ -109,6 +109,29 @@ def _entity(s: Column) -> Column:
     return F.concat_ws(":", s["kind"], plain)
 
 
+def _supported(near_by: DataFrame, pairs: DataFrame, support: int) -> DataFrame:
+    """(e, term) with ``support`` surroundings no two of which are near copies.
+    In rounds, groups of about TOGETHER surroundings of a pair keep up to
+    ``support`` that differ from each other, however often the entity occurs."""
+    left = stash(near_by.join(pairs.where(F.col("kinds") >= support).select("e", "term", "kinds"), ["e", "term"]).select("e", "term", "around", "kinds"), "pii-around")
+    close = lambda a, b: F.size(F.array_intersect(a, b)) * (1 + COPY) >= COPY * (F.size(a) + F.size(b))
+
+    def add(acc: Column, x: Column) -> Column:
+        return F.when((F.size(acc) >= support) | F.exists(acc, lambda a: close(a, x)), acc).otherwise(F.concat(acc, F.array(x)))
+
+    together = max(TOGETHER, 4 * support)  # so each round leaves at most about a quarter
+    while True:
+        most = left.agg(F.max("kinds")).first()[0] or 0
+        groups = F.ceil(F.col("kinds") / together)
+        some = left.groupBy("e", "term", F.pmod(F.xxhash64("around"), groups).alias("part")).agg(F.sort_array(F.collect_list("around")).alias("all"))
+        kept = settled(some.withColumn("kept", F.aggregate("all", F.array().cast("array<array<bigint>>"), add)), "kept").drop("all", "part")
+        if most <= together:
+            return kept.where(F.size("kept") >= support).select("e", "term")
+        left = kept.select("e", "term", F.explode("kept").alias("around"))
+        sizes = left.groupBy("e", "term").agg(F.count(F.lit(1)).alias("kinds"))
+        left = stash(left.join(sizes, ["e", "term"]), "pii-around")
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, generalise: float = 0.9, remove: float = 0.97, support: int = 3) -> DataFrame | None:
     """(term, action, ratio) over a threshold, or None if there are none.
 
@@ -122,12 +145,12 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, generalise: float = 0.9,
         _entity(s).alias("e"), F.slice(F.reverse(near(s["left"])), 1, NEAR).alias("l"), F.slice(near(s["right"]), 1, NEAR).alias("r"))))).alias("c"))
     # a row for each entity and surroundings, with the documents it stands in
     around = stash(seen.groupBy("c.e", "c.l", "c.r").count(), "pii-surroundings")
-    near_by = around.select("e", "count", F.explode(F.array_distinct(F.concat("l", "r"))).alias("term"))
+    words = F.array_distinct(F.concat("l", "r"))
+    near_by = around.select("e", "count", F.transform(words, lambda w: F.xxhash64(w)).alias("around"), F.explode(words).alias("term"))
     n_e = around.groupBy("e").agg(F.sum("count").alias("n_e"))
     pairs = near_by.groupBy("e", "term").agg(F.sum("count").alias("n_te"), F.count(F.lit(1)).alias("kinds"))
-    # surroundings that hardly differ come from near copies of one document
-    varied = pairs.groupBy("e").agg(F.sum("kinds").alias("words"), F.count(F.lit(1)).alias("different")).where(F.col("different") >= VARIED * F.col("words"))
-    pairs = stash(pairs.where(F.col("kinds") >= support).join(n_e, "e").join(varied.select("e"), "e", "left_semi"), "pii-pairs")
+    pairs = pairs.join(_supported(near_by, pairs, support), ["e", "term"])
+    pairs = stash(pairs.join(n_e, "e"), "pii-pairs")
     if pairs.isEmpty():
         return None
     wanted = stash(pairs.select("term").distinct(), "pii-terms")
