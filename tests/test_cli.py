@@ -3,7 +3,7 @@
 import subprocess
 import sys
 
-from conftest import ROOT
+from suite import ROOT
 
 
 def test_cli_lists_all_queries():

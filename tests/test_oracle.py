@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from vitrine.oracle.check import compare, duck
 
-from conftest import SF_SMALL
+from suite import SF_SMALL
 
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()
