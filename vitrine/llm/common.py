@@ -45,6 +45,52 @@ def settled(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in names], made).select(*[F.col(f"_settled.{c}").alias(c) if c in names else c for c in df.columns])
 
 
+def running_sums(numbers: str) -> Column:
+    """Inclusive running sums of an array column of longs. Appending to an
+    array copies it, so sums are taken in blocks of about the square root of
+    the length, and every block is then raised by what stands before it: a
+    hundred thousand entries copy a few million, not billions. The column must
+    exist already (see :func:`settled`)."""
+    c, nothing = F.col(numbers), F.array().cast("array<bigint>")
+    step = F.greatest(F.ceil(F.sqrt(F.size(c))), F.lit(1)).cast("int")
+    add = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
+    blocks = F.transform(F.sequence(F.lit(0), F.size(c) - 1, step), lambda a: F.aggregate(F.slice(c, a + 1, step), nothing, add))
+    raised = F.aggregate(
+        blocks, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<array<bigint>>").alias("out")),
+        lambda acc, b: F.struct((acc["at"] + F.element_at(b, -1)).alias("at"), F.concat(acc["out"], F.array(F.transform(b, lambda x: x + acc["at"]))).alias("out")),
+        lambda acc: F.flatten(acc["out"]),
+    )
+    return F.when(F.size(c) > 0, raised).otherwise(nothing)
+
+
+def find_all(rows: DataFrame, patterns: dict[str, str], guards: dict[str, str] | None = None) -> DataFrame:
+    """Adds per pattern the column ``_f_<name>``: its leftmost matches that do
+    not overlap, as structs (start, end, value) in code points, null if there
+    are none. A text without a match is searched once per pattern and not
+    taken apart; places come from the lengths of the pieces between matches.
+    A guard is a literal that every match holds. ``rows`` has ``text``."""
+    t, out = F.col("text"), rows
+    names = [n for n in patterns]
+    for n in names:
+        hit = t.rlike(patterns[n])
+        hit = t.contains(guards[n]) & hit if n in (guards or {}) else hit
+        out = out.withColumn(f"_m_{n}", F.when(hit, F.regexp_extract_all(t, F.lit(patterns[n]), F.lit(0))))
+    out = out.withColumns({f"_p_{n}": F.when(F.col(f"_m_{n}").isNotNull(), F.split(t, patterns[n], -1)) for n in names})
+    out = settled(out, *[f"_{a}_{n}" for a in "mp" for n in names])
+
+    def steps(n: str) -> Column:
+        return F.transform(f"_m_{n}", lambda x, i: (F.length(F.get(f"_p_{n}", i)) + F.length(x)).cast("bigint"))
+
+    lengths = {f"_l_{n}": steps(n) for n in names}
+    out = settled(out.withColumns(lengths).drop(*[f"_p_{n}" for n in names]), *lengths)
+    out = settled(out.withColumns({f"_e_{n}": running_sums(f"_l_{n}") for n in names}).drop(*lengths), *[f"_e_{n}" for n in names])
+
+    def placed(n: str) -> Column:
+        return F.transform(f"_m_{n}", lambda x, i: F.struct((F.get(f"_e_{n}", i) - F.length(x)).alias("start"), F.get(f"_e_{n}", i).alias("end"), x.alias("value")))
+
+    return out.withColumns({f"_f_{n}": placed(n) for n in names}).drop(*[f"_{a}_{n}" for a in "me" for n in names])
+
+
 def window_hashes(word_hashes: str, n: int) -> Column:
     """64-bit hashes of all runs of ``n`` neighbours in an array column of word
     hashes; empty if there are fewer. The column must exist already: it is

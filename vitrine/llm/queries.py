@@ -7,9 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontaminate, language, license, packing, pii, quality_model, quality_rules, simhash, toxicity, url_filter
+from vitrine.llm import decontaminate, importance, language, license, packing, pii, quality_model, quality_rules, secret_scan, simhash, toxicity, url_filter, whitening
 from vitrine.llm.common import learnable
-from vitrine.llm.oracle import URL_SQL
+from vitrine.llm.oracle import IMPORTANCE_SQL, SECRET_SQL, URL_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    number = lambda field, value: F.size(F.filter("found", lambda s: s[field] == value)).cast("long").alias(f"n_{value}")
+    base = F.filter("found", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.select(
+        "doc_id",
+        *[number("kind", k) for k in secret_scan.BASE],
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("found")).alias("spans"),
+        *[number("verdict", v) for v in ("live", "example")],
+        secret_scan.joined(F.filter("found", lambda s: s["verdict"] == "live")).alias("live_spans"),
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_pii": op2_pii,
@@ -87,6 +111,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
-SQL = {"op7_url_filter": URL_SQL}
+SQL = {"op7_url_filter": URL_SQL, "op11_importance_resampling": IMPORTANCE_SQL, "op12_secret_scan": SECRET_SQL}
