@@ -315,9 +315,30 @@ def test_license_matches_brute_force(spark, docs):
     assert any(i == 8 for _, i in want)
 
 
-def test_license_bands_and_odd_input(spark, odd, empty):
-    for fill in (0.3, 0.5, 0.8):
-        assert (1 - fill) ** license.bands(fill, 1e-3) <= 1e-3
+def test_license_bins_keep_the_miss_rate():
+    rng, miss = random.Random(11), 0.02
+    for width, size, part in ((8, 3, 3), (16, 7, 6), (32, 9, 8), (64, 17, 14)):
+        n, lost = license.bins(width, size, part, miss), 0
+        for _ in range(2000):
+            shared, window, template = ([rng.getrandbits(64) for _ in range(k)] for k in (part, width - part, size - part))
+            least = lambda hs: {(b, min(h >> 16 for h in hs if h % n == b)) for b in {h % n for h in hs}}
+            lost += not least(shared + window) & least(shared + template)
+        assert lost <= 2000 * miss * 1.5
+
+
+def test_license_in_long_texts_repeated_rows_and_equal_templates(spark):
+    notice = license.TEMPLATES[8][1]
+    filler = [" ".join(f"w{i * 7919 % 5003}" for i in range(n)) for n in (0, 5, 2040, 2047, 2048, 2049, 4090, 30000)]
+    rows = [(i, f"{f} {notice} {f}") for i, f in enumerate(filler)] * 2
+    templates = spark.createDataFrame([(1, "a", notice), (2, "b", notice.upper()), (3, "c", "one two three four five six seven")], "template_id int, license string, template string")
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, license string, _x string")
+    for limit in (license.KNOWN_LIMIT, 0):
+        got = license.scan(df, templates, known_limit=limit).collect()
+        assert Counter((r["doc_id"], r["template_id"], r["first_word"]) for r in got) == Counter({(i, t, len(f.split())): 2 for i, f in enumerate(filler) for t in (1, 2)})
+        assert all(r["containment"] == 1 for r in got)
+
+
+def test_license_odd_input(spark, odd, empty):
     t = license.make_templates(spark)
     assert license.scan(odd, t).count() == 0 and license.scan(empty, t).count() == 0
     assert license.scan(odd, t.limit(0)).count() == 0
