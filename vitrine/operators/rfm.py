@@ -1,9 +1,9 @@
 """RFM operators (RF1-RF7).
 
-Scores are global NTILE(5)s / quantile bins. They are computed with
-``plans.ranking`` (range-partitioned sort + offsets), never with an
-unpartitioned window, and every ordering ends in the customer key so ties are
-broken the same way in every engine.
+Scores are global NTILE(5)s / quantile bins. Only the customers at the bucket
+boundaries are looked up (``plans.selection``); every other one is scored by
+comparing its (value, key) with theirs, so nothing is sorted. Every ordering
+ends in the customer key, so ties are broken the same way in every engine.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import DEFAULT_EXCLUDED, active_status, delay_days_floor, rnd
-from vitrine.plans.ranking import checkpoint, global_rank, ntile, qcut_bin, quantile_edges
+from vitrine.plans.ranking import checkpoint, qcut_bin
+from vitrine.plans.selection import OrderKey, above, ntile_column, quantile_values, rows_at_ranks
 from vitrine.sources.tables import RetailTables
 
 QUERIES = ("rfm_base", "rfm_scores", "rfm_segments", "rfm_segment_summary", "rfm_segments_short",
@@ -106,10 +107,9 @@ def rfm_scored(t: RetailTables, by_state: bool = True, excluded=None) -> DataFra
     monetary ascending, customer key as tie-break."""
     keys = [F.col(k) for k in _keys(by_state)]
     base = checkpoint(rfm_metrics(t, by_state, excluded))
-    s = ntile(base, 5, [F.col("recency_days").desc(), *keys], "r_score")
-    s = ntile(s, 5, [F.col("frequency").asc(), *keys], "f_score")
-    s = ntile(s, 5, [F.col("monetary_value").asc(), *keys], "m_score")
-    return s
+    n = base.count()
+    order = {"r_score": -F.col("recency_days"), "f_score": F.col("frequency"), "m_score": F.col("monetary_value")}
+    return base.withColumns({name: ntile_column(base, OrderKey([value, *keys]), 5, n) for name, value in order.items()})
 
 
 def _out(df: DataFrame, by_state: bool, extra=()) -> DataFrame:
@@ -170,8 +170,9 @@ def rfm_qcut(master: DataFrame) -> DataFrame:
     Recency = whole days to (latest purchase + 1 day); frequency = orders;
     monetary = payments; R and M are qcut into 5 bins on linearly
     interpolated edges (R labels reversed); F is qcut on the row number by
-    (frequency, customer) — rank(method='first') — so its edges are
-    1 + (n-1)·p.
+    (frequency, customer), rank(method='first'), so its edges are
+    1 + (n-1)·p and a row lies above an edge if it comes after the row of
+    that rank, rounded down.
     """
     snap = master.agg((F.max("order_purchase_timestamp") + F.expr("INTERVAL 1 DAY")).alias("_snap"))
     cust = (master.groupBy("customer_unique_id").agg(
@@ -183,17 +184,16 @@ def rfm_qcut(master: DataFrame) -> DataFrame:
         .withColumn("recency", delay_days_floor("_snap", "_last"))
         .drop("_snap", "_last"))
     cust = checkpoint(cust)
-    probs = (0.2, 0.4, 0.6, 0.8)
-    r_edges = quantile_edges(cust, "recency", probs, ["customer_unique_id"]).withColumnRenamed("edges", "_re")
-    m_edges = quantile_edges(cust, "monetary", probs, ["customer_unique_id"]).withColumnRenamed("edges", "_me")
-    ranked = global_rank(cust, [F.col("frequency").asc(), F.col("customer_unique_id").asc()], "_fr",
-                         count_col="_n")
-    f_edge = F.transform(F.array(*[F.lit(p) for p in probs]), lambda p: (F.col("_n") - 1) * p + 1)
-    return (ranked.crossJoin(F.broadcast(r_edges)).crossJoin(F.broadcast(m_edges))
-            .select("customer_unique_id", "recency", "frequency", "monetary", "total_profit",
-                    (5 - qcut_bin(F.col("recency"), F.col("_re"))).alias("r_score"),
-                    (1 + qcut_bin(F.col("_fr").cast("double"), f_edge)).alias("f_score"),
-                    (1 + qcut_bin(F.col("monetary").cast("double"), F.col("_me"))).alias("m_score")))
+    probs, n = (0.2, 0.4, 0.6, 0.8), cust.count()
+    key = lambda name: OrderKey([F.col(name), F.col("customer_unique_id")])
+    edges = {name: F.array(*[F.lit(e) for e in quantile_values(cust, key(name), probs, n)]) if n else F.array().cast("array<double>")
+             for name in ("recency", "monetary")}
+    by_count = key("frequency")
+    first = rows_at_ranks(cust, by_count, [int((n - 1) * p + 1) for p in probs], n)
+    return cust.select("customer_unique_id", "recency", "frequency", "monetary", "total_profit",
+                       (5 - qcut_bin(F.col("recency").cast("double"), edges["recency"])).alias("r_score"),
+                       (1 + above(by_count, first)).cast("int").alias("f_score"),
+                       (1 + qcut_bin(F.col("monetary").cast("double"), edges["monetary"])).alias("m_score"))
 
 
 def rfm_qcut_segments(t: RetailTables) -> DataFrame:
