@@ -74,3 +74,20 @@ def test_t_tail_matches_integral(t, df):
     dens = c * (1 + xs ** 2 / df) ** (-(df + 1) / 2)
     tail = 2 * np.trapezoid(dens, xs)
     assert abs(t_sf_two_sided(t, df)[()] - tail) < 1e-5
+
+
+def test_column_forms_agree_with_the_other_methods(spark):
+    """Quadrature in the JVM against the incomplete beta function, erfc and
+    bisection, from one degree of freedom to a million."""
+    from vitrine.functions.stats import chi2_p, normal_p, t_quantile, t_test_p
+
+    rows = [(t, df) for t in (0.0, 0.3, -1.7, 2.5, 8.0) for df in (1.0, 1.4, 2.0, 3.5, 10.0, 250.0, 1e4, 1e6)]
+    frame = spark.createDataFrame(rows, "t double, df double")
+    for r in frame.select("*", t_test_p(F.col("t"), F.col("df")).alias("p"), normal_p(F.col("t")).alias("n"), chi2_p(F.col("t") ** 2).alias("c")).collect():
+        want = float(t_sf_two_sided(r["t"], r["df"]))
+        assert abs(r["p"] - want) < 1e-9 and abs(r["p"] - want) < 1e-6 * want + 1e-300, r
+        assert abs(r["n"] - normal_sf_two_sided([r["t"]])[0]) < 1e-11 and abs(r["c"] - r["n"]) < 1e-12
+    for q in (0.975, 0.5, 0.1, 0.9999):
+        for r in frame.select("df").distinct().select("df", t_quantile(q, F.col("df")).alias("x")).collect():
+            want = float(t_ppf(q, r["df"]))
+            assert abs(r["x"] - want) < 1e-7 * max(1.0, abs(want)), (q, r)

@@ -2,8 +2,8 @@
 
 Spark reduces the data to per-group moments, counts and ranks (partial
 aggregation; no group is gathered in one task); the statistics are column
-arithmetic on those few rows, and p-values / t quantiles come from the
-vectorised functions of ``functions.stats``.
+arithmetic on those few rows, and so are p-values and t quantiles
+(``functions.stats``).
 
 Groups are regions (``control``/``treatment`` state lists). The unit is the
 order (payments summed per order) by default; ``unit='payment_row'`` keeps
@@ -227,7 +227,7 @@ def ab_pvalues(t: RetailTables) -> DataFrame:
     mw = _mann_whitney(t).select(F.lit("aov_mann_whitney").alias("test"), F.col("z").alias("statistic"),
                                  normal_p(F.col("z")).alias("p_value"))
     return reduce(DataFrame.unionByName, [welch, thr, conv, mw]).select(
-        "test", rnd("statistic", 6).alias("statistic"), F.col("p_value"))
+        "test", rnd("statistic", 6).alias("statistic"), rnd("p_value", 8).alias("p_value"))
 
 
 def bonferroni(t: RetailTables, alpha: float = 0.05, tests: DataFrame | None = None) -> DataFrame:

@@ -95,16 +95,24 @@ def dataset_summary(t: RetailTables) -> DataFrame:
     """AUD6: rows, distinct customers, distinct orders, first and last order
     date of orders ⟕ payments ⟕ customers (the A/B notebook's frame).
 
-    The two distinct counts run as separate partial aggregations joined as
-    1-row frames, not one Expand over every row.
+    No join: each side is counted under its key where all tables meet
+    (orders and payments by order, then their rows and customers by customer),
+    so a row stands for as many rows of the frame as it has partners. Order ids
+    are unique (the key of their table).
     """
-    df = (t.orders.join(t.payments, "order_id", "left")
-          .join(t.customers, "customer_id", "left"))
-    base = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.date_format(F.min("order_purchase_timestamp"), "yyyy-MM-dd").alias("first_order_date"),
-        F.date_format(F.max("order_purchase_timestamp"), "yyyy-MM-dd").alias("last_order_date"))
-    cust = df.agg(F.count_distinct("customer_unique_id").alias("unique_customers"))
-    orders = df.agg(F.count_distinct("order_id").alias("unique_orders"))
-    return base.crossJoin(cust).crossJoin(orders).select(
-        "n_rows", "unique_customers", "unique_orders", "first_order_date", "last_order_date")
+    o = t.orders.select("order_id", "customer_id", F.col("order_purchase_timestamp").alias("_ts"), F.lit(1).alias("_o"), F.lit(0).alias("_p"))
+    p = t.payments.select("order_id", F.lit(None).cast(t.orders.schema["customer_id"].dataType).alias("customer_id"), F.lit(None).cast("timestamp").alias("_ts"), F.lit(0).alias("_o"), F.lit(1).alias("_p"))
+    per_order = o.withColumn("_ts", F.col("_ts").cast("timestamp")).unionByName(p).groupBy("order_id").agg(
+        F.sum("_o").alias("_o"), F.sum("_p").alias("_p"), F.max("customer_id").alias("customer_id"), F.min("_ts").alias("_first"), F.max("_ts").alias("_last")).where("_o > 0")
+    weighed = per_order.select("customer_id", (F.col("_o") * F.greatest("_p", F.lit(1))).alias("_w"), F.lit(1).alias("_n"), "_first", "_last",
+                               F.lit(None).cast(t.customers.schema["customer_unique_id"].dataType).alias("customer_unique_id"), F.lit(0).alias("_c"))
+    people = t.customers.select("customer_id", F.lit(0).alias("_w"), F.lit(0).alias("_n"), F.lit(None).cast("timestamp").alias("_first"), F.lit(None).cast("timestamp").alias("_last"), "customer_unique_id", F.lit(1).alias("_c"))
+    per_customer = weighed.unionByName(people).groupBy("customer_id").agg(
+        F.sum("_w").alias("_w"), F.sum("_n").alias("_n"), F.sum("_c").alias("_c"), F.max("customer_unique_id").alias("customer_unique_id"),
+        F.min("_first").alias("_first"), F.max("_last").alias("_last")).where("_n > 0")
+    per_person = per_customer.groupBy("customer_unique_id").agg(
+        F.sum(F.col("_w") * F.greatest(F.when(F.col("customer_id").isNotNull(), F.col("_c")), F.lit(1))).alias("_w"), F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    return per_person.agg(
+        F.coalesce(F.sum("_w"), F.lit(0)).alias("n_rows"), F.count("customer_unique_id").alias("unique_customers"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("unique_orders"),
+        F.date_format(F.min("_first"), "yyyy-MM-dd").alias("first_order_date"), F.date_format(F.max("_last"), "yyyy-MM-dd").alias("last_order_date"))

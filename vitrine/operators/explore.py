@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import delay_days_floor, rnd
 from vitrine.sources.tables import RetailTables
 
-QUERIES = ("total_revenue", "daily_revenue", "peak_revenue_day", "top_categories",
+QUERIES = ("total_revenue", "daily_revenue", "peak_revenue_day", "peak_day_items", "top_categories",
            "review_score_histogram", "late_delivery_stats", "review_by_delay",
            "review_by_delay_bucket", "monthly_revenue", "customers_by_state",
            "orders_per_customer", "repeat_rate")
@@ -75,6 +75,17 @@ def peak_revenue_day(t: RetailTables) -> DataFrame:
             .select("order_date", rnd("_rev", 2).alias("revenue"), "n_rows"))
 
 
+def peak_day_items(t: RetailTables) -> DataFrame:
+    """EX3: the item rows of the best day (earliest on a tie)."""
+    day = F.date_format("order_purchase_timestamp", "yyyy-MM-dd")
+    best = peak_revenue_day(t).select("order_date")
+    rows = (t.orders.select("order_id", "order_status", day.alias("order_date"))
+            .join(F.broadcast(best), "order_date", "left_semi")  # one day
+            .join(t.items.select("order_id", "order_item_id", "product_id", "price", "freight_value"), "order_id", "left"))
+    return rows.select("order_date", "order_id", "order_status", "order_item_id", "product_id",
+                       F.col("price").cast("double").alias("price"), F.col("freight_value").cast("double").alias("freight_value"))
+
+
 def top_categories(t: RetailTables, top: int = 10) -> DataFrame:
     """EX4: revenue per native category name, null -> 'Unknown', top ``top``."""
     rows = _revenue_rows(t).join(t.products.select("product_id", "product_category_name"),

@@ -8,7 +8,9 @@ aggregation, exact medians and splits through ``plans.ranking``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import DEFAULT_EXCLUDED, active_status, delay_days_floor, rnd
@@ -19,7 +21,7 @@ from vitrine.sources.tables import RetailTables
 
 QUERIES = ("order_features", "customer_features", "churn_labels", "recency_histogram", "label_encode",
            "stratified_split", "random_split", "standardise", "class_weights", "time_split", "clv_features",
-           "future_spend", "delay_features", "sample_rows")
+           "future_spend", "delay_features", "delay_class_balance", "sample_rows")
 
 CHURN_THRESHOLD = 90
 SEED = 42
@@ -142,14 +144,31 @@ def recency_histogram(t: RetailTables, bins: int = 60) -> DataFrame:
     return equal_width_histogram(customer_table(t), F.col("recency_days"), bins)
 
 
-def label_codes(df: DataFrame, col: str, fill: str, out: str) -> DataFrame:
+#: Vocabularies up to this size are sent to every task; a larger one is met by
+#: a join salted over so many parts.
+DICTIONARY, SALTS = 10_000, 16
+
+
+def label_codes(df: DataFrame, col: str, fill: str, out: str, dictionary: int = DICTIONARY) -> DataFrame:
     """ML5: alphabetical integer codes (LabelEncoder / StringIndexer with
-    alphabetAsc) for ``col`` after filling nulls with ``fill``; the
-    vocabulary is ranked with ``global_rank`` and joined back."""
+    alphabetAsc) for ``col`` after filling nulls with ``fill``.
+
+    The vocabulary is counted first (distinct values, combined before the
+    shuffle). A small one is broadcast, so the rows stay where they are however
+    skewed the column is; a large one is ranked with ``global_rank``, repeated
+    once per salt, and joined on (value, salt), so that the rows of a hot value
+    go to ``SALTS`` tasks."""
     filled = df.withColumn(col, F.coalesce(F.col(col), F.lit(fill)))
-    vocab = global_rank(filled.select(col).distinct(), [F.col(col).asc()], "_code")
-    vocab = vocab.select(col, (F.col("_code") - 1).cast("int").alias(out))
-    return filled.join(vocab, col, "left")
+    distinct = filled.select(col).distinct()
+    few = distinct.limit(dictionary + 1).collect()
+    if len(few) <= dictionary:
+        rows = [(v, i) for i, v in enumerate(sorted(r[col] for r in few))]
+        vocab = df.sparkSession.createDataFrame(rows, f"`{col}` string, `{out}` int")
+        return filled.join(F.broadcast(vocab), col, "left")
+    vocab = global_rank(distinct, [F.col(col).asc()], "_code").select(col, (F.col("_code") - 1).cast("int").alias(out))
+    vocab = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = filled.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return spread.join(vocab.hint("merge"), [col, "_salt"], "left").drop("_salt")
 
 
 def label_codes_many(df: DataFrame, specs: list[tuple[str, str, str]]) -> DataFrame:
@@ -269,7 +288,11 @@ def time_split(t: RetailTables) -> DataFrame:
 
 def clv_table(t: RetailTables) -> DataFrame:
     """ML18 core: early-half features per customer with the modal category
-    (lowest on a tie, 'unknown' if none) and the late-half spend (ML19)."""
+    (lowest on a tie, 'unknown' if none), their codes and the late-half spend."""
+    return label_codes_many(checkpoint(_clv_plain(t)), [("customer_state", "Unknown", "state_enc"), ("top_category", "unknown", "cat_enc")])
+
+
+def _clv_plain(t: RetailTables) -> DataFrame:
     early, late = _halves(t)
     items = t.items.groupBy("order_id").agg(F.sum("price").alias("order_price"),
                                             F.sum("freight_value").alias("freight"))
@@ -296,10 +319,8 @@ def clv_table(t: RetailTables) -> DataFrame:
            .join(t.items.groupBy("order_id").agg(F.sum("price").alias("price")), "order_id", "left")
            .where(F.col("customer_unique_id").isNotNull())
            .groupBy("customer_unique_id").agg(F.coalesce(F.sum("price"), F.lit(0)).alias("future_spend")))
-    df = (feats.join(cats, "customer_unique_id", "left").join(fut, "customer_unique_id", "left")
-          .withColumn("future_spend", F.coalesce(F.col("future_spend").cast("double"), F.lit(0.0))))
-    df = checkpoint(df)
-    return label_codes_many(df, [("customer_state", "Unknown", "state_enc"), ("top_category", "unknown", "cat_enc")])
+    return (feats.join(cats, "customer_unique_id", "left").join(fut, "customer_unique_id", "left")
+            .withColumn("future_spend", F.coalesce(F.col("future_spend").cast("double"), F.lit(0.0))))
 
 
 def clv_features(t: RetailTables) -> DataFrame:
@@ -312,7 +333,7 @@ def clv_features(t: RetailTables) -> DataFrame:
 
 def future_spend(t: RetailTables) -> DataFrame:
     """ML19: late-half spend per early customer (0 if none)."""
-    return clv_table(t).select("customer_unique_id", rnd("future_spend", 2).alias("future_spend"))
+    return _clv_plain(t).select("customer_unique_id", rnd("future_spend", 2).alias("future_spend"))
 
 
 # ---------------------------------------------------------------- delay
@@ -320,6 +341,10 @@ def delay_table(t: RetailTables) -> DataFrame:
     """ML24 core: delivered clean orders with features known at purchase
     time, ``is_delayed`` = delivered after the estimate (timestamps), rows
     with a null feature dropped."""
+    return _delay_rows(t).dropna(subset=DELAY_FEATURES + ["is_delayed"])
+
+
+def _delay_rows(t: RetailTables) -> DataFrame:
     o = (clean_orders(t).where(F.col("order_delivered_customer_date").isNotNull())
          .select("order_id", "customer_id",
                  (F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date"))
@@ -341,7 +366,21 @@ def delay_table(t: RetailTables) -> DataFrame:
     df = label_codes_many(df, [("customer_state", "Unknown", "state_enc"),
                                ("product_category_name", "unknown", "cat_enc"),
                                ("payment_type", "unknown", "payment_enc")])
-    return df.dropna(subset=DELAY_FEATURES + ["is_delayed"])
+    return df
+
+
+def delay_class_balance(t: RetailTables) -> DataFrame:
+    """ML24, PRP14: class balance of the delay label over the rows that stay,
+    with the number of rows before and of those dropped for a null feature.
+    Both are observed while the one pass that drops them counts the classes."""
+    seen = Observation("delay_rows")
+    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in DELAY_FEATURES + ["is_delayed"]])
+    rows = _delay_rows(t).observe(seen, F.count(F.lit(1)).alias("before"), F.count_if(bad).alias("dropped"))
+    per = checkpoint(rows.where(~bad).groupBy("is_delayed").agg(F.count(F.lit(1)).alias("orders")))
+    total = per.agg(F.sum("orders").alias("_all"))
+    return per.crossJoin(F.broadcast(total)).select(
+        "is_delayed", "orders", rnd(F.col("orders") * 100.0 / F.col("_all"), 2).alias("pct"),
+        F.lit(seen.get["before"]).cast("long").alias("rows_before"), F.lit(seen.get["dropped"]).cast("long").alias("rows_dropped"))
 
 
 def delay_features(t: RetailTables) -> DataFrame:
@@ -370,7 +409,7 @@ def stratified_split(t: RetailTables) -> DataFrame:
 
 def random_split(t: RetailTables) -> DataFrame:
     """ML7: CLV customers and their plain 80/20 split."""
-    return split_random(clv_table(t)).select("customer_unique_id", "split")
+    return split_random(checkpoint(_clv_plain(t).select("customer_unique_id"))).select("customer_unique_id", "split")
 
 
 def standardise(t: RetailTables) -> DataFrame:

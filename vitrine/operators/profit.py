@@ -388,14 +388,11 @@ def threshold_sweep(t: RetailTables, treatment=TEST_GROUPS["treatment"],
                     thresholds=(150, 175, 200, 250), cost: CostModel = COST) -> DataFrame:
     """PF17: per free-shipping threshold: share of treatment orders that
     qualify and shipping absorbed per qualifying order (0 when none)."""
-    spark = t.orders.sparkSession
-    th = spark.createDataFrame([(int(x),) for x in thresholds], "threshold int")
-    trt = order_profit_frame(t).where(F.col("customer_state").isin(*treatment)).select("payment_value")
+    trt = order_profit_frame(t).where(F.col("customer_state").isin(*treatment))
     pay = F.col("payment_value")
-    q = pay >= F.col("threshold")
-    g = trt.crossJoin(F.broadcast(th)).groupBy("threshold").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(q).alias("qualifying_orders"),
-        F.avg(F.when(q, pay)).alias("_avg_q"))
+    # one pass: each threshold is a pair of conditional aggregates
+    of = lambda x: F.struct(F.lit(int(x)).alias("threshold"), F.count_if(pay >= x).alias("qualifying_orders"), F.avg(F.when(pay >= x, pay)).alias("_avg_q"))
+    g = trt.agg(F.count(F.lit(1)).alias("_n"), F.array(*[of(x) for x in thresholds]).alias("_q")).select("_n", F.explode("_q").alias("q")).select("_n", "q.*").where("_n > 0")
     return g.select("threshold", "qualifying_orders",
                     rnd(F.col("qualifying_orders") * 100.0 / F.col("_n"), 1).alias("pct_qualifying"),
                     rnd(F.coalesce(F.col("_avg_q") * cost.lit("shipping_rate"), _zero()), 2).alias("avg_shipping_absorbed"))
@@ -413,18 +410,21 @@ def breakeven_order_value(t: RetailTables, control=TEST_GROUPS["control"],
 
 def equal_width_histogram(df: DataFrame, value: Column, bins: int, by: list[str] | None = None) -> DataFrame:
     """Counts in ``bins`` equal-width bins between the min and the max of
-    ``value`` (the max falls in the last bin). Per-group ranges when ``by``
-    is given; the range is a small aggregate, broadcast back."""
+    ``value`` (the max falls in the last bin), empty bins with 0. Per-group
+    ranges when ``by`` is given; ``by`` has few values: ranges and counts, one
+    row per group and per bin, are broadcast, the rows themselves stay put."""
     by = by or []
     v = df.select(*by, value.cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    rng = v.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    joined = v.crossJoin(F.broadcast(rng)) if not by else v.join(rng, by)
+    rng = v.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).where(F.col("_lo").isNotNull())
     width = F.col("_hi") - F.col("_lo")
     idx = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) * bins / width), F.lit(bins - 1))) \
         .otherwise(F.lit(0)).cast("int")
-    g = joined.groupBy(*by, idx.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
+    placed = v.join(F.broadcast(rng), by) if by else v.crossJoin(F.broadcast(rng))
+    counts = placed.groupBy(*by, idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    spine = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    g = spine.join(F.broadcast(counts), [*by, "bin"], "left")
     return g.select(*by, "bin", rnd(F.col("_lo") + F.col("bin") * width / bins, 4).alias("bin_lo"),
-                    rnd(F.col("_lo") + (F.col("bin") + 1) * width / bins, 4).alias("bin_hi"), "n")
+                    rnd(F.col("_lo") + (F.col("bin") + 1) * width / bins, 4).alias("bin_hi"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def profit_histogram(t: RetailTables, lo: int = -50, hi: int = 300, bins: int = 60) -> DataFrame:

@@ -79,3 +79,19 @@ def R(expr: str, d: int) -> str:
 def P(num: str, den: str, d: int = 1) -> str:
     """Oracle twin of ``functions.pct``."""
     return R(f"100.0 * ({num}) / NULLIF({den}, 0)", d)
+
+
+def dense_histogram(values: str, bins: int, by: str = "") -> str:
+    """Counts of ``x`` of a subquery in equal-width bins between its least and
+    greatest value (per group), empty bins included."""
+    lead = f"{by}, " if by else ""
+    pair = f"USING ({by})" if by else "ON TRUE"
+    return f"""
+SELECT * FROM (WITH v AS (SELECT * FROM {values} s WHERE x IS NOT NULL),
+r AS (SELECT {lead}MIN(CAST(x AS DOUBLE)) AS lo, MAX(CAST(x AS DOUBLE)) AS hi FROM v {f'GROUP BY {by}' if by else 'HAVING COUNT(*) > 0'}),
+n AS (
+  SELECT {lead}CASE WHEN hi - lo > 0 THEN CAST(LEAST(floor((x - lo) * {bins} / (hi - lo)), {bins - 1}) AS INT) ELSE 0 END AS bin, COUNT(*) AS n
+  FROM v JOIN r {pair} GROUP BY ALL),
+spine AS (SELECT *, CAST(unnest(range({bins})) AS INT) AS bin FROM r)
+SELECT {lead}bin, {R(f'lo + bin * (hi - lo) / {bins}', 4)} AS bin_lo, {R(f'lo + (bin + 1) * (hi - lo) / {bins}', 4)} AS bin_hi, COALESCE(n, 0) AS n
+FROM spine LEFT JOIN n USING ({lead}bin)) histogram"""

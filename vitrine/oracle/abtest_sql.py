@@ -1,7 +1,7 @@
-"""Oracle SQL for the experiment statistics (statistics in plain SQL;
-p-values and t quantiles have no DuckDB function and are left out)."""
+"""Oracle SQL for the experiment statistics (statistics in plain SQL; tails of
+distributions by Simpson's rule over the density)."""
 
-from vitrine.oracle import R, with_views
+from vitrine.oracle import R, dense_histogram, with_views
 
 Z975 = "1.959963984540054"
 Z80 = "0.8416212335729143"
@@ -128,20 +128,61 @@ SELECT ab.ab_group, {R('ANY_VALUE(q1)', 4)} AS q1, {R('ANY_VALUE(median)', 4)} A
   {R('MAX(payment_value) FILTER (WHERE payment_value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 4)} AS whisker_high,
   COUNT(*) FILTER (WHERE NOT (payment_value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))) AS outliers
 FROM ab JOIN qs ON ab.ab_group = qs.ab_group GROUP BY ab.ab_group""", AB + ",\n" + QS),
-    "aov_histogram": with_views(f"""
-SELECT ab_group, bin, {R('lo + bin * (hi - lo) / 50', 4)} AS bin_lo, {R('lo + (bin + 1) * (hi - lo) / 50', 4)} AS bin_hi,
-  COUNT(*) AS n
-FROM (SELECT ab.ab_group, lo, hi,
-        CASE WHEN hi - lo > 0 THEN CAST(LEAST(floor((payment_value - lo) * 50 / (hi - lo)), 49) AS INT) ELSE 0 END AS bin
-      FROM ab JOIN (SELECT ab_group, MIN(payment_value) AS lo, MAX(payment_value) AS hi FROM ab GROUP BY 1) r
-        ON ab.ab_group = r.ab_group) b
-GROUP BY ab_group, bin, lo, hi""", AB),
+    "aov_histogram": with_views(dense_histogram("(SELECT ab_group, payment_value AS x FROM ab)", 50, "ab_group"), AB),
     "mann_whitney": with_views(f"""
 SELECT n1 AS n_treatment, n2 AS n_control, {R(_U, 2)} AS u_stat,
   {R(f'({_U} - n1 * n2 / 2.0) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie_term / ((n1 + n2) * (n1 + n2 - 1))))', 6)} AS z
 FROM mw""", AB + ",\n" + RK),
 }
 
+
+
+def simpson(a: str, b: str, f: str, n: int = 8000) -> str:
+    """Integral from a to b of ``f`` (an expression in {x}) over n steps."""
+    x = f"({a} + ({b} - {a}) * j / {n})"
+    weight = f"CASE WHEN j = 0 OR j = {n} THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(({b} - {a}) / {3 * n} * list_sum(list_transform(range({n + 1}), lambda j: {weight} * {f.replace('{x}', x)})))"
+
+
+def t_tail(t: str, df: str) -> str:
+    """P(|T| > t) from the density itself, for many degrees of freedom: both
+    integrals end 12 standard deviations behind where they start."""
+    dens = "power(1 + {x} * {x} / DF, -(DF + 1) / 2)".replace("DF", df)
+    return f"({simpson(t, f'({t} + 12.0)', dens)} / {simpson('0.0', '12.0', dens)})"
+
+
+def normal_tail(z: str) -> str:
+    return f"({simpson(z, f'({z} + 12.0)', 'exp(-{x} * {x} / 2)')} / sqrt(pi() / 2))"
+
+
+_TESTS = f"""w AS (SELECT abs({_T}) AS t, {_T} AS stat, {_DF} AS df FROM mo),
+chi AS (SELECT {yates('CAST(ca AS DOUBLE)', 'cb', 'ta', 'tb')} AS thr FROM k),
+conv AS (SELECT {R(yates('CAST(cc AS DOUBLE)', '(ct - cc)', 'tc', '(tt - tc)'), 6)} AS chi2 FROM cv2),
+zs AS (SELECT ({_U} - n1 * n2 / 2.0) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie_term / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM mw),
+tests AS (
+  SELECT 'aov_welch_t' AS test, {R('stat', 6)} AS statistic, {R(t_tail('t', 'df'), 8)} AS p_value FROM w
+  UNION ALL SELECT 'threshold_chi2', {R('thr', 6)}, {R(normal_tail('sqrt(thr)'), 8)} FROM chi
+  UNION ALL SELECT 'conversion_chi2', {R('chi2', 6)}, {R(normal_tail('sqrt(chi2)'), 8)} FROM conv
+  UNION ALL SELECT 'aov_mann_whitney', {R('z', 6)}, {R(normal_tail('abs(z)'), 8)} FROM zs)"""
+_TEST_VIEWS = ",\n".join([AB, CONV, RK, _TESTS])
+
+SQL["ab_pvalues"] = with_views("SELECT * FROM tests", _TEST_VIEWS)
+SQL["bonferroni"] = with_views("""
+SELECT test, p_value, count(*) OVER () AS m, 0.05::DOUBLE / count(*) OVER () AS bonferroni_alpha,
+  p_value < 0.05::DOUBLE / count(*) OVER () AS significant FROM tests""", _TEST_VIEWS)
+# the quantile by halving a bracket until nothing is left of it
+SQL["mean_diff_ci"] = with_views(f"""
+SELECT {R('diff', 4)} AS mean_diff, {R('diff - q * se', 4)} AS ci_low, {R('diff + q * se', 4)} AS ci_high
+FROM wd, (SELECT lo AS q FROM halved ORDER BY i DESC LIMIT 1) x""", AB + f""",
+wd AS MATERIALIZED (SELECT m_t - m_c AS diff, sqrt(v_c / n_c + v_t / n_t) AS se, {_DF} AS df FROM mo),
+halved AS (
+  WITH RECURSIVE h AS (
+    SELECT 0 AS i, 0.0::DOUBLE AS lo, 12.0::DOUBLE AS hi, df FROM wd
+    UNION ALL
+    SELECT i + 1, CASE WHEN p > 0.05 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE (lo + hi) / 2 END, df
+    FROM (SELECT *, {t_tail('((lo + hi) / 2)', 'df')} AS p FROM h WHERE i < 45) s)
+  SELECT * FROM h)""")
+
 _AB_ROWS = AB.split("mo AS (")[0].rstrip().rstrip(",").replace(
     "LEFT JOIN (SELECT order_id, SUM(payment_value) AS payment_value FROM r_payments GROUP BY 1) p",
     "LEFT JOIN r_payments p")

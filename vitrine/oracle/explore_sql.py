@@ -37,6 +37,12 @@ FROM rev GROUP BY 1""", REV),
 SELECT strftime(order_purchase_timestamp, '%Y-%m-%d') AS order_date, {R('COALESCE(SUM(revenue), 0)', 2)} AS revenue,
   COUNT(*) AS n_rows
 FROM rev GROUP BY 1 ORDER BY COALESCE(SUM(revenue), 0) DESC, 1 LIMIT 1""", REV),
+    "peak_day_items": with_views("""
+SELECT strftime(o.order_purchase_timestamp, '%Y-%m-%d') AS order_date, o.order_id, o.order_status, i.order_item_id, i.product_id,
+  CAST(i.price AS DOUBLE) AS price, CAST(i.freight_value AS DOUBLE) AS freight_value
+FROM r_orders o LEFT JOIN r_items i ON o.order_id = i.order_id
+WHERE o.order_purchase_timestamp::DATE = (
+  SELECT order_purchase_timestamp::DATE FROM rev GROUP BY 1 ORDER BY COALESCE(SUM(revenue), 0) DESC, 1 LIMIT 1)""", REV),
     "top_categories": with_views(f"""
 SELECT COALESCE(p.product_category_name, 'Unknown') AS top_category, {R('COALESCE(SUM(revenue), 0)', 2)} AS revenue
 FROM rev LEFT JOIN r_products p ON rev.product_id = p.product_id

@@ -1,6 +1,6 @@
 """Oracle SQL for the deterministic ML feature tables, encodings and splits."""
 
-from vitrine.oracle import R, with_views
+from vitrine.oracle import R, dense_histogram, with_views
 
 OT = """oc AS (SELECT * FROM r_orders WHERE order_status IS NULL OR order_status NOT IN ('canceled', 'unavailable')),
 ia AS (SELECT order_id, SUM(price) AS order_price, SUM(freight_value) AS freight_value, COUNT(order_item_id) AS n_items
@@ -157,12 +157,7 @@ _CT_DOUBLES = {"monetary", "avg_order_value", "avg_review_score", "avg_freight",
 _CT_COLS = ["customer_unique_id", "recency_days", "frequency", "monetary", "avg_order_value", "avg_review_score",
             "avg_freight", "avg_installments", "avg_delay_days", "customer_state", "payment_type", "n_items_total"]
 
-_HIST_RECENCY = f"""
-SELECT bin, {R('lo + bin * (hi - lo) / 60', 4)} AS bin_lo, {R('lo + (bin + 1) * (hi - lo) / 60', 4)} AS bin_hi, COUNT(*) AS n
-FROM (SELECT CASE WHEN hi - lo > 0 THEN CAST(LEAST(floor((x - lo) * 60 / (hi - lo)), 59) AS INT) ELSE 0 END AS bin, lo, hi
-      FROM (SELECT CAST(recency_days AS DOUBLE) AS x FROM ct) v,
-           (SELECT MIN(CAST(recency_days AS DOUBLE)) AS lo, MAX(CAST(recency_days AS DOUBLE)) AS hi FROM ct) r) b
-GROUP BY bin, lo, hi"""
+_HIST_RECENCY = dense_histogram("(SELECT CAST(recency_days AS DOUBLE) AS x FROM ct)", 60)
 
 _STD = ", ".join(
     f"{R(f'(COALESCE({c}, 0) - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END', 6)} AS {c}" for c in CHURN_FEATURES)
@@ -211,4 +206,8 @@ SELECT {rnd_cols(["customer_unique_id", "frequency_early", "total_spend_early",
     "sample_rows": with_views(f"""
 SELECT {DELAY_OUT} FROM ds WHERE split = 'test' ORDER BY (order_id * 48271) % 2147483647, order_id LIMIT 2000""",
                               DELAY + ",\n" + strat("dl", "is_delayed", "order_id", "ds")),
+    "delay_class_balance": with_views(f"""
+SELECT is_delayed, COUNT(*) AS orders, {R('100.0 * COUNT(*) / SUM(COUNT(*)) OVER ()', 2)} AS pct,
+  (SELECT COUNT(*) FROM d1) AS rows_before, (SELECT COUNT(*) FROM d1) - (SELECT COUNT(*) FROM dl) AS rows_dropped
+FROM dl GROUP BY is_delayed""", DELAY),
 }
