@@ -4,6 +4,8 @@ folder, words and shingle hashes as column expressions, small vector sums."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -15,12 +17,32 @@ from vitrine.session import resolve_checkpoint_dir
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark) -> Iterator[list[str]]:
+    """Folders stashed inside, for a caller that knows when they are done
+    with: on leaving, those still in the list are deleted."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made.pop()
+        for path in made:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the cluster's shared checkpoint folder and
     read it back: lineage ends there, a lost executor costs nothing that was
     computed before it, and the planner knows the true size."""
     spark = df.sparkSession
     path = f"{resolve_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    for made in _made[-1:]:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,35 +68,43 @@ def settled(df: DataFrame, *names: str) -> DataFrame:
 
 
 def running_sums(numbers: str) -> Column:
-    """Inclusive running sums of an array column of longs. Appending to an
-    array copies it, so sums are taken in blocks of about the square root of
-    the length, and every block is then raised by what stands before it: a
-    hundred thousand entries copy a few million, not billions. The column must
-    exist already (see :func:`settled`)."""
+    """Inclusive running sums of an array column of longs, see :func:`running`."""
+    return running(numbers, lambda a, x: a + x)
+
+
+def running(numbers: str, join) -> Column:
+    """Inclusive running values of an array column of longs (at least zero)
+    under an associative ``join``. Appending to an array copies it, so values
+    are taken in blocks of about the square root of the length, and every
+    block is then joined with what stands before it: a hundred thousand
+    entries copy a few million, not billions. The column must exist already
+    (see :func:`settled`)."""
     c, nothing = F.col(numbers), F.array().cast("array<bigint>")
     step = F.greatest(F.ceil(F.sqrt(F.size(c))), F.lit(1)).cast("int")
-    add = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
+    add = lambda acc, x: F.concat(acc, F.array(join(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), x)))
     blocks = F.transform(F.sequence(F.lit(0), F.size(c) - 1, step), lambda a: F.aggregate(F.slice(c, a + 1, step), nothing, add))
     raised = F.aggregate(
         blocks, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<array<bigint>>").alias("out")),
-        lambda acc, b: F.struct((acc["at"] + F.element_at(b, -1)).alias("at"), F.concat(acc["out"], F.array(F.transform(b, lambda x: x + acc["at"]))).alias("out")),
+        lambda acc, b: F.struct(join(acc["at"], F.element_at(b, -1)).alias("at"), F.concat(acc["out"], F.array(F.transform(b, lambda x: join(acc["at"], x)))).alias("out")),
         lambda acc: F.flatten(acc["out"]),
     )
     return F.when(F.size(c) > 0, raised).otherwise(nothing)
 
 
-def find_all(rows: DataFrame, patterns: dict[str, str], guards: dict[str, str] | None = None) -> DataFrame:
+def find_all(rows: DataFrame, patterns: dict[str, str | Column], guards: dict[str, str] | None = None) -> DataFrame:
     """Adds per pattern the column ``_f_<name>``: its leftmost matches that do
     not overlap, as structs (start, end, value) in code points, null if there
     are none. A text without a match is searched once per pattern and not
     taken apart; places come from the lengths of the pieces between matches.
-    A guard is a literal that every match holds. ``rows`` has ``text``."""
+    A guard is a literal that every match holds; a pattern may be a column
+    (null: no match). ``rows`` has ``text``."""
     t, out = F.col("text"), rows
     names = [n for n in patterns]
     for n in names:
-        hit = t.rlike(patterns[n])
+        pattern = patterns[n] if isinstance(patterns[n], Column) else F.lit(patterns[n])
+        hit = F.regexp_like(t, pattern)
         hit = t.contains(guards[n]) & hit if n in (guards or {}) else hit
-        out = out.withColumn(f"_m_{n}", F.when(hit, F.regexp_extract_all(t, F.lit(patterns[n]), F.lit(0))))
+        out = out.withColumn(f"_m_{n}", F.when(hit, F.regexp_extract_all(t, pattern, F.lit(0))))
     out = out.withColumns({f"_p_{n}": F.when(F.col(f"_m_{n}").isNotNull(), F.split(t, patterns[n], -1)) for n in names})
     out = settled(out, *[f"_{a}_{n}" for a in "mp" for n in names])
 

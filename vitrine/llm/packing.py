@@ -17,6 +17,7 @@ result; texts of any length are tokenised whole; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import random
@@ -26,7 +27,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import stash, texts
@@ -34,6 +35,8 @@ from vitrine.llm.common import stash, texts
 CAPACITY, END_ID = 2048, 0
 CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 2, 2, 8, 6
 WELL_FILLED, ROUNDS, CACHE, TOGETHER = 0.995, 6, 1_500_000, 256
+#: From the last of ROUNDS on, the share of a cell's bins that is dealt again.
+EMPTIEST = 1 / 16
 
 
 class CachedTokenizer:
@@ -214,23 +217,33 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     cut = stash(pieces(docs, path, capacity, end_id).withColumn("_r", F.monotonically_increasing_id()), "packing-pieces")
     whole = cut.where(F.col("length") == capacity).select("_r", (-1 - F.col("_r")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left, placed = cut.where(F.col("length") < capacity).select("_r", "length"), [whole]
-    for r in range(ROUNDS):
+    before = None
+    for r in itertools.count():
         n = left.count()
         if not n:
             break
         cells = max(1, math.ceil(n / cell))
-        last = cells == 1 or r == ROUNDS - 1
+        # one cell is left, or dealing again no longer helps
+        last = cells == 1 or (r >= ROUNDS and n > 0.75 * before)
+        before = n
         dealt = left.withColumn("cell", F.pmod(F.xxhash64("_r", F.lit(r)), F.lit(cells)))
         got = _pack_cells(dealt, capacity, islands, epochs).join(dealt.select("_r", "length"), "_r")
         got = stash(got, "packing-round")
         bins = got.groupBy("cell", "bin").agg(F.sort_array(F.collect_list(F.struct("at", "_r", "length"))).alias("x"), F.sum("length").alias("fill"))
-        final = bins if last else bins.where(F.col("fill") >= WELL_FILLED * capacity)
+        # well-filled bins are final; where lengths don't fill so well, all but
+        # the emptiest of each cell are, so that the rest falls every round
+        if r >= ROUNDS - 1:
+            place = F.row_number().over(Window.partitionBy("cell").orderBy("fill", "bin"))
+            bins = bins.withColumn("final", place > F.ceil(F.count(F.lit(1)).over(Window.partitionBy("cell")) * EMPTIEST))
+        else:
+            bins = bins.withColumn("final", F.col("fill") >= WELL_FILLED * capacity)
+        final = bins if last else bins.where("final")
         start = F.transform("x", lambda e, i: F.struct(e["_r"].alias("_r"), F.aggregate(F.slice("x", 1, i), F.lit(0).cast("long"), lambda s, y: s + y["length"]).alias("offset")))
         number = (F.lit(r).cast("long") * F.lit(1 << 58)) + F.col("cell") * F.lit(1 << 20) + F.col("bin")
         placed.append(final.select(number.alias("sequence_id"), F.explode(start).alias("p")).select("p._r", "sequence_id", "p.offset"))
         if last:
             break
-        left = stash(bins.where(F.col("fill") < WELL_FILLED * capacity).select(F.explode("x").alias("p")).select("p._r", "p.length"), "packing-left")
+        left = stash(bins.where("not final").select(F.explode("x").alias("p")).select("p._r", "p.length"), "packing-left")
     where = placed[0]
     for p in placed[1:]:
         where = where.unionByName(p)

@@ -2,17 +2,24 @@
 
 Base spans come from four patterns. The information-theoretic part follows the
 idea of C-sanitisation: over the whole corpus, count in how many documents a
-protected value e occurs, how often a term t stands near it, and in how many
-documents t occurs at all. PMI(t, e) = log2(N * n_te / (n_t * n_e)), and
+protected value e occurs, in how many a term t does, and in how many both do,
+wherever they stand. PMI(t, e) = log2(N * n_te / (n_t * n_e)), and
 IC(e) = log2(N / n_e) is what knowing e itself discloses. A term whose PMI
 reaches ``generalise`` (a share of IC) is replaced by a general one, from
-``remove`` on it goes altogether. Terms must stand near e in at least
-``support`` different surroundings, and these must not be near copies of each
-other: copies of a document are no evidence.
+``remove`` on it goes altogether. Term and value must meet in at least
+``support`` documents of which no two are near copies of each other: copies of
+a document are no evidence. Documents are told apart by the SKETCH smallest
+hashes of their three-word runs.
+
+All terms of all documents are counted first. PMI can only reach its bound for
+a term in at most N (n_e / N) ** generalise documents, and values need
+``support`` documents too, so frequent terms and rare values and terms are left
+out before values and terms meet, by an equi-join on the document.
 
 Defined results: a null text is empty and has no spans; repeated rows get the
 same spans, each for itself; an empty table gives an empty result; of other
-columns only the names given are read.
+columns only the names given are read. Where spans overlap, ``sanitise`` puts
+one sign, that of the first, in the place of all they cover together.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import settled, stash, texts
+from vitrine.llm.common import find_all, running, settled, stash, texts, window_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -36,12 +43,12 @@ PATTERNS = {
 GUARDS = {"email": "@", "phone": "+"}
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = r"\p{L}{3,}"
-#: Characters of a neighbouring piece in which context words are looked for, and words on each side.
-REACH, NEAR = 120, 5
-#: Share of common words among all words of two surroundings from which these are near copies, and surroundings compared in one go.
-COPY, TOGETHER = 0.5, 256
+#: Hashes that stand for a document, their common share from which two are near copies, and documents compared in one go.
+SKETCH, COPY, TOGETHER = 16, 0.5, 256
+#: Code points of the pieces a text is cut into before spans are replaced.
+PIECE = 4096
 
-SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>"
+SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
 def luhn(digits: Column) -> Column:
@@ -64,39 +71,21 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(pieces: str, matches: str, kind: str) -> Column:
-    """Spans of matches from the pieces between them: both arrays are columns."""
-    triples = F.transform(
-        matches,
-        lambda x, i: F.struct(x.alias("x"), F.length(F.get(pieces, i)).cast("long").alias("gap"), F.right(F.get(pieces, i), F.lit(REACH)).alias("l"), F.left(F.get(pieces, i + 1), F.lit(REACH)).alias("r")),
-    )
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def add(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["gap"]
-        end = start + F.length(m["x"])
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), m["x"].alias("value"), m["l"].alias("left"), m["r"].alias("right"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(triples, zero, add, lambda acc: acc["out"])
+def _spans(found: str, kind: str) -> Column:
+    """Structs of the matches in a column of :func:`find_all`."""
+    made = F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+    return F.coalesce(made, F.array().cast(SPAN))
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """Adds ``_spans`` to a frame with a ``text`` column. Texts without a
-    match are searched once per pattern and not taken apart."""
-    t = F.col("text")
-    out = rows
-    for kind in KINDS:
-        hit = t.contains(GUARDS[kind]) & t.rlike(PATTERNS[kind]) if kind in GUARDS else t.rlike(PATTERNS[kind])
-        out = out.withColumn(f"_m_{kind}", F.when(hit, F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0))))
-    out = out.withColumns({f"_p_{k}": F.when(F.col(f"_m_{k}").isNotNull(), F.split(t, PATTERNS[k], -1)) for k in KINDS})
-    none = F.array().cast(SPAN)
+    """Adds ``_spans`` to a frame with a ``text`` column."""
+    out = find_all(rows, PATTERNS, GUARDS)
+    good = [_good(k) for k in KINDS]
+    return settled(out.withColumn("_spans", F.concat(*good)).drop(*[f"_f_{k}" for k in KINDS]), "_spans")
 
-    def good(kind: str) -> Column:
-        return F.coalesce(F.filter(_placed(f"_p_{kind}", f"_m_{kind}", kind), lambda s: _valid(kind, s["value"])), none)
 
-    out = settled(out.withColumn("_spans", F.concat(*[good(k) for k in KINDS])), "_spans")
-    return out.drop(*[f"_{a}_{k}" for a in "mp" for k in KINDS])
+def _good(kind: str) -> Column:
+    return F.filter(_spans(f"_f_{kind}", kind), lambda s: _valid(kind, s["value"]))
 
 
 def listed(spans: Column) -> Column:
@@ -132,35 +121,49 @@ def _supported(near_by: DataFrame, pairs: DataFrame, support: int) -> DataFrame:
         left = stash(left.join(sizes, ["e", "term"]), "pii-around")
 
 
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def _evidence(rows: DataFrame) -> DataFrame:
+    """(_doc, entities, around, terms) of the rows with spans: ``around`` is
+    the sketch that tells documents apart, protected values are no terms."""
+    mask = "|".join(f"(?:{p.replace(chr(92) + 'G', '^')})" for p in PATTERNS.values())
+    some = rows.where(F.size("_spans") > 0).select(
+        F.monotonically_increasing_id().alias("_doc"), F.array_distinct(F.transform("_spans", _entity)).alias("entities"),
+        F.regexp_extract_all(F.lower(F.regexp_replace("text", mask, " ")), F.lit(TERM), F.lit(0)).alias("_w"))
+    some = settled(some, "entities", "_w")
+    some = settled(some.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))), "_h")
+    runs = F.when(F.size("_h") < 3, F.array(F.xxhash64("_h"))).otherwise(window_hashes("_h", 3))
+    return some.select("_doc", "entities", F.slice(F.sort_array(F.array_distinct(runs)), 1, SKETCH).alias("around"), F.array_distinct("_w").alias("terms"))
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, generalise: float = 0.9, remove: float = 0.97, support: int = 3) -> DataFrame | None:
     """(term, action, ratio) over a threshold, or None if there are none.
 
-    ``found`` has ``_spans`` per document and ``docs`` the texts. Counts are
-    over all documents; only terms with enough different surroundings are
-    counted in the corpus, by a join that Spark broadcasts if they are few.
-    """
-    mask = "|".join(f"(?:{p.replace(chr(92) + 'G', '^')})" for p in PATTERNS.values())
-    near = lambda s: F.regexp_extract_all(F.lower(F.regexp_replace(s, mask, " ")), F.lit(TERM), F.lit(0))
-    seen = found.where(F.size("_spans") > 0).select(F.explode(F.array_distinct(F.transform("_spans", lambda s: F.struct(
-        _entity(s).alias("e"), F.slice(F.reverse(near(s["left"])), 1, NEAR).alias("l"), F.slice(near(s["right"]), 1, NEAR).alias("r"))))).alias("c"))
-    # a row for each entity and surroundings, with the documents it stands in
-    around = stash(seen.groupBy("c.e", "c.l", "c.r").count(), "pii-surroundings")
-    words = F.array_distinct(F.concat("l", "r"))
-    near_by = around.select("e", "count", F.transform(words, lambda w: F.xxhash64(w)).alias("around"), F.explode(words).alias("term"))
-    n_e = around.groupBy("e").agg(F.sum("count").alias("n_e"))
-    pairs = near_by.groupBy("e", "term").agg(F.sum("count").alias("n_te"), F.count(F.lit(1)).alias("kinds"))
-    pairs = pairs.join(_supported(near_by, pairs, support), ["e", "term"])
-    pairs = stash(pairs.join(n_e, "e"), "pii-pairs")
-    if pairs.isEmpty():
+    ``found`` has the texts with their ``_spans``, ``docs`` the texts of all
+    documents; counts are over all of them."""
+    held = stash(_evidence(found), "pii-evidence")
+    counted = stash(docs.select(_terms(F.col("text")).alias("t")).select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= support), "pii-terms")
+    total = float(docs.count())
+    each = held.select("_doc", "around", F.explode("entities").alias("e"))
+    # copies of one document share a sketch: only values with enough sketches can have terms
+    by_sketch = each.groupBy("e", "around").agg(F.count(F.lit(1)).alias("n"))
+    values = stash(by_sketch.groupBy("e").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("sketches")).where(F.col("sketches") >= support), "pii-values")
+    most = values.agg(F.max("n_e")).first()[0]
+    if most is None:
         return None
-    wanted = stash(pairs.select("term").distinct(), "pii-terms")
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = terms.join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.count()
-    ic = F.log2(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log2(F.lit(float(total)) * F.least("n_te", "n_t") / (F.col("n_t") * F.col("n_e")))
-    ratio = F.when(ic > 0, pmi / ic)
-    out = pairs.join(n_t, "term").select("term", ratio.alias("ratio")).groupBy("term").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= generalise)
+    rare = counted.where(F.col("n_t") <= total * (most / total) ** generalise * (1 + 1e-9))
+    terms = held.select("_doc", F.explode("terms").alias("term")).join(rare.select("term"), "term")
+    near_by = each.join(values.select("e"), "e").join(terms, "_doc").groupBy("e", "term", "around").agg(F.count(F.lit(1)).alias("count"))
+    near_by = stash(near_by, "pii-pairs")
+    pairs = near_by.groupBy("e", "term").agg(F.sum("count").alias("n_te"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= support)
+    pairs = pairs.join(values.select("e", "n_e"), "e").join(rare, "term")
+    ic = F.log2(F.lit(total) / F.col("n_e"))
+    pmi = F.log2(F.lit(total) * F.least("n_te", "n_t") / (F.col("n_t") * F.col("n_e")))
+    pairs = stash(pairs.withColumn("ratio", F.when(ic > 0, pmi / ic)).where(F.col("ratio") >= generalise), "pii-likely")
+    told = _supported(near_by.drop("count"), pairs, support)
+    out = pairs.join(told, ["e", "term"]).groupBy("term").agg(F.max("ratio").alias("ratio"))
     out = stash(out.withColumn("action", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise")), "pii-disclosing")
     return None if out.isEmpty() else out
 
@@ -176,47 +179,54 @@ def _term_spans(rows: DataFrame, terms: DataFrame | None) -> DataFrame:
     own = held.join(terms, "term").groupBy("_sha").agg(F.sort_array(F.collect_set(F.struct("term", "action"))).alias("_own"))
     out = rows.withColumn("_sha", F.sha2("text", 256)).join(own, "_sha", "left")
     out = out.withColumn("_re", F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.col("_own.term"), "|"), F.lit(r")(?!\p{L})")))
-    out = out.withColumn("_m", F.when(F.col("_re").isNotNull(), F.regexp_extract_all("text", F.col("_re"), F.lit(0))))
-    out = out.withColumn("_p", F.when(F.col("_m").isNotNull(), F.split("text", F.col("_re"), -1)))
-    placed = F.coalesce(_placed("_p", "_m", "term"), none)
-    out = out.withColumn("_placed", placed)
+    out = find_all(out, {"term": F.col("_re")})
+    out = settled(out.withColumn("_placed", _spans("_f_term", "term")), "_placed")
     clear = F.filter("_placed", lambda s: ~F.exists("_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return out.withColumn("_terms", clear).drop("_sha", "_re", "_m", "_p", "_placed")
+    return out.withColumn("_terms", clear).drop("_sha", "_re", "_f_term", "_placed")
 
 
 def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.97, support: int = 3) -> DataFrame:
     """(doc_id, _spans, _terms) of every row, as arrays of spans."""
     rows = texts(docs)
-    found = stash(base_spans(rows).select("doc_id", "_spans"), "pii-base")
-    terms = disclosing_terms(found, rows, generalise, remove, support)
-    if terms is None:
-        return found.withColumn("_terms", F.array().cast(SPAN))
-    return _term_spans(base_spans(rows), terms).select("doc_id", "_spans", "_terms")
+    found = stash(base_spans(rows), "pii-base")
+    terms = disclosing_terms(found, found.select("text"), generalise, remove, support)
+    return _term_spans(found, terms).select("doc_id", "_spans", "_terms")
 
 
 def sanitise(docs: DataFrame, generalise: float = 0.9, remove: float = 0.97, support: int = 3) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by [EMAIL], [IP],
     [CARD], [PHONE] and disclosing terms by [TERM] or nothing; a null text
     stays null, other columns stay as they are."""
-    rows = texts(docs)
-    found = base_spans(rows).select("_spans")
-    terms = disclosing_terms(found, rows, generalise, remove, support)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    marked = _term_spans(base_spans(own), terms)
+    found = stash(base_spans(own), "pii-base")
+    terms = disclosing_terms(found, found.select("text"), generalise, remove, support)
+    marked = _term_spans(found, terms)
     if "_own" not in marked.columns:
         marked = marked.withColumn("_own", F.lit(None).cast("array<struct<term:string,action:string>>"))
-    gone = F.exists("_own", lambda o: (o["action"] == "remove"))
-    marked = marked.withColumn("_gone", F.when(gone, F.transform(F.filter("_own", lambda o: o["action"] == "remove"), lambda o: o["term"])).otherwise(F.array().cast("array<string>")))
-    spans = F.sort_array(F.transform(F.concat("_spans", "_terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
-    marked = marked.withColumn("_all", spans)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def put(acc: Column, s: Column) -> Column:
-        sign = F.when((s["kind"] == "term") & F.array_contains("_gone", F.lower(s["value"])), "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        text = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), sign)
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, text).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("_all", zero, put, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    gone = F.transform(F.filter("_own", lambda o: o["action"] == "remove"), lambda o: o["term"])
+    sign = lambda s: F.when((s["kind"] == "term") & F.coalesce(F.array_contains(gone, F.lower(s["value"])), F.lit(False)), "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    spans = F.sort_array(F.transform(F.concat("_spans", "_terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), sign(s).alias("sign"))))
+    marked = settled(marked.withColumn("_all", spans).withColumn("_blocks", F.when(F.size("_all") > 0, _blocks(F.col("text")))).drop("_spans", "_terms", "_own"), "_all", "_blocks")
+    # how far the spans up to each one reach: those that start within that reach are covered
+    marked = settled(marked.withColumn("_ends", F.transform("_all", lambda s: s["end"])), "_ends")
+    marked = settled(marked.withColumn("_reach", running("_ends", lambda a, x: F.greatest(a, x))), "_reach")
+    reach = lambda i: F.coalesce(F.get("_reach", i - 1), F.lit(0))
+    put = F.transform("_all", lambda s, i: F.when(s["start"] >= reach(i), F.concat(_cut(reach(i), s["start"]), s["sign"])).otherwise(""))
+    clean = F.concat(F.array_join(put, ""), _cut(reach(F.size("_all")), F.length("text").cast("bigint")))
     new = F.when(F.col("_doc.text").isNull(), F.lit(None).cast("string")).when(F.size("_all") == 0, F.col("text")).otherwise(clean)
     return marked.select(*[(new if c == "text" else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _blocks(text: Column) -> Column:
+    """A text in pieces of PIECE code points: a substring of a long text would
+    be searched for from its first character every time."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))
+
+
+def _cut(start: Column, end: Column) -> Column:
+    """Code points start to end of the text in ``_blocks``."""
+    a, b = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    first, last = (start - a * PIECE).cast("int"), (end - b * PIECE).cast("int")
+    one = F.substring(F.get("_blocks", a), first + 1, last - first)
+    more = F.concat(F.substring(F.get("_blocks", a), first + 1, F.lit(PIECE)), F.array_join(F.slice("_blocks", a + 2, b - a - 1), ""), F.substring(F.get("_blocks", b), F.lit(1), last))
+    return F.when(end <= start, "").when(a == b, one).otherwise(more)

@@ -74,7 +74,7 @@ def votes(s: dict[str, float]) -> tuple[int, ...]:
         some and s["shouts"] > 0.1,
         some and s["same"] > 0.2,
         some and s["top"] > 0.4,
-        40 <= n < 5000 and s["variety"] < 0.2,
+        n >= 40 and s["variety"] < 0.2 and s["variety"] * s["variety"] * n < 16,
         s["digits"] > 0.3,
         s["lines"] > 0.3,
         n > 0 and not 2 <= s["word_length"] <= 15,

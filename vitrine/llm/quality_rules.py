@@ -85,7 +85,8 @@ def rule_votes() -> dict[str, Column]:
         "shouting": some & (4 * shouts > n),
         "repeats": 100 * again > 20 * n,
         "mostly_repeats": 100 * again > 50 * n,
-        "variety": (n >= 40) & (n < 2000) & (5 * F.col("n_distinct") < n),
+        # vocabulary grows about with the square root of a long text's length
+        "variety": (n >= 40) & (5 * F.col("n_distinct") < n) & (F.col("n_distinct") * F.col("n_distinct") < 16 * n),
         "lines": (F.col("n_lines") >= 4) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
     }
     prose = some & (100 * symbols <= 2 * n) & (100 * upper <= 12 * chars) & (20 * shouts <= n) & (100 * again <= 10 * n)
@@ -114,8 +115,13 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns only."""
+    """The rows of ``docs`` that are kept, with their own columns only. Texts
+    are measured once: rows are stored with their votes, which are counted and
+    judged from there."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    m = measures(row)
-    votes = measures(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    return judge(m, fit_rules(votes), threshold).where("kept").select("_row.*")
+    votes = rule_votes()
+    voted = measures(row).select("_row", base_failed().alias("_failed"), *[v.alias(f"_v_{k}") for k, v in votes.items()])
+    voted = stash(voted.where(F.col("_row").isNotNull()), "quality-votes")
+    named = {k: F.col(f"_v_{k}") for k in votes}
+    model = fit_label_model(voted.select(*[c.alias(k) for k, c in named.items()]), list(votes))
+    return voted.where(~F.col("_failed") & (model.posterior(named) >= threshold)).select("_row.*")

@@ -13,9 +13,10 @@ tiles: each tile's bounded tree is sent to the tiles of that shard, which
 search it. Within a shard only the links of a spanning forest leave the task.
 
 Defined results: a null, empty or blank text has fingerprint zero and is
-linked like any other; repeated rows share a fingerprint; ids may repeat; a
-null id takes part in no minimum, so a group of null ids only has a null
-component; an empty table gives an empty result.
+linked like any other; repeated rows share a fingerprint; ids may repeat, also
+with different texts, which are linked only if their fingerprints are; a null
+id takes part in no minimum, so a group of null ids only has a null component;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -227,34 +228,42 @@ def _settle(found: list[DataFrame], radius: int, more: DataFrame | None) -> Data
     return out
 
 
+def _groups(fps: DataFrame, radius: int, tree_size: int) -> DataFrame:
+    """(fp, least_id, component) of every distinct fingerprint; the component
+    is its smallest fingerprint."""
+    nodes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
+    joined = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius, tree_size))
+    return nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, tree_size: int = TREE_SIZE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     fps = stash(fingerprints(docs, shingle), "simhash-fp")
-    ids = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    nodes = stash(ids, "simhash-nodes")
-    # fingerprints of null ids only still connect others: a negative stand-in
-    # for the node, which no minimum over ids returns
-    named = nodes.select(F.coalesce("node", F.xxhash64("fp").bitwiseOR(F.lit(-(2**63)).cast("long"))).alias("node"), "fp", F.col("node").alias("least_id"))
-    joined = components(links(named.select("node", "fp"), radius, tree_size))
-    placed = named.join(joined, "node", "left").select("fp", "least_id", F.coalesce("component", "node").alias("component"))
+    placed = _groups(fps, radius, tree_size)
     groups = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_fp = placed.join(groups, "component").select("fp", "component_id")
     out = fps.join(by_fp, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One row of ``docs`` per group: that of the smallest id; of groups
-    without any id, and of rows that repeat the id, one row each."""
-    found = near_duplicates(docs, shingle, radius)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull())
-    if nameless.isEmpty():
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, tree_size: int = TREE_SIZE) -> DataFrame:
+    """One row of ``docs`` per group: that of the smallest id (a null id comes
+    last), then of the smallest fingerprint. Rows are told apart by id and
+    fingerprint: ids found once by the id alone; the few rows whose id repeats
+    or is null are fingerprinted again where they stand."""
+    fps = stash(fingerprints(docs, shingle), "simhash-fp")
+    best = _groups(fps, radius, tree_size).groupBy("component").agg(
+        F.min(F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id").alias("id"), "fp")).alias("b"))
+    kept = stash(best.select(F.col("b.id").alias("_id"), F.col("b.fp").alias("_fp")), "simhash-kept")
+    again = stash(fps.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_id")), "simhash-repeated")
+    own = F.col("doc_id").cast("long")
+    alone = kept.where(F.col("_id").isNotNull()).join(again, "_id", "left_anti").select("_id")
+    first = docs.join(alone, own == F.col("_id"), "left_semi")
+    if again.isEmpty():
         return first
-    alone = found.where("component_id is null").select("fingerprint").distinct()
-    marked = nameless.select(F.monotonically_increasing_id().alias("_n"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    marked = stash(marked, "simhash-nameless")
-    keys = near_duplicates(marked.select(F.col("_n").alias("doc_id"), F.col("_row.text").alias("text")), shingle, radius)
-    one = keys.join(alone, "fingerprint", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias("_n")).distinct()
-    return first.unionByName(marked.join(one, "_n", "left_semi").select("_row.*"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), own.alias("_own"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    marked = marked.where(F.col("_own").isNull()).unionByName(marked.join(again.where("_id is not null"), F.col("_own") == F.col("_id"), "left_semi"))
+    print_of = F.pandas_udf(lambda texts: pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)), "long")
+    marked = marked.withColumn("_print", print_of("_text")).drop("_text").dropDuplicates(["_own", "_print"])
+    chosen = marked.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_fp")), "left_semi")
+    return first.unionByName(chosen.select("_row.*"))

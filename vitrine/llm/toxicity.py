@@ -176,12 +176,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[byt
     """(ordinary dictionary, toxic dictionary, coefficients), or None."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     named = named.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learnable(F.col("doc_id")))
+    # a row labelled twice with different values counts as toxic
+    named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in named.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
     shares = {k: min(1.0, max_fit / n) for k, n in counts.items()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
-    some = named.where((draw < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]))).dropDuplicates(["doc_id"])
+    some = named.where((draw < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])))
     some = stash(some, "toxicity-rows")
     found = texts(docs).join(some, "doc_id").groupBy(F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     found = found.withColumn("half", F.pmod(F.xxhash64("sha", F.lit("half")), F.lit(2)).cast("int")).drop("sha")
