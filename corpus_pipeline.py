@@ -1,13 +1,20 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination,
 personal data, packing. Each stage works on all that the one before it kept,
-written as Parquet into the shared checkpoint folder and read again."""
+written as Parquet into the shared checkpoint folder and read again; what a
+stage wrote on its way is deleted once its result is stored.
+
+Defined results: null, empty and blank texts fail the quality rules and go;
+rows that repeat an id stay apart as long as their texts do (near-duplicates
+keep one row of each group, whatever the ids); a null id is kept like any other;
+columns beside those of documents pass through all stages but the last; an
+empty table gives an empty result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.llm import decontaminate, packing, pii, quality_rules, simhash
-from vitrine.llm.common import stash
+from vitrine.llm.common import scratch, stash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stash(docs, "pipeline")
-    return docs
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), STAGES[-1][1]
+    with scratch(spark) as done:
+        for _, stage in STAGES[:-1]:
+            with scratch(spark) as made:
+                docs = stash(stage(spark, docs, sf_dir), "pipeline")
+                done.append(made.pop())
+        # the last stage's own tables are read when its result is
+        with scratch(spark) as made:
+            out = last(spark, docs, sf_dir)
+            made.clear()
+        done.pop()
+    return out
