@@ -9,7 +9,7 @@ reaches ``generalise`` (a share of IC) is replaced by a general one, from
 ``remove`` on it goes altogether. Term and value must meet in at least
 ``support`` documents of which no two are near copies of each other: copies of
 a document are no evidence. Documents are told apart by the SKETCH smallest
-hashes of their three-word runs.
+hashes of their two-word runs.
 
 All terms of all documents are counted first. PMI can only reach its bound for
 a term in at most N (n_e / N) ** generalise documents, and values need
@@ -134,7 +134,7 @@ def _evidence(rows: DataFrame) -> DataFrame:
         F.regexp_extract_all(F.lower(F.regexp_replace("text", mask, " ")), F.lit(TERM), F.lit(0)).alias("_w"))
     some = settled(some, "entities", "_w")
     some = settled(some.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))), "_h")
-    runs = F.when(F.size("_h") < 3, F.array(F.xxhash64("_h"))).otherwise(window_hashes("_h", 3))
+    runs = F.when(F.size("_h") < 2, F.array(F.xxhash64("_h"))).otherwise(window_hashes("_h", 2))
     return some.select("_doc", "entities", F.slice(F.sort_array(F.array_distinct(runs)), 1, SKETCH).alias("around"), F.array_distinct("_w").alias("terms"))
 
 
