@@ -17,7 +17,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import rnd
@@ -26,6 +26,7 @@ from vitrine.operators.ml import (
     CLV_FEATURES,
     DELAY_FEATURES,
     SEED,
+    _clv_plain,
     churn_split,
     clv_table,
     delay_table,
@@ -39,7 +40,9 @@ from vitrine.sources.tables import RetailTables
 
 QUERIES = ("churn_model_logistic", "churn_model_forest", "churn_model_boosted", "model_comparison", "roc_curve",
            "auc_rank", "confusion_report", "clv_model", "regression_report", "clv_tiers", "clv_tier_summary",
-           "delay_model", "score_risk_flags", "feature_importance")
+           "delay_model", "score_risk_flags", "feature_importance",
+           "scorecard_roc_curve", "scorecard_auc", "scorecard_confusion", "baseline_regression_report",
+           "baseline_clv_tiers", "baseline_clv_tier_summary")
 
 # Hyper-parameters of the workload's three models.
 CHURN_MODELS = {
@@ -167,8 +170,11 @@ churn_model_boosted = _churn_query("boosted_trees")
 def auc_exact(scored: DataFrame, label: str, score: str) -> DataFrame:
     """ML15: exact ROC-AUC = (R+ - n+(n+ + 1)/2) / (n+ n-), ties at mean rank."""
     rs = rank_sum(scored.withColumn("_id", F.monotonically_increasing_id()), score, F.col(label) == 1, ["_id"])
-    return rs.select(((F.col("rank_sum") - F.col("n1") * (F.col("n1") + 1) / 2)
-                      / (F.col("n1") * F.col("n2"))).alias("auc"))
+    return rs.select(_auc().alias("auc"))
+
+
+def _auc():
+    return (F.col("rank_sum") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n2"))
 
 
 def confusion(scored: DataFrame, label: str, pred: str) -> DataFrame:
@@ -295,32 +301,36 @@ CLV_TIERS = [("Low CLV", "Discount offers, re-engagement campaigns, survey for c
              ("High CLV", "VIP program, early access to new products, exclusive offers")]
 
 
-def _tiers(t: RetailTables) -> DataFrame:
-    s = fit_clv(t)[1]
-    edges = quantile_edges(s, "predicted_clv", [0.25, 0.75], ["customer_unique_id"])
+def tiers(scored: DataFrame) -> DataFrame:
+    """ML22: the tier of every row by its ``predicted_clv``."""
+    edges = quantile_edges(scored, "predicted_clv", [0.25, 0.75], ["customer_unique_id"])
     x = F.col("predicted_clv")
     tier = (F.when(x <= F.col("edges")[0], CLV_TIERS[0][0]).when(x <= F.col("edges")[1], CLV_TIERS[1][0])
             .otherwise(CLV_TIERS[2][0]))
-    return s.crossJoin(F.broadcast(edges)).withColumn("clv_tier", tier).drop("edges")
-
-
-def clv_tiers(t: RetailTables) -> DataFrame:
-    """ML22: Low / Medium / High CLV at the 25% and 75% quantiles."""
-    return _tiers(t).select("customer_unique_id", rnd("predicted_clv", 4).alias("predicted_clv"), "clv_tier")
+    return scored.crossJoin(F.broadcast(edges)).withColumn("clv_tier", tier).drop("edges")
 
 
-def clv_tier_summary(t: RetailTables) -> DataFrame:
+def tier_summary(tiered: DataFrame) -> DataFrame:
     """ML23: customers, average and total predicted CLV, average historical
     spend and the recommended strategy per tier."""
-    spark = t.orders.sparkSession
-    strat = spark.createDataFrame(CLV_TIERS, "clv_tier string, recommended_strategy string")
-    g = _tiers(t).groupBy("clv_tier").agg(
+    strat = tiered.sparkSession.createDataFrame(CLV_TIERS, "clv_tier string, recommended_strategy string")
+    g = tiered.groupBy("clv_tier").agg(
         F.count(F.lit(1)).alias("customers"), rnd(F.avg("predicted_clv"), 2).alias("avg_predicted_clv"),
         rnd(F.sum("predicted_clv"), 2).alias("total_predicted"),
         rnd(F.avg("total_spend_early"), 2).alias("avg_historical_spend"))
     return g.join(F.broadcast(strat), "clv_tier", "left")
 
 
+def clv_tiers(t: RetailTables) -> DataFrame:
+    """ML22: Low / Medium / High CLV at the 25% and 75% quantiles."""
+    return tiers(fit_clv(t)[1]).select("customer_unique_id", rnd("predicted_clv", 4).alias("predicted_clv"), "clv_tier")
+
+
+def clv_tier_summary(t: RetailTables) -> DataFrame:
+    """ML23: the tier table of the fitted CLV model."""
+    return tier_summary(tiers(fit_clv(t)[1]))
+
+
 # ----------------------------------------------------------------- delay
 def _fit_delay(t: RetailTables) -> tuple[PipelineModel, DataFrame]:
     data = split_stratified(delay_table(t), label="is_delayed", key="order_id")
@@ -371,30 +381,32 @@ def score_risk_flags(t: RetailTables, churn_share: float = 0.10, delay_cut: floa
 def permutation_importance(model: PipelineModel, data: DataFrame, features: list[str], label: str,
                            key: str, metric: str = "auc") -> DataFrame:
     """ML27: drop in AUC (or rise in MAE) when one feature's column is
-    permuted across rows. The permutation is a deterministic rank shift
-    (row r takes the value of row r + n/2 in a hash order), done with an
-    equi-join, so every feature costs one distributed job."""
-    ranked = checkpoint(global_rank(data.withColumn("_h", F.xxhash64(F.col(key), F.lit(SEED))),
-                                    [F.col("_h"), F.col(key)], "_r", count_col="_n"))
+    permuted across rows. The permutation is a deterministic rank shift (row r
+    takes the value of row r + n/2 in a hash order).
 
-    def score(df: DataFrame) -> DataFrame:
-        out = model.transform(df)
-        if metric == "auc":
-            s = out.select(label, _prob().alias("_s"))
-            return auc_exact(s, label, "_s").select(F.col("auc").alias("v"))
-        s = out.select(label, F.greatest(F.col("prediction"), F.lit(0.0)).alias("_p"))
-        return regression_metrics(s, label, "_p").select(F.col("mae").alias("v"))
-
-    base = score(ranked).select(F.col("v").alias("base"))
-    parts = []
-    for f in features:
-        donor = ranked.select(((F.col("_r") - 1 + F.floor(F.col("_n") / 2)) % F.col("_n") + 1).alias("_r"),
-                              F.col(f).alias("_donor"))
-        permuted = ranked.join(donor, "_r").withColumn(f, F.col("_donor")).drop("_donor")
-        parts.append(score(permuted).select(F.lit(f).alias("feature"), F.col("v").alias("permuted")))
+    One job for all features: each row meets its donor once, is repeated per
+    feature with that feature's value replaced (``_v`` = the feature's place,
+    -1 = unchanged), and is scored in the same pass; the metric of every
+    variant comes from one aggregate or one global rank of thin rows."""
+    ranked = checkpoint(global_rank(data.withColumn("_h", F.xxhash64(F.col(key), F.lit(SEED))),
+                                    [F.col("_h"), F.col(key)], "_r", count_col="_n").select(key, label, *features, "_r", "_n"))
+    donor = ranked.select(((F.col("_r") - 1 + F.floor(F.col("_n") / 2)) % F.col("_n") + 1).alias("_r"),
+                          F.struct(*features).alias("_donor"))
+    variants = ranked.join(donor, "_r").withColumn("_v", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    swapped = variants.select(key, label, "_v", *[
+        F.when(F.col("_v") == i, F.col("_donor")[f]).otherwise(F.col(f)).alias(f) for i, f in enumerate(features)])
+    out = model.transform(swapped)
+    if metric == "auc":
+        rs = rank_sum(out.select("_v", label, key, _prob().alias("_s")), "_s", F.col(label) == 1, [key], by=["_v"])
+        per = rs.select("_v", _auc().alias("v"))
+    else:
+        per = out.groupBy("_v").agg(F.avg(F.abs(F.col(label) - F.greatest(F.col("prediction"), F.lit(0.0)))).alias("v"))
+    # One row per feature and one for the unchanged rows: a bounded window.
+    base = F.max(F.when(F.col("_v") == -1, F.col("v"))).over(Window.partitionBy(F.lit(1)))
     sign = 1.0 if metric == "auc" else -1.0
-    return (reduce(DataFrame.unionByName, parts).crossJoin(F.broadcast(base))
-            .select("feature", (sign * (F.col("base") - F.col("permuted"))).alias("importance")))
+    return (per.withColumn("_base", base).where(F.col("_v") >= 0)
+            .select(F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_v") + 1).alias("feature"),
+                    (sign * (F.col("_base") - F.col("v"))).alias("importance")))
 
 
 def feature_importance(t: RetailTables) -> DataFrame:
@@ -431,3 +443,58 @@ def feature_importance(t: RetailTables) -> DataFrame:
     return perm.join(imp_df, ["model", "feature"], "left").select(
         "model", "feature", rnd("importance", 6).alias("permutation_importance"),
         rnd("impurity_importance", 6).alias("impurity_importance"))
+
+
+# ------------------------------------------- the metrics on a plain scorecard
+def churn_scorecard(t: RetailTables) -> DataFrame:
+    """A model-free churn score of the test customers, as a yardstick for the
+    fitted models: ten points off per order and one per item. A customer is
+    predicted to churn at or above the mean score of the train customers."""
+    df = churn_split(t).select(
+        "customer_unique_id", "churned", "split",
+        (1000 - 10 * F.col("frequency").cast("long") - F.col("n_items_total").cast("long")).alias("score"))
+    df = checkpoint(df)
+    cut = df.where(F.col("split") == "train").agg(F.avg("score").alias("_cut"))
+    return (df.where(F.col("split") == "test").crossJoin(F.broadcast(cut))
+            .select("customer_unique_id", "churned", "score", (F.col("score") >= F.col("_cut")).cast("int").alias("predicted")))
+
+
+def scorecard_roc_curve(t: RetailTables) -> DataFrame:
+    """ML14: ROC points of the scorecard, one per distinct score."""
+    return roc_points(churn_scorecard(t), "churned", "score").select(
+        "threshold", rnd("fpr", 6).alias("fpr"), rnd("tpr", 6).alias("tpr"))
+
+
+def scorecard_auc(t: RetailTables) -> DataFrame:
+    """ML15: exact AUC of the scorecard, ties at mean rank."""
+    return auc_exact(churn_scorecard(t), "churned", "score").select(rnd("auc", 6).alias("auc"))
+
+
+def scorecard_confusion(t: RetailTables) -> DataFrame:
+    """ML16: confusion counts and per-class report of the scorecard."""
+    return confusion(churn_scorecard(t), "churned", "predicted").select(
+        "label", "tn", "fp", "fn", "tp", *[rnd(x, 6).alias(x) for x in ("precision", "recall", "f1")], "support")
+
+
+def clv_baseline(t: RetailTables) -> DataFrame:
+    """The naive CLV forecast in whole cents: the late half repeats the early one."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("long").cast("double")
+    return split_random(checkpoint(_clv_plain(t).select(
+        "customer_unique_id", cents("future_spend").alias("future_spend"), cents("total_spend_early").alias("predicted_clv"),
+        cents("total_spend_early").alias("total_spend_early"))))
+
+
+def baseline_regression_report(t: RetailTables) -> DataFrame:
+    """ML21: MAE, RMSE (cents) and R² of the naive forecast on the test split."""
+    m = regression_metrics(clv_baseline(t).where(F.col("split") == "test"), "future_spend", "predicted_clv")
+    return m.select(*[rnd(c, 6).alias(c) for c in ("mae", "rmse", "r2")])
+
+
+def baseline_clv_tiers(t: RetailTables) -> DataFrame:
+    """ML22: tiers of the naive forecast (cents)."""
+    return tiers(clv_baseline(t)).select("customer_unique_id", "predicted_clv", "clv_tier")
+
+
+def baseline_clv_tier_summary(t: RetailTables) -> DataFrame:
+    """ML23: the tier table of the naive forecast (cents)."""
+    return tier_summary(tiers(clv_baseline(t)))

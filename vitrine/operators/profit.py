@@ -102,15 +102,15 @@ def _model_a(keys: list, rows: DataFrame, cost: CostModel = COST, extra: dict |
     return agg.withColumn("_op", op).withColumn("_profit", profit)
 
 
-def order_item_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, top: int = 100,
-                      cost: CostModel = COST) -> DataFrame:
-    """PF1: per joined item row (model B): costs, profit, margin; top by profit.
+# Beyond this many bounds looked at (nearly all good lines belong to inactive
+# orders) PF1 joins all lines.
+PRUNE_LIMIT = 100_000
 
-    Each item yields at most two distinct rows (discounted or not) carrying
-    their multiplicities; only the ``top`` best distinct rows are expanded to
-    their copies, so the output is exact without materialising the fan-out.
-    """
-    rows = _reviewed(items_with_category(t), t, active_status(excluded=excluded), with_state=True)
+
+def _item_variants(lines: DataFrame, t: RetailTables, excluded, cost: CostModel) -> DataFrame:
+    """The discounted and the undiscounted row of each line with its profit
+    (model B) and its number of copies ``_k``."""
+    rows = _reviewed(lines, t, active_status(excluded=excluded), with_state=True)
     variants = F.array(
         F.struct(F.lit(True).alias("low"), F.col("n_low").alias("k")),
         F.struct(F.lit(False).alias("low"), (F.col("m") - F.col("n_low")).alias("k")))
@@ -120,10 +120,38 @@ def order_item_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, top: int = 100
     disc = F.when(F.col("_v.low"), F.col("price") * cost.lit("discount_rate")).otherwise(_zero())
     ship = cost.item_shipping()
     profit = F.col("price") - ship - disc - cost.lit("operational_cost")
-    shaped = v.select(
+    return v.select(
         "order_id", "customer_state", "category", F.col("price").alias("revenue"),
         F.col("freight_value").alias("actual_freight"), ship.alias("_ship"), disc.alias("_disc"),
         profit.alias("_profit"), F.col("_v.k").alias("_k"))
+
+
+def order_item_profit(t: RetailTables, excluded=DEFAULT_EXCLUDED, top: int = 100,
+                      cost: CostModel = COST) -> DataFrame:
+    """PF1: per joined item row (model B): costs, profit, margin; top by profit.
+
+    Each item yields at most two distinct rows (discounted or not) carrying
+    their multiplicities; only the ``top`` best distinct rows are expanded to
+    their copies, so the output is exact without materialising the fan-out.
+
+    Lines are pruned by a bound before the joins. No row of a line earns more
+    than its price less shipping and operating cost; ``floor`` is the k-th
+    best of these bounds. A line below it can't beat ``top`` joined rows at or
+    above it, so once there are that many the rest never meets a join.
+    """
+    best = F.col("price") - cost.item_shipping() - cost.lit("operational_cost")
+    take = 4 * top
+    while True:
+        floor, seen = (t.items.select(best.alias("_b")).orderBy(F.desc("_b")).limit(take)
+                       .agg(F.min("_b"), F.count(F.lit(1))).first())
+        if seen < take or take > PRUNE_LIMIT:
+            shaped = _item_variants(items_with_category(t), t, excluded, cost)
+            break
+        shaped = _item_variants(items_with_category(t).where(best >= F.lit(floor)), t, excluded, cost)
+        enough = shaped.where(F.col("_profit") >= F.lit(floor)).agg(F.sum("_k")).first()[0]
+        if enough is not None and enough >= top:
+            break
+        take *= 4
     order = [F.desc("_profit"), "order_id", F.desc("revenue"), "_disc", "actual_freight",
              F.asc_nulls_first("category"), "customer_state"]
     best = shaped.orderBy(*order).limit(top)

@@ -146,21 +146,24 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seq
     return q
 
 
-def rank_sum(df: DataFrame, value: str, is_first: Column, tiebreak: Sequence[str]) -> DataFrame:
+def rank_sum(df: DataFrame, value: str, is_first: Column, tiebreak: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Sum of average ranks (ties share the mean rank) of the rows where
     ``is_first`` holds, in the ranking of all rows by ``value``: the core of
     the Mann-Whitney U statistic and of the exact ROC-AUC.
 
-    Returns one row: ``rank_sum``, ``n1``, ``n2`` and ``tie_term``
-    (Σ t³ - t over tie groups, for the variance correction).
+    Returns one row (per group of ``by``): ``rank_sum``, ``n1``, ``n2`` and
+    ``tie_term`` (Σ t³ - t over tie groups, for the variance correction). All
+    groups share one global order; a group is a run of ranks in it, so its own
+    ranks are the global ones less those before its first row.
     """
-    base = df.select(F.col(value).alias("_x"), is_first.cast("int").alias("_g"), *tiebreak)
-    ranked = global_rank(base, [F.col("_x").asc(), *[F.col(c) for c in tiebreak]], "_r", materialize_input=True)
-    per_value = ranked.groupBy("_x").agg(F.min("_r").alias("_rmin"), F.count(F.lit(1)).alias("_t"),
-                                         F.sum("_g").alias("_t1"))
+    base = df.select(*by, F.col(value).alias("_x"), is_first.cast("int").alias("_g"), *tiebreak)
+    ranked = global_rank(base, [*[F.col(c) for c in by], F.col("_x").asc(), *[F.col(c) for c in tiebreak]], "_r",
+                         materialize_input=True)
+    per_value = ranked.groupBy(*by, "_x").agg(F.min("_r").alias("_rmin"), F.count(F.lit(1)).alias("_t"),
+                                              F.sum("_g").alias("_t1"))
     avg_rank = F.col("_rmin") + (F.col("_t") - 1) / 2.0
-    return per_value.agg(
-        F.sum(avg_rank * F.col("_t1")).alias("rank_sum"),
+    return per_value.groupBy(*by).agg(
+        (F.sum(avg_rank * F.col("_t1")) - (F.min("_rmin") - 1) * F.sum("_t1")).alias("rank_sum"),
         F.sum("_t1").alias("n1"), (F.sum("_t") - F.sum("_t1")).alias("n2"),
         F.sum(F.col("_t").cast("double") ** 3 - F.col("_t")).alias("tie_term"))
 

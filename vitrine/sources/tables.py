@@ -13,6 +13,7 @@ Two ways in:
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,6 +132,39 @@ def parse_timestamps(df: DataFrame, columns: list[str], strict: bool = False) ->
     return out
 
 
+# Files whose quoted fields may hold line breaks; they can't be split.
+MULTILINE = {"reviews"}
+
+RECORD, FAULTS = "record", "faults"
+
+
+def _csv(spark: SparkSession, root: str, name: str, mode: str, keep_record: bool = False) -> DataFrame:
+    """One file of the export. ``keep_record`` adds the text of a record with
+    a field that doesn't parse; every column is parsed then, so that what
+    counts as bad doesn't hang on the columns a query reads."""
+    schema = T.StructType(list(CSV_SCHEMAS[name].fields))
+    reader = (spark.read.option("header", True).option("enforceSchema", False).option("multiLine", name in MULTILINE)
+              .option("quote", '"').option("escape", '"').option("mode", mode))
+    if keep_record:
+        schema = schema.add(RECORD, T.StringType())
+        reader = reader.option("columnNameOfCorruptRecord", RECORD).option("columnPruning", False)
+    return reader.schema(schema).csv(f"{root}/{CSV_FILES[name]}")
+
+
+def _with_faults(df: DataFrame, name: str) -> DataFrame:
+    """``faults``: what is wrong with a record: "fields" (a value of the wrong
+    type, too many or too few fields) and the names of timestamps whose text
+    doesn't parse. ``record``: its text, or its fields as JSON if only
+    timestamps are bad."""
+    fields_json = F.to_json(F.struct(*CSV_SCHEMAS[name].names))
+    # a read of the record's text alone is refused: the check names all fields
+    marks = [F.when(F.col(RECORD).isNotNull() & fields_json.isNotNull(), F.lit("fields"))]
+    marks += [F.when(F.col(c).isNotNull() & F.col(c).try_cast("timestamp_ntz").isNull(), F.lit(c))
+              for c in TIMESTAMP_COLUMNS.get(name, [])]
+    return (df.withColumn(FAULTS, F.array_compact(F.array(*marks)))
+            .withColumn(RECORD, F.coalesce(F.col(RECORD), fields_json)))
+
+
 @dataclass(frozen=True)
 class RetailTables:
     """The eight retail relations every operator reads."""
@@ -145,13 +179,25 @@ class RetailTables:
     sellers: DataFrame
     # zip-code coordinates: read and profiled only (the export's largest file)
     geolocation: DataFrame | None = None
+    # records of a CSV export with fields that don't parse: file, faults, record
+    quarantine: DataFrame | None = None
     # identity of the files behind the tables; without it nothing derived from
     # them is stored for later sessions
     dataset_id: str | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
         """The eight core tables (optional ones only when present)."""
-        return {f.name: getattr(self, f.name) for f in fields(self) if isinstance(getattr(self, f.name), DataFrame)}
+        return {f.name: getattr(self, f.name) for f in fields(self)
+                if f.name != "quarantine" and isinstance(getattr(self, f.name), DataFrame)}
+
+    def bad_record_counts(self) -> DataFrame:
+        """SRC1: bad records per file of the export, 0 for a clean one."""
+        if self.quarantine is None:
+            raise ValueError("only tables read from CSV (not strictly) keep a quarantine")
+        spark = self.orders.sparkSession
+        files = spark.createDataFrame([(f,) for f in CSV_FILES.values()], "file string")
+        n = self.quarantine.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+        return F.broadcast(files).join(n, "file", "left").select("file", F.coalesce("n", F.lit(0)).alias("bad_records"))
 
     def register_views(self, prefix: str = "r_") -> None:
         """SRC4 (temp-view flavour): expose every table to ``spark.sql``."""
@@ -160,28 +206,38 @@ class RetailTables:
 
     # ------------------------------------------------------------------ CSV
     @classmethod
-    def from_csv(cls, spark: SparkSession, raw_dir: str, strict_timestamps: bool = False) -> "RetailTables":
+    def from_csv(cls, spark: SparkSession, raw_dir: str, strict_timestamps: bool = False,
+                 drop_bad_records: bool = False) -> "RetailTables":
         """SRC1/SRC2: headered CSVs with fixed schemas. A UTF-8 BOM in a header
         is consumed by the CSV reader, so column names come out clean. Quoted
-        fields may hold line breaks and doubled quotes (free-text comments);
-        a header whose names or order differ from the schema is an error."""
-        frames = {}
+        fields may hold doubled quotes; review comments may hold line breaks,
+        so only that file is read in one piece, the others split. A header
+        whose names or order differ from the schema is an error.
+
+        A field that doesn't parse is null and its record stays, or the record
+        is left out with ``drop_bad_records``; either way ``quarantine`` lists
+        it. ``strict_timestamps`` raises instead.
+        """
         from vitrine.session import path_exists
 
-        for name, fname in CSV_FILES.items():
-            if name == "geolocation" and not path_exists(spark, f"{raw_dir.rstrip('/')}/{fname}"):
+        root = raw_dir.rstrip("/")
+        there = [n for n, f in CSV_FILES.items() if n != "geolocation" or path_exists(spark, f"{root}/{f}")]
+        frames, bad = {}, []
+        for name in there:
+            if strict_timestamps:
+                frames[name] = parse_timestamps(_csv(spark, root, name, "FAILFAST"), TIMESTAMP_COLUMNS.get(name, []), True)
                 continue
-            df = (spark.read.schema(CSV_SCHEMAS[name]).option("header", True).option("enforceSchema", False)
-                  .option("multiLine", True).option("quote", '"').option("escape", '"')
-                  .option("mode", "FAILFAST" if strict_timestamps else "PERMISSIVE")
-                  .csv(f"{raw_dir.rstrip('/')}/{fname}"))
-            frames[name] = parse_timestamps(df, TIMESTAMP_COLUMNS.get(name, []), strict_timestamps)
+            checked = _with_faults(_csv(spark, root, name, "PERMISSIVE", keep_record=True), name)
+            bad.append(checked.where(F.size(FAULTS) > 0).select(F.lit(CSV_FILES[name]).alias("file"), FAULTS, RECORD))
+            rows = checked.where(F.size(FAULTS) == 0) if drop_bad_records else _csv(spark, root, name, "PERMISSIVE")
+            frames[name] = parse_timestamps(rows.select(*CSV_SCHEMAS[name].names), TIMESTAMP_COLUMNS.get(name, []))
         return cls(
             orders=frames["orders"], customers=frames["customers"], items=frames["order_items"],
             products=frames["products"], translation=frames["translation"],
             reviews=frames["reviews"], payments=frames["payments"], sellers=frames["sellers"],
             geolocation=frames.get("geolocation"),
-            dataset_id=_identity(spark, [f"{raw_dir.rstrip('/')}/{f}" for f in CSV_FILES.values()]),
+            quarantine=reduce(DataFrame.unionByName, bad) if bad else None,
+            dataset_id=_identity(spark, [f"{root}/{f}" for f in CSV_FILES.values()]) + ("-clean" if drop_bad_records else ""),
         )
 
     # ------------------------------------------------------------ TPC-H
