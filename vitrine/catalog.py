@@ -32,7 +32,7 @@ def register(key: str, query: Query, sql: str | None = None) -> None:
         _SQL[key] = sql
 
 
-AREAS = ("prepare", "funnel", "audit", "explore", "cohort", "rfm", "profit", "abtest", "ml", "models", "explain")
+AREAS = ("prepare", "funnel", "audit", "explore", "cohort", "rfm", "profit", "abtest", "approximate", "ml", "models", "explain")
 
 
 def _load() -> None:

@@ -23,7 +23,26 @@ _core = [n for n in COLUMNS if n != "product_category_name_translation"]
 _main_cols = len({c for _, cols in [COLUMNS[n] for n in ("orders", "customers", "order_items", "payments",
                                                            "products", "reviews", "sellers")] for c in cols})
 
+
+
+def _type(c: str) -> str:
+    """The view's data type, by the column's name."""
+    if c in ("price", "freight_value", "payment_value"):
+        return "decimal(15,2)"
+    if c in ("order_item_id", "payment_sequential", "payment_installments", "review_score"):
+        return "int"
+    if c.endswith("_id"):
+        return "bigint"
+    if c.endswith(("_timestamp", "_at", "_date")):
+        return "timestamp_ntz"
+    return "double" if c.endswith(("_g", "_cm")) else "string"
+
+
 SQL = {
+    "schema_profile": with_views("\nUNION ALL\n".join(
+        f"SELECT '{n}' AS table_name, '{c}' AS column_name, '{_type(c)}' AS data_type, {i} AS position, "
+        f"COUNT(*) AS n_rows, COUNT({c}) AS non_null FROM {v}"
+        for n, (v, cols) in COLUMNS.items() for i, c in enumerate(cols))),
     "table_row_counts": with_views("\nUNION ALL\n".join(
         f"SELECT '{n}' AS table_name, COUNT(*) AS row_count FROM {COLUMNS[n][0]}" for n in _core)),
     "null_audit_orders": with_views("""
