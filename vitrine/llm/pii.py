@@ -153,16 +153,23 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, generalise: float = 0.9,
     most = values.agg(F.max("n_e")).first()[0]
     if most is None:
         return None
-    rare = counted.where(F.col("n_t") <= total * (most / total) ** generalise * (1 + 1e-9))
-    terms = held.select("_doc", F.explode("terms").alias("term")).join(rare.select("term"), "term")
-    near_by = each.join(values.select("e"), "e").join(terms, "_doc").groupBy("e", "term", "around").agg(F.count(F.lit(1)).alias("count"))
-    near_by = stash(near_by, "pii-pairs")
-    pairs = near_by.groupBy("e", "term").agg(F.sum("count").alias("n_te"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= support)
-    pairs = pairs.join(values.select("e", "n_e"), "e").join(rare, "term")
+    reach = lambda n: F.lit(total) * F.pow(n / F.lit(total), F.lit(generalise)) * (1 + 1e-9)
+    rare = counted.where(F.col("n_t") <= reach(F.lit(float(most))))
+    own = each.join(values.select("e", "n_e"), "e").groupBy("_doc").agg(F.collect_list(F.struct("e", "n_e")).alias("es"))
+    held = stash(held.select("_doc", "around", "terms").join(own, "_doc"), "pii-held")
+    # thin counts first; the sketches only for the pairs whose ratio is high enough
+    met = held.select("es", F.explode("terms").alias("term")).join(rare, "term").select("term", "n_t", F.explode("es").alias("_e"))
+    met = met.select("_e.e", "_e.n_e", "term", "n_t").where(F.col("n_t") <= reach(F.col("n_e")))
+    pairs = met.groupBy("e", "n_e", "term", "n_t").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
     ic = F.log2(F.lit(total) / F.col("n_e"))
     pmi = F.log2(F.lit(total) * F.least("n_te", "n_t") / (F.col("n_t") * F.col("n_e")))
-    pairs = stash(pairs.withColumn("ratio", F.when(ic > 0, pmi / ic)).where(F.col("ratio") >= generalise), "pii-likely")
-    told = _supported(near_by.drop("count"), pairs, support)
+    likely = stash(pairs.withColumn("ratio", F.when(ic > 0, pmi / ic)).where(F.col("ratio") >= generalise), "pii-likely")
+    near_by = held.select("around", "es.e", F.explode("terms").alias("term")).join(likely.select("term").distinct(), "term")
+    near_by = near_by.select("term", "around", F.explode("e").alias("e")).join(likely.select("e", "term"), ["e", "term"])
+    near_by = stash(near_by.select("e", "term", "around").distinct(), "pii-pairs")
+    kinds = near_by.groupBy("e", "term").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= support)
+    pairs = likely.select("e", "term", "ratio").join(kinds, ["e", "term"])
+    told = _supported(near_by, pairs, support)
     out = pairs.join(told, ["e", "term"]).groupBy("term").agg(F.max("ratio").alias("ratio"))
     out = stash(out.withColumn("action", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise")), "pii-disclosing")
     return None if out.isEmpty() else out
