@@ -45,6 +45,8 @@ _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = r"\p{L}{3,}"
 #: Hashes that stand for a document, their common share from which two are near copies, and documents compared in one go.
 SKETCH, COPY, TOGETHER = 16, 0.5, 256
+#: Bytes of the documents' lists of disclosing terms up to which they are broadcast.
+OWN_BYTES = 16 << 20
 #: Code points of the pieces a text is cut into before spans are replaced.
 PIECE = 4096
 
@@ -184,7 +186,11 @@ def _term_spans(rows: DataFrame, terms: DataFrame | None) -> DataFrame:
     each = rows.select("text").withColumn("_sha", F.sha2("text", 256))
     held = each.select("_sha", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     own = held.join(terms, "term").groupBy("_sha").agg(F.sort_array(F.collect_set(F.struct("term", "action"))).alias("_own"))
-    out = rows.withColumn("_sha", F.sha2("text", 256)).join(own, "_sha", "left")
+    own = stash(own, "pii-own")
+    size = own.agg(F.sum(F.lit(96) + F.aggregate("_own", F.lit(0), lambda n, o: n + F.octet_length(o["term"]) + 48))).first()[0] or 0
+    # small lists go to the texts; the texts are shuffled to them only beyond the bound
+    small = F.broadcast(own) if size <= OWN_BYTES else own
+    out = rows.withColumn("_sha", F.sha2("text", 256)).join(small, "_sha", "left")
     out = out.withColumn("_re", F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.col("_own.term"), "|"), F.lit(r")(?!\p{L})")))
     out = find_all(out, {"term": F.col("_re")})
     out = settled(out.withColumn("_placed", _spans("_f_term", "term")), "_placed")
