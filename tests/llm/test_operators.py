@@ -4,6 +4,7 @@ accuracy, and its defined results on odd input."""
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -263,8 +264,7 @@ def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
-    # in these small tables only the English documents marked toxic hold anything that sets them apart
-    held = docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2 and lang = 'en'")
+    held = docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2")
     truth = {r["doc_id"]: r["toxic"] for r in held.collect()}
     got = {r["doc_id"]: r["score"] for r in toxicity.score(held.select("doc_id", "text"), model).collect()}
     hit = sum(got[d] >= 0.3 for d, t in truth.items() if t)
@@ -280,7 +280,7 @@ def test_toxicity_in_every_language(spark):
     rows = held.select("doc_id", "lang", "toxic").collect()
     for lang in ("en", "de", "es", "fr"):
         toxic, other = ([got[r["doc_id"]] for r in rows if r["lang"] == lang and r["toxic"] == t] for t in (1, 0))
-        assert sum(toxic) >= 0.6 * len(toxic), lang
+        assert sum(toxic) >= 0.8 * len(toxic), lang
         assert sum(other) <= 0.1 * len(other), lang
 
 
@@ -467,6 +467,23 @@ def test_every_short_item_of_a_large_benchmark_is_found(spark):
     assert got == {(i, i) for i, _ in items}
 
 
+def test_items_in_other_scripts_capitals_and_typographic_signs_are_found(spark):
+    chinese = "\u4e00\u4e01\u4e03\u4e07\u4e08\u4e09\u4e0a\u4e0b\u4e0d\u4e0e\u4e10\u4e11\u4e13\u4e14\u4e15\u4e16\u4e18\u4e19\u4e1a\u4e1b"
+    german = "Die \u00c4pfel sind \u201eS\u00fc\u00df\u201c und \u00dcbermorgen reif \u2013 sagt der \u00d6kologe; wer's glaubt, f\u00e4hrt hin. Antwort ist \u00c4pfelwein."
+    english = "What\u2019s the answer \u2014 said \u201cnobody\u201d ever \u2026 to seven plain questions at once? It isn\u2019t known yet."
+    items = spark.createDataFrame([(1, chinese + "\u3002"), (2, german), (3, english)], "item_id long, text string")
+    straight = english.replace("\u2019", "'").replace("\u201c", '"').replace("\u201d", '"').replace("\u2014", "-").replace("\u2026", "...")
+    plain = german.lower().replace("\u201e", '"').replace("\u201c", '"').replace("\u2013", "-")
+    around = "\u5730\u5728\u5927\u5929\u592a\u592b" * 9
+    rows = [
+        (1, around + chinese + around), (2, "vorher steht dies " + plain + " und danach das"), (3, "before it " + straight + " after it"),
+        (4, "x " + german.upper().replace("SS", "\u00df") + " y"), (5, "a " + unicodedata.normalize("NFD", german) + " b"),
+        (6, around * 3), (7, "vorher steht dies und danach das"), (8, chinese[::-1]),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 2), (5, 2)}
+
+
 def test_decontamination_odd_input(spark, odd):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one short item that nobody holds")], "item_id long, text string")
     out = decontaminate.drop_leaking(odd, items)
