@@ -502,3 +502,41 @@ def test_pipeline_stages_keep_the_columns_and_pack_what_is_left(spark, docs):
     assert 0 < kept.count() < before
     rows = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert rows.select("doc_id").distinct().count() == kept.count()
+
+
+def test_latent_axes_take_in_every_passage_of_the_corpus(spark):
+    """Against plain products over passages; the last document counts as the first."""
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["w%d" % (i % 90), "v%d" % rng.randrange(400)]) for _ in range(rng.choice([0, 1, 23, 24, 25, 48, 49, 72, 200, 30000 if i == 3 else 60]))) for i in range(40)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, texts[5]]], "text string")
+    coded = decontaminate.bucketed(rows)
+    df, n = decontaminate.document_frequencies(coded)
+    assert n == 41
+    words = [decontaminate.buckets(decontaminate.word_hashes(t.encode())[0]) for t in texts]
+    want = np.zeros(decontaminate.BUCKETS)
+    for w in [*words, words[5]]:
+        want[np.unique(w)] += 1
+    assert (df == want).all()
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.05)
+    a, seen = [], set()
+    for w in words:
+        if w.tobytes() in seen:
+            continue
+        seen.add(w.tobytes())
+        for at in range(0, max(1, len(w) - decontaminate.STEP), decontaminate.STEP):
+            if len(w):
+                u, c = np.unique(w[at : at + decontaminate.WINDOW], return_counts=True)
+                v = np.zeros(decontaminate.BUCKETS)
+                v[u] = c * idf[u]
+                a.append(np.sqrt(0.05) * v / np.linalg.norm(v))
+    a = np.array(a)
+    q = np.linalg.qr(np.random.default_rng(7).standard_normal((decontaminate.BUCKETS, 6 + decontaminate.EXTRA)))[0]
+    for _ in range(2):
+        y = a.T @ (a @ q)
+        power, turn = np.linalg.eigh(y.T @ y)
+        q = y @ (turn[:, ::-1] / np.sqrt(power[::-1]))
+    fit_on = coded.select("b", F.lit(False).alias("whole"), F.lit(0.05).alias("weight"))
+    got = decontaminate.latent_axes(fit_on, idf, axes=6)
+    assert np.abs(np.abs((got * q[:, :6]).sum(axis=0)) - 1).max() < 1e-3

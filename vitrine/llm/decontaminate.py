@@ -3,9 +3,9 @@
 Texts are words (lower case, runs of ASCII letters, digits and any other
 script's characters). Documents are read as passages: overlapping windows of
 ``WINDOW`` words. TF-IDF weights over hashed words use document frequencies of
-all documents. A randomised SVD of passages (all of the benchmark, and of the
-corpus a bounded sample, a documented parameter) gives the latent axes; its
-products are summed over partitions of the passages. Each document passage is
+all documents. A randomised SVD of passages (all of the benchmark and all of
+the corpus, each distinct text once) gives the latent axes; its products are
+summed over partitions of the passages. Each document passage is
 projected and compared by cosine with every benchmark item, in blocks of
 items. The axes are few however many items there are, so places that share
 enough of an item's runs of ``RUN`` words, rare ones among the items, are
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,9 @@ BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 WINDOW = 48
 STEP = WINDOW // 2
-AXES, EXTRA, SAMPLE_DOCS, PARTS, ITEM_BLOCK = 96, 8, 1000, 4, 4000
+AXES, EXTRA, ITEM_BLOCK = 96, 8, 4000
+#: Weight of the corpus in the fit of the axes, in items, shared among its texts (0.05 each at most); rows of a band of their sums.
+CORPUS_WEIGHT, BAND = 50.0, 64
 COSINE, SAME, REWORDED, ANSWER = 0.24, 0.8, 0.6, 0.8
 BYTES_TOGETHER = 1 << 18
 #: Words of a run; the share of an item's runs a place must hold; items that may share a run; rarest runs of an item that count all the same.
@@ -115,52 +118,123 @@ def passage_blocks(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return starts.astype(np.int64), rows, np.append(rows[1:] == rows[:-1], False)
 
 
-def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
+def bucketed(rows: DataFrame) -> DataFrame:
+    """(sha, b, copies): the distinct texts of ``rows`` as the buckets of their
+    words, two bytes each, and how many rows hold the text. The texts are taken
+    apart once; weights and axes are learned from these."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(BUCKETS + 1)
         for part, h, firsts in batched(batches):
-            owner = np.repeat(np.arange(len(part)), np.diff(firsts))
-            df[:-1] += np.bincount(np.unique(owner * BUCKETS + buckets(h)) & (BUCKETS - 1), minlength=BUCKETS)
-            df[-1] += len(part)
+            b = buckets(h).astype(np.uint16)
+            yield pd.DataFrame({"sha": part["sha"], "b": [b[a:z].tobytes() for a, z in zip(firsts[:-1], firsts[1:])]})
+
+    keyed = rows.select(F.sha2("text", 256).alias("sha"), "text")
+    return keyed.mapInPandas(run, "sha string, b binary").groupBy("sha").agg(F.first("b").alias("b"), F.count(F.lit(1)).alias("copies"))
+
+
+def document_frequencies(coded: DataFrame) -> tuple[np.ndarray, int]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(BUCKETS + 1)
+        for part in batches:
+            for b, copies in zip(part["b"], part["copies"]):
+                df[np.unique(np.frombuffer(b, dtype=np.uint16))] += copies
+                df[-1] += copies
         yield pd.DataFrame({"k": ["df"], "v": [df.tolist()]})
 
-    got = vector_total(rows.select("text").mapInPandas(run, "k string, v array<double>"), "k", "v", BUCKETS + 1)
+    got = vector_total(coded.select("b", "copies").mapInPandas(run, "k string, v array<double>"), "k", "v", BUCKETS + 1)
     v = got.get("df", np.zeros(BUCKETS + 1))
     return v[:-1], int(v[-1])
 
 
-def _passage_rows(h: np.ndarray, idf: np.ndarray, whole: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, unit TF-IDF values) of the passages of one text; ``whole``
-    takes the text as one passage."""
-    out, b = [], buckets(h)
-    for a in [0] if whole else range(0, max(1, len(b) - STEP), STEP):
-        u, n = np.unique(b if whole else b[a : a + WINDOW], return_counts=True)
-        if len(u):
-            v = n * idf[u]
-            out.append((u, v / max(np.linalg.norm(v), 1e-12)))
-    return out
+def _whole(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, unit TF-IDF values) of a text taken as one passage."""
+    u, n = np.unique(h, return_counts=True)
+    v = n * idf[u]
+    return u, v / max(np.linalg.norm(v), 1e-12)
+
+
+def _passage_norms(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Squared TF-IDF lengths of passages of at most WINDOW words."""
+    at = starts[:, None] + np.arange(WINDOW)
+    x = np.sort(np.where(at < ends[:, None], b[np.minimum(at, len(b) - 1)], BUCKETS).astype(np.int32), axis=1)
+    new = np.ones(x.shape, dtype=bool)
+    new[:, 1:] = x[:, 1:] != x[:, :-1]
+    first = np.flatnonzero(new)
+    n, u = np.diff(np.append(first, x.size)), x.ravel()[first]
+    return np.bincount(first // WINDOW, np.where(u < BUCKETS, (n * idf[np.minimum(u, BUCKETS - 1)].astype(np.float64)) ** 2, 0.0), len(starts))
+
+
+def _add_passages(y: np.ndarray, b: np.ndarray, firsts: np.ndarray, idf: np.ndarray, weighted: np.ndarray, weight: float) -> None:
+    """Adds ``weight`` v (v'Q) of all passages v of the texts in ``b`` to
+    ``y``, before the last weighting by ``idf``: a passage is the sum of two
+    blocks, so both products are sums over blocks. ``weighted`` is idf Q."""
+    starts, row, goes_on = passage_blocks(firsts)
+    ends = np.append(starts[1:], len(b))
+    passage = goes_on | np.append(True, row[1:] != row[:-1])
+    for lo in range(0, len(starts), BLOCKS_TOGETHER):
+        hi = min(len(starts), lo + BLOCKS_TOGETHER)
+        reach = min(len(starts), hi + 1)  # the last passage takes in the next block
+        first, last = starts[lo], ends[reach - 1]
+        latent = np.add.reduceat(weighted[b[first:last]], starts[lo:reach] - first, axis=0)
+        more = np.flatnonzero(goes_on[lo:hi])
+        both = latent[: hi - lo].copy()
+        both[more] += latent[more + 1]
+        upto = ends[lo:hi].copy()
+        upto[more] = ends[lo + more + 1]
+        square = _passage_norms(b, starts[lo:hi], upto, idf)
+        both *= np.where(passage[lo:hi], weight / np.maximum(square, 1e-24), 0.0).astype(np.float32)[:, None]
+        back = np.zeros((reach - lo, y.shape[1]), dtype=np.float32)
+        back[: hi - lo] = both
+        back[more + 1] += both[more]
+        block = np.repeat(np.arange(reach - lo), ends[lo:reach] - starts[lo:reach])
+        order = np.argsort(b[first:last], kind="stable")
+        taken = b[first:last][order]
+        runs = np.flatnonzero(np.append(True, taken[1:] != taken[:-1]))
+        y[taken[runs]] += np.add.reduceat(back[block[order]], runs, axis=0)
 
 
 def latent_axes(passages: DataFrame, idf: np.ndarray, axes: int = AXES, rounds: int = 2) -> np.ndarray:
     """BUCKETS x axes basis of the main right singular directions of the
-    passages' TF-IDF rows. Each round sums A'(A Q) over PARTS partitions, one
-    bounded matrix each; the passages are a bounded sample."""
+    TF-IDF rows of all passages (b, whole, weight). Each round sums A'(A Q)
+    over the tasks, in bands of rows that Spark adds up."""
     wide = axes + EXTRA
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((BUCKETS, wide)))[0].astype(np.float32)
-    spread = passages.repartition(PARTS)
     for _ in range(rounds):
 
         def run(batches: Iterator[pd.DataFrame], q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            y = np.zeros((BUCKETS, wide), dtype=np.float32)
-            for b in batches:
-                for t, whole, weight in zip(b["text"], b["whole"], b["weight"]):
-                    for u, v in _passage_rows(word_hashes(t.encode("utf-8", "replace"))[0], idf, whole):
-                        y[u] += weight * np.outer(v, v @ q[u]).astype(np.float32)
-            yield pd.DataFrame({"y": [y.tobytes()]})
+            y, items = np.zeros((BUCKETS, wide), dtype=np.float32), np.zeros((BUCKETS, wide), dtype=np.float32)
+            weighted = (q * idf[:, None]).astype(np.float32)
+            for p in batches:
+                texts_: list[np.ndarray] = []
+                together = 0
+                for b, whole, weight in zip(p["b"], p["whole"], p["weight"]):
+                    b = np.frombuffer(b, dtype=np.uint16)
+                    if not len(b):
+                        continue
+                    if whole:
+                        u, v = _whole(b, idf)
+                        items[u] += weight * np.outer(v, v @ q[u]).astype(np.float32)
+                        continue
+                    texts_.append(b)
+                    together += len(b)
+                    if together >= BLOCKS_TOGETHER * STEP:
+                        _add_passages(y, np.concatenate(texts_), np.cumsum([0, *map(len, texts_)]), idf, weighted, weight)
+                        texts_, together = [], 0
+                if texts_:
+                    _add_passages(y, np.concatenate(texts_), np.cumsum([0, *map(len, texts_)]), idf, weighted, weight)
+            y = y * idf[:, None] + items
+            task = TaskContext.get().partitionId()
+            bands = [(k, y[k * BAND : (k + 1) * BAND]) for k in range(BUCKETS // BAND)]
+            yield pd.DataFrame([(k, task, x.astype(np.float32).tobytes()) for k, x in bands if x.any()], columns=["k", "task", "y"])
+
+        def add(band: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(BAND * wide)
+            for x in band.sort_values("task")["y"]:
+                total += np.frombuffer(x, dtype=np.float32)
+            return pd.DataFrame({"k": band["k"].iloc[:1], "y": [total.astype(np.float32).tobytes()]})
 
         y = np.zeros((BUCKETS, wide), dtype=np.float32)
-        for r in spread.mapInPandas(run, "y binary").toLocalIterator():
-            y += np.frombuffer(r["y"], dtype=np.float32).reshape(BUCKETS, wide)
+        for r in passages.mapInPandas(run, "k int, task int, y binary").groupBy("k").applyInPandas(add, "k int, y binary").collect():
+            y[r["k"] * BAND : (r["k"] + 1) * BAND] = np.frombuffer(r["y"], dtype=np.float32).reshape(BAND, wide)
         # left singular vectors of y through the small matrix y'y
         power, turn = np.linalg.eigh((y.T @ y).astype(np.float64))
         power, turn = power[::-1], turn[:, ::-1]
@@ -257,7 +331,7 @@ class Items:
                 continue
             tail = [x for x in _SENTENCE.split(t.strip()) if x][-1]
             answer = word_hashes(encoded(tail))[0].tolist()
-            (u, v), = _passage_rows(h, idf, True)
+            u, v = _whole(buckets(h), idf)
             self.ids.append(i)
             self.words.append(h.tolist())
             self.answers.append(answer if len(answer) >= 3 else h.tolist()[-5:])
@@ -333,20 +407,18 @@ def _search(rows: DataFrame, ids: list, item_texts: list[str], idf: np.ndarray,
     return rows.mapInPandas(run, f"doc_id {kind}, item_id {item_type}, cosine double, lcs_share double, answer_found boolean")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, axes: int = AXES, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, axes: int = AXES, corpus_weight: float = CORPUS_WEIGHT) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_found): the benchmark items
     that a document's row holds, word for word or reworded."""
     rows = texts(docs)
     items = stash(texts(benchmark, "item_id").select(F.col("doc_id").alias("item_id"), "text"), "decontamination-items")
-    df, n = document_frequencies(rows)
+    coded = stash(bucketed(rows), "decontamination-words")
+    df, n = document_frequencies(coded)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.05)
-    draw = F.pmod(F.xxhash64("text", F.lit("passages")), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.where(draw < min(1.0, sample_docs / max(1, n))).groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"))
-    fit_on = stash(
-        some.select("text", F.lit(False).alias("whole"), F.lit(0.05).alias("weight"))
-        .unionByName(items.select("text", F.lit(True).alias("whole"), F.lit(1.0).alias("weight"))),
-        "decontamination-passages",
-    )
+    # all passages together weigh as much whatever the corpus's size
+    weight = min(0.05, corpus_weight / max(1, n))
+    fit_on = (coded.select("b", F.lit(False).alias("whole"), F.lit(weight).alias("weight"))
+              .unionByName(bucketed(items).select("b", F.lit(True).alias("whole"), F.col("copies").cast("double").alias("weight"))))
     basis = latent_axes(fit_on, idf, axes)
     kind = items.schema["item_id"].dataType.simpleString()
     # the query set, in blocks: each block meets all passages
