@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -352,19 +352,44 @@ def payments_from_items(items: DataFrame) -> DataFrame:
                  .withColumn("voucher_cents",
                              F.when(F.col("order_id") % 17 == 0, F.expr("cents div 10")).otherwise(F.lit(0))))
     oid = F.col("order_id")
-    payments = (
-        per_order.select(
-            oid, F.lit(1).alias("payment_sequential"),
-            F.when(oid % 4 == 0, "boleto").when(oid % 4 == 1, "debit_card")
-             .otherwise("credit_card").alias("payment_type"),
-            (1 + oid % 10).cast("int").alias("payment_installments"),
-            F.expr("cast(cents - voucher_cents as decimal(12,0)) * 0.01").alias("payment_value"))
-        .unionByName(per_order.where(F.col("voucher_cents") > 0).select(
-            oid, F.lit(2).alias("payment_sequential"), F.lit("voucher").alias("payment_type"),
-            F.lit(1).alias("payment_installments"),
-            F.expr("cast(voucher_cents as decimal(12,0)) * 0.01").alias("payment_value")))
-    )
-    return payments
+    # both payments of an order from one row: the items are summed up once
+    one = F.struct(
+        F.lit(1).alias("payment_sequential"),
+        F.when(oid % 4 == 0, "boleto").when(oid % 4 == 1, "debit_card").otherwise("credit_card").alias("payment_type"),
+        (1 + oid % 10).cast("int").alias("payment_installments"),
+        F.expr("cast(cents - voucher_cents as decimal(12,0)) * 0.01").alias("payment_value"))
+    two = F.struct(
+        F.lit(2).alias("payment_sequential"), F.lit("voucher").alias("payment_type"),
+        F.lit(1).alias("payment_installments"),
+        F.expr("cast(voucher_cents as decimal(12,0)) * 0.01").alias("payment_value"))
+    both = F.when(F.col("voucher_cents") > 0, F.array(one, two)).otherwise(F.array(one))
+    return per_order.select(oid, F.explode(both).alias("_p")).select("order_id", "_p.*")
+
+
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
+# An order with more lines than this is numbered by a global rank.
+HOT_ORDER = 1_000_000
+
+
+def numbered_lines(li: DataFrame, hot_order: int = HOT_ORDER) -> DataFrame:
+    """The lines that have an order, with ``order_item_id``, their row number
+    inside it. Lines meet their order in one shuffle. An order too large for
+    one task (found by thin counts; there are at most rows / ``hot_order``) is
+    spread over many by a global rank instead, less the rank of its first line."""
+    from vitrine.plans.ranking import checkpoint, global_rank
+
+    li = li.select(*LINE_KEY).where(F.col("l_orderkey").isNotNull())
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_KEY[1:])
+    by_window = lambda d: d.withColumn("order_item_id", F.row_number().over(w))
+    sizes = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_n"))
+    hot = checkpoint(sizes.where(F.col("_n") > hot_order).select("l_orderkey"))
+    if hot.isEmpty():
+        return by_window(li)
+    ranked = global_rank(li.join(F.broadcast(hot), "l_orderkey", "left_semi"), [F.col(c) for c in LINE_KEY], "_r")
+    first = ranked.groupBy("l_orderkey").agg(F.min("_r").alias("_r0"))
+    spread = (ranked.join(F.broadcast(first), "l_orderkey")
+              .withColumn("order_item_id", (F.col("_r") - F.col("_r0") + 1).cast("int")).drop("_r", "_r0"))
+    return by_window(li.join(F.broadcast(hot), "l_orderkey", "left_anti")).unionByName(spread)
 
 
 def tpch_views(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -403,20 +428,11 @@ def tpch_views(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
                          F.col("o_custkey").alias("customer_unique_id"),
                          F.col("n_name").alias("customer_state")))
 
-    # order_item_id = row number of a line inside its order. A window
-    # partitioned by order would put a hot order into one task; instead the
-    # lines get a global rank (range-partitioned on the full key, so a hot
-    # order spreads over many tasks) minus the rank of the order's first line.
-    from vitrine.plans.ranking import global_rank
-
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
-    ranked = global_rank(li.select(*key), [F.col(c) for c in key], "_r")
-    first = ranked.groupBy("l_orderkey").agg(F.min("_r").alias("_r0"))
-    li = ranked.join(first, "l_orderkey")
+    li = numbered_lines(li)
     cents = "cast(round(l_extendedprice * 100) as bigint)"
     items = li.select(
         F.col("l_orderkey").alias("order_id"),
-        (F.col("_r") - F.col("_r0") + 1).cast("int").alias("order_item_id"),
+        "order_item_id",
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.expr(f"cast({cents} div 500 as decimal(12,0)) * 0.01").alias("price"),
