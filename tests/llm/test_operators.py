@@ -540,3 +540,66 @@ def test_latent_axes_take_in_every_passage_of_the_corpus(spark):
     fit_on = coded.select("b", F.lit(False).alias("whole"), F.lit(0.05).alias("weight"))
     got = decontaminate.latent_axes(fit_on, idf, axes=6)
     assert np.abs(np.abs((got * q[:, :6]).sum(axis=0)) - 1).max() < 1e-3
+
+
+def test_word_hashes_equal_sums_over_the_bytes_of_each_word():
+    import numpy as np
+
+    rng = random.Random(7)
+    raws = [b"", b" ", b"a", b" Ab c ", b"x" * 32, b"y" * 33 + b" z", b"w " + b"v" * 1000]
+    raws += [bytes(rng.choice(b"aBc09 .,\xc3\xa9\n") for _ in range(rng.randrange(200))) for _ in range(50)]
+    keys = [int(k) for k in decontaminate._KEYS]
+    for raw in raws:
+        want, places = [], []
+        for m in re.finditer(rb"[0-9a-z\x80-\xff]+", raw.lower()):
+            h = sum((x + 1) * keys[k & 255] for k, x in enumerate(m[0])) % 2**64
+            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+            want.append(h ^ h >> 32)
+            places.append(m.start())
+        h, at = decontaminate.word_hashes(raw)
+        assert h.dtype == np.uint64 and h.tolist() == want and at.tolist() == places
+
+
+def test_sums_over_runs_gather_each_row_about_once():
+    """Runs of one row, most of a large vocabulary's, were gathered as eight."""
+    import numpy as np
+
+    class Counted(np.ndarray):
+        rows = 0
+
+        def take(self, at, axis=None):
+            Counted.rows += np.size(at)
+            return np.asarray(self).take(at, axis=axis)
+
+    rng = np.random.default_rng(3)
+    lengths = np.concatenate((np.ones(2000), rng.integers(0, 30, 300), [500, 10_000])).astype(int)
+    ends = np.cumsum(lengths)
+    x = rng.standard_normal((501, 6)).astype(np.float32)
+    x[-1] = 0
+    at = rng.integers(0, 500, ends[-1])
+    got = decontaminate._run_sums(x.view(Counted), at, ends - lengths, ends)
+    want = np.array([x[at[e - n : e]].sum(axis=0, dtype=np.float64) for e, n in zip(ends, lengths)])
+    assert np.abs(got - want).max() < 1e-3
+    assert Counted.rows < 1.5 * len(at)
+
+
+def test_places_without_enough_words_of_an_item_are_left_before_they_are_verified():
+    """All near passages were taken apart one by one; now only those that can hold an item."""
+    import numpy as np
+
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 20, 40]))) for _ in range(60)] + ["la la la la"]
+    items = decontaminate.Items(list(range(len(texts))), texts, np.ones(decontaminate.BUCKETS, dtype=np.float32), np.ones((decontaminate.BUCKETS, 2), dtype=np.float32))
+    words = []
+    for t in texts:
+        kept = [w for w in t.split() if rng.random() < 0.8]
+        words += [*kept, *[rng.choice(vocabulary) for _ in range(60)]]
+    h = decontaminate.word_hashes(" ".join(words).encode())[0]
+    begin = np.arange(0, len(h), 10)
+    a, which = np.repeat(begin, len(texts)), np.tile(np.arange(len(texts)), len(begin))
+    z = np.minimum(a + 60, len(h))
+    may = items.may_hold(h, a, z, which)
+    held = np.array([items.verify(j, h[p:q].tolist()) is not None for p, q, j in zip(a, z, which)])
+    assert held.sum() > 50 and not (held & ~may).any()
+    assert may.sum() < 0.1 * len(may)

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,9 +48,16 @@ BYTES_TOGETHER = 1 << 18
 RUN, RUN_SHARE, RUN_ITEMS, RUN_LEAST = 3, 0.1, 16, 8
 #: Blocks of words projected and compared at a time: bounds a task's matrices for texts of any length.
 BLOCKS_TOGETHER = 1024
-#: Rows added at a time in the fit of the axes.
-RUNS_TOGETHER = 8
+#: The same in the fit of the axes (more blocks share more words), and the bits that number a block there.
+BLOCKS_FITTED, BLOCK_BITS = 8000, 13
+#: Rows of a run that are added at a time, rows looked up at a time, and those gathered at a time, which stay in a core's cache.
+WIDTHS, ROWS_TOGETHER, ROWS_CACHED = (1, 2, 4, 8, 16, STEP), 16384, 1536
+#: Words around candidates that are looked through at a time; table entries for each word of an item (2^24 in all at most).
+AROUND_TOGETHER, MARKS = 1 << 17, 64
+#: Bytes of a word that are hashed place by place for all words at once.
+SHORT = 32
 _KEYS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KEY_SUMS = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_KEYS[: SHORT + 1])))
 _IS_WORD = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
 _SENTENCE = re.compile(r"[.!?]\s+|[\u3002\uff01\uff1f]\s*")
 #: Beyond ASCII: what is no letter or digit, and letters of scripts that put no blanks between words (Thai, Lao,
@@ -75,16 +83,29 @@ def encoded(text: str) -> bytes:
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of the words, byte place where each begins)."""
     b = np.frombuffer(raw.lower(), dtype=np.uint8)
-    inside = _IS_WORD[b]
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    begins = np.flatnonzero(edge == 1)
+    inside = np.zeros(len(b) + 2, dtype=bool)
+    inside[1:-1] = _IS_WORD[b]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begins, lengths = edges[::2], edges[1::2] - edges[::2]
     if not len(begins):
         return np.zeros(0, dtype=np.uint64), begins
-    kept = np.flatnonzero(inside)
-    first = np.searchsorted(kept, begins)
-    lengths = np.diff(np.append(first, len(kept)))
-    pos = np.arange(len(kept)) - np.repeat(first, lengths)
-    h = np.add.reduceat((b[kept].astype(np.uint64) + np.uint64(1)) * _KEYS[pos & 255], first)
+    # the longest first, so that those with a byte at a place are the first ones
+    size = np.minimum(lengths, SHORT + 1).astype(np.uint8)
+    order = np.argsort(SHORT + 1 - size, kind="stable")
+    upto = np.searchsorted(-size[order].astype(np.int64), -np.arange(SHORT + 1))
+    at, sums = begins[order], _KEY_SUMS[size[order]]
+    for k in range(SHORT):
+        n = upto[k]
+        if not n:
+            break
+        sums[:n] += b[at[:n] + k].astype(np.uint64) * _KEYS[k]
+    long = order[: upto[SHORT]]
+    if len(long):
+        first = np.cumsum(lengths[long]) - lengths[long]
+        pos = np.arange(lengths[long].sum()) - np.repeat(first, lengths[long])
+        sums[: len(long)] = np.add.reduceat((b[np.repeat(begins[long], lengths[long]) + pos].astype(np.uint64) + np.uint64(1)) * _KEYS[pos & 255], first)
+    h = np.empty_like(sums)
+    h[order] = sums
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32)), begins
 
@@ -111,13 +132,10 @@ def batched(batches: Iterator[pd.DataFrame], column: str = "text") -> Iterator[t
 def passage_blocks(firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Blocks of STEP words within rows: (first word, row, whether the next
     block belongs to the same row). A passage is a block and the next one."""
-    starts, rows = [], []
-    for r in range(len(firsts) - 1):
-        s = np.arange(firsts[r], firsts[r + 1], STEP)
-        starts.append(s)
-        rows.append(np.full(len(s), r))
-    starts, rows = np.concatenate(starts), np.concatenate(rows)
-    return starts.astype(np.int64), rows, np.append(rows[1:] == rows[:-1], False)
+    many = -(-np.diff(firsts) // STEP)
+    rows = np.repeat(np.arange(len(many)), many)
+    starts = np.asarray(firsts)[rows] + (np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)) * STEP
+    return starts.astype(np.int64), rows, np.append(rows[1:] == rows[:-1], False)[: len(rows)]
 
 
 def bucketed(rows: DataFrame) -> DataFrame:
@@ -133,13 +151,27 @@ def bucketed(rows: DataFrame) -> DataFrame:
     return keyed.mapInPandas(run, "sha string, b binary").groupBy("sha").agg(F.first("b").alias("b"), F.count(F.lit(1)).alias("copies"))
 
 
+def joined(values: pd.Series, size: int) -> Iterator[slice]:
+    """Neighbouring rows of together about ``size`` bytes."""
+    first = total = 0
+    for z, x in enumerate(values, 1):
+        total += len(x)
+        if total >= size or z == len(values):
+            yield slice(first, z)
+            first, total = z, 0
+
+
 def document_frequencies(coded: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = np.zeros(BUCKETS + 1)
         for part in batches:
-            for b, copies in zip(part["b"], part["copies"]):
-                df[np.unique(np.frombuffer(b, dtype=np.uint16))] += copies
-                df[-1] += copies
+            df[-1] += part["copies"].sum()
+            for some in joined(part["b"], BYTES_TOGETHER):
+                b, copies = np.frombuffer(b"".join(part["b"].iloc[some]), dtype=np.uint16), part["copies"].to_numpy()[some]
+                row = np.repeat(np.arange(len(copies)), [len(x) // 2 for x in part["b"].iloc[some]])
+                key = np.sort(row << BUCKET_BITS | b)
+                key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
+                df[:-1] += np.bincount(key & (BUCKETS - 1), copies[key >> BUCKET_BITS], BUCKETS)
         yield pd.DataFrame({"k": ["df"], "v": [df.tolist()]})
 
     got = vector_total(coded.select("b", "copies").mapInPandas(run, "k string, v array<double>"), "k", "v", BUCKETS + 1)
@@ -154,32 +186,34 @@ def _whole(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, v / max(np.linalg.norm(v), 1e-12)
 
 
-def _passage_norms(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Squared TF-IDF lengths of passages of at most WINDOW words."""
-    at = starts[:, None] + np.arange(WINDOW)
-    x = np.sort(np.where(at < ends[:, None], b[np.minimum(at, len(b) - 1)], BUCKETS).astype(np.int32), axis=1)
-    new = np.ones(x.shape, dtype=bool)
-    new[:, 1:] = x[:, 1:] != x[:, :-1]
-    first = np.flatnonzero(new)
-    n, u = np.diff(np.append(first, x.size)), x.ravel()[first]
-    return np.bincount(first // WINDOW, np.where(u < BUCKETS, (n * idf[np.minimum(u, BUCKETS - 1)].astype(np.float64)) ** 2, 0.0), len(starts))
-
-
-def _run_sums(x: np.ndarray, at: np.ndarray, begins: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
-    """Sums of the rows ``x[at[begin:end]]`` for all runs, at most ``width``
-    rows at a time: many times faster than ``add.reduceat`` on wide rows. The
+def _run_sums(x: np.ndarray, at: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``x[at[begin:end]]`` for all runs, those of about one
+    length together: many times faster than ``add.reduceat`` on wide rows. The
     last row of ``x`` is zero."""
-    pieces = -(-(ends - begins) // width)
-    first = np.cumsum(pieces) - pieces
-    starts = np.repeat(begins - first * width, pieces) + np.arange(pieces.sum()) * width
-    place = starts[:, None] + np.arange(width)
-    taken = np.where(place < np.repeat(ends, pieces)[:, None], at[np.minimum(place, len(at) - 1)], len(x) - 1)
-    sums = (np.ones((1, width), dtype=x.dtype) @ x.take(taken, axis=0))[:, 0]
-    out = sums[first]
-    long = np.flatnonzero(pieces > 1)
-    if len(long):
-        kept = np.flatnonzero(np.repeat(pieces > 1, pieces))
-        out[long] = np.add.reduceat(sums[kept], np.cumsum(pieces[long]) - pieces[long], axis=0)
+    length = ends - begins
+    out = np.zeros((len(begins), x.shape[1]), dtype=x.dtype)
+    for less, width in zip((0, *WIDTHS), WIDTHS):
+        runs = np.flatnonzero((length > less) & (length <= width))
+        for lo in range(0, len(runs), ROWS_TOGETHER // width):
+            some = runs[lo : lo + ROWS_TOGETHER // width]
+            place = begins[some, None] + np.arange(width)
+            taken = np.where(place < ends[some, None], at[np.minimum(place, len(at) - 1)], len(x) - 1)
+            for k in range(0, len(some), ROWS_CACHED // width):
+                some_, taken_ = some[k : k + ROWS_CACHED // width], taken[k : k + ROWS_CACHED // width]
+                if width > 4:
+                    out[some_] = (np.ones((1, width), dtype=x.dtype) @ x.take(taken_, axis=0))[:, 0]
+                    continue
+                sums = x.take(taken_[:, 0], axis=0)
+                for c in range(1, width):
+                    sums += x.take(taken_[:, c], axis=0)
+                out[some_] = sums
+    runs = np.flatnonzero(length > WIDTHS[-1])
+    if len(runs):
+        pieces = -(-length[runs] // WIDTHS[-1])
+        first = np.cumsum(pieces) - pieces
+        starts = np.repeat(begins[runs] - first * WIDTHS[-1], pieces) + np.arange(pieces.sum()) * WIDTHS[-1]
+        sums = _run_sums(x, at, starts, np.minimum(starts + WIDTHS[-1], np.repeat(ends[runs], pieces)))
+        out[runs] = _run_sums(np.vstack([sums, np.zeros((1, x.shape[1]), dtype=x.dtype)]), np.arange(len(sums)), first, first + pieces)
     return out
 
 
@@ -191,26 +225,30 @@ def _add_passages(y: np.ndarray, b: np.ndarray, firsts: np.ndarray, idf: np.ndar
     starts, row, goes_on = passage_blocks(firsts)
     ends = np.append(starts[1:], len(b))
     passage = goes_on | np.append(True, row[1:] != row[:-1])
-    for lo in range(0, len(starts), BLOCKS_TOGETHER):
-        hi = min(len(starts), lo + BLOCKS_TOGETHER)
+    for lo in range(0, len(starts), BLOCKS_FITTED):
+        hi = min(len(starts), lo + BLOCKS_FITTED)
         reach = min(len(starts), hi + 1)  # the last passage takes in the next block
         first, last = starts[lo], ends[reach - 1]
-        latent = _run_sums(weighted, b[first:last], starts[lo:reach] - first, ends[lo:reach] - first, STEP)
+        latent = _run_sums(weighted, b[first:last], starts[lo:reach] - first, ends[lo:reach] - first)
         more = np.flatnonzero(goes_on[lo:hi])
         both = latent[: hi - lo].copy()
         both[more] += latent[more + 1]
-        upto = ends[lo:hi].copy()
-        upto[more] = ends[lo + more + 1]
-        square = _passage_norms(b, starts[lo:hi], upto, idf)
+        # words by bucket, then block: a word's places, its repeats and its meetings in two neighbouring blocks
+        key = np.sort(b[first:last].astype(np.int32) << BLOCK_BITS | np.repeat(np.arange(reach - lo, dtype=np.int32), ends[lo:reach] - starts[lo:reach]))
+        bucket, block = key >> BLOCK_BITS, key & ((1 << BLOCK_BITS) - 1)
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        value, holder = np.diff(np.append(new, len(key))) * idf[bucket[new]].astype(np.float64), block[new]
+        meet = np.flatnonzero(np.diff(key[new]) == 1)
+        own = np.bincount(holder, value**2, reach - lo)
+        shared = np.bincount(holder[meet], value[meet] * value[meet + 1], reach - lo)
+        square = own[: hi - lo].copy()
+        square[more] += own[more + 1] + 2 * shared[more]
         both *= np.where(passage[lo:hi], weight / np.maximum(square, 1e-24), 0.0).astype(np.float32)[:, None]
         back = np.zeros((reach - lo + 1, y.shape[1]), dtype=np.float32)
         back[: hi - lo] = both
         back[more + 1] += both[more]
-        block = np.repeat(np.arange(reach - lo), ends[lo:reach] - starts[lo:reach])
-        order = np.argsort(b[first:last], kind="stable")
-        taken = b[first:last][order]
-        runs = np.flatnonzero(np.append(True, taken[1:] != taken[:-1]))
-        y[taken[runs]] += _run_sums(back, block[order], runs, np.append(runs[1:], len(taken)), RUNS_TOGETHER)
+        runs = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        y[bucket[runs]] += _run_sums(back, block, runs, np.append(runs[1:], len(key)))
 
 
 def latent_axes(passages: DataFrame, idf: np.ndarray, axes: int = AXES, rounds: int = 2) -> np.ndarray:
@@ -222,27 +260,22 @@ def latent_axes(passages: DataFrame, idf: np.ndarray, axes: int = AXES, rounds:
     for _ in range(rounds):
 
         def run(batches: Iterator[pd.DataFrame], q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            y, items = np.zeros((BUCKETS, wide), dtype=np.float32), np.zeros((BUCKETS, wide), dtype=np.float32)
-            weighted = np.vstack([q * idf[:, None], np.zeros((1, wide))]).astype(np.float32)
+            y, items = np.zeros((BUCKETS, wide), dtype=np.float32), None
+            weighted = np.zeros((BUCKETS + 1, wide), dtype=np.float32)
+            np.multiply(q, idf[:, None], out=weighted[:-1])
             for p in batches:
-                texts_: list[np.ndarray] = []
-                together = 0
-                for b, whole, weight in zip(p["b"], p["whole"], p["weight"]):
-                    b = np.frombuffer(b, dtype=np.uint16)
-                    if not len(b):
-                        continue
-                    if whole:
-                        u, v = _whole(b, idf)
-                        items[u] += weight * np.outer(v, v @ q[u]).astype(np.float32)
-                        continue
-                    texts_.append(b)
-                    together += len(b)
-                    if together >= BLOCKS_TOGETHER * STEP:
-                        _add_passages(y, np.concatenate(texts_), np.cumsum([0, *map(len, texts_)]), idf, weighted, weight)
-                        texts_, together = [], 0
-                if texts_:
-                    _add_passages(y, np.concatenate(texts_), np.cumsum([0, *map(len, texts_)]), idf, weighted, weight)
-            y = y * idf[:, None] + items
+                p = p[p["b"].map(len) > 0]
+                for b, weight in p.loc[p["whole"], ["b", "weight"]].itertuples(index=False):
+                    u, v = _whole(np.frombuffer(b, dtype=np.uint16), idf)
+                    items = np.zeros((BUCKETS, wide), dtype=np.float32) if items is None else items
+                    items[u] += weight * np.outer(v, v @ q[u]).astype(np.float32)
+                p = p[~p["whole"]]
+                for some in joined(p["b"], 2 * BLOCKS_FITTED * STEP):
+                    part = p["b"].iloc[some]
+                    b = np.frombuffer(b"".join(part), dtype=np.uint16)
+                    _add_passages(y, b, np.cumsum([0, *(len(x) // 2 for x in part)]), idf, weighted, p["weight"].iloc[0])
+            y *= idf[:, None]
+            y = y if items is None else y + items
             task = TaskContext.get().partitionId()
             bands = [(k, y[k * BAND : (k + 1) * BAND]) for k in range(BUCKETS // BAND)]
             yield pd.DataFrame([(k, task, x.astype(np.float32).tobytes()) for k, x in bands if x.any()], columns=["k", "task", "y"])
@@ -345,7 +378,7 @@ class Items:
     """A block of benchmark items, ready for comparison."""
 
     def __init__(self, ids: list, texts_: list[str], idf: np.ndarray, axes: np.ndarray) -> None:
-        self.ids, self.words, self.answers, rows = [], [], [], []
+        self.ids, self.words, self.held, self.answers, rows = [], [], [], [], []
         for i, t in zip(ids, texts_):
             h, _ = word_hashes(encoded(t))
             if not len(h):
@@ -355,16 +388,47 @@ class Items:
             u, v = _whole(buckets(h), idf)
             self.ids.append(i)
             self.words.append(h.tolist())
+            self.held.append(Counter(self.words[-1]))
             self.answers.append(answer if len(answer) >= 3 else h.tolist()[-5:])
             rows.append(v @ axes[u])
         self.runs = [Runs(self.words, width) for width in sorted({min(RUN, len(w)) for w in self.words})]
         x = np.array(rows, dtype=np.float32).reshape(len(rows), axes.shape[1])
         self.latent = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).T
+        self.length = np.array([len(w) for w in self.words], dtype=np.int64)
+        #: distinct words of the item that a region must hold, if all repeats belong to them
+        self.least = np.array([REWORDED * len(w) - len(w) + len(c) for w, c in zip(self.words, self.held)])
+        size = sum(map(len, self.held))
+        self.bits = int(np.clip(np.ceil(np.log2(MARKS * size + 1)), 10, 24))
+        self.marks = np.zeros(1 << self.bits, dtype=bool)
+        self.marks[self._mark(np.fromiter((x for c in self.held for x in c), np.uint64, size), np.repeat(np.arange(len(self.held)), list(map(len, self.held))))] = True
+
+    def _mark(self, h: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Table entries of words of items."""
+        m = (h ^ (item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (m >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def may_hold(self, h: np.ndarray, a: np.ndarray, z: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Whether the words of ``h[a:z]`` may be enough of the item's for
+        :meth:`verify`: all of its words are marked, few others are."""
+        out, before = np.zeros(len(a), dtype=bool), np.append(0, np.cumsum(z - a))
+        lo = 0
+        while lo < len(a):
+            # at most 4,096, numbered in the upper 12 bits; the lower 52 tell words apart
+            hi = max(lo + 1, min(lo + 4096, int(np.searchsorted(before, before[lo] + AROUND_TOGETHER, side="right")) - 1))
+            pair = np.repeat(np.arange(hi - lo), z[lo:hi] - a[lo:hi])
+            around = h[np.arange(before[hi] - before[lo]) + np.repeat(a[lo:hi] - before[lo:hi] + before[lo], z[lo:hi] - a[lo:hi])]
+            held = self.marks[self._mark(around, which[lo:hi][pair])]
+            key = np.sort(pair[held].astype(np.uint64) << np.uint64(52) | around[held] >> np.uint64(12))
+            new = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
+            out[lo:hi] = np.bincount((new >> np.uint64(52)).astype(np.int64), minlength=hi - lo) >= self.least[which[lo:hi]]
+            lo = hi
+        return out
 
     def verify(self, j: int, region: list[int]) -> tuple[float, bool] | None:
-        item = self.words[j]
-        held = set(region)
-        if sum(x in held for x in item) < REWORDED * len(item):
+        item, held = self.words[j], self.held[j]
+        found = held.keys() & region
+        # all repeats of words at first, then those of the words found
+        if len(found) + len(item) - len(held) < REWORDED * len(item) or sum(map(held.__getitem__, found)) < REWORDED * len(item):
             return None
         share = lcs_length(item, region) / len(item)
         answer = self.answers[j]
@@ -373,7 +437,7 @@ class Items:
 
 
 def _search(rows: DataFrame, ids: list, item_texts: list[str], idf: np.ndarray, axes: np.ndarray, item_type: str) -> DataFrame:
-    weighted = (axes * idf[:, None]).astype(np.float32)
+    weighted = np.vstack([axes * idf[:, None], np.zeros((1, axes.shape[1]))]).astype(np.float32)
     square = (idf**2).astype(np.float32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -381,7 +445,7 @@ def _search(rows: DataFrame, ids: list, item_texts: list[str], idf: np.ndarray,
         for part, h, firsts in batched(batches):
             if not len(h) or not items.ids:
                 continue
-            b = buckets(h)
+            b, words = buckets(h), h.tolist()
             starts, row, goes_on = passage_blocks(firsts)
             ends = np.append(starts[1:], len(h))
             best: dict[tuple[int, int], tuple[float, float, bool]] = {}
@@ -389,20 +453,22 @@ def _search(rows: DataFrame, ids: list, item_texts: list[str], idf: np.ndarray,
                 last = min(len(starts), first + BLOCKS_TOGETHER)
                 reach = min(len(starts), last + 1)  # the last passage takes in the next block
                 lo, hi = starts[first], ends[reach - 1]
-                latent = np.add.reduceat(weighted[b[lo:hi]], starts[first:reach] - lo, axis=0)
+                latent = _run_sums(weighted, b[lo:hi], starts[first:reach] - lo, ends[first:reach] - lo)
                 norm = np.add.reduceat(square[b[lo:hi]], starts[first:reach] - lo)
                 more = np.flatnonzero(goes_on[first:last])
                 latent[more] += latent[more + 1].copy()
                 norm[more] += norm[more + 1].copy()
                 latent, norm = latent[: last - first], norm[: last - first]
                 # by the whole passage's weight: what the axes don't see counts against it
-                cos = (latent @ items.latent) / np.maximum(np.sqrt(norm), 1e-9)[:, None]
+                cos = latent @ items.latent
+                cos /= np.maximum(np.sqrt(norm), 1e-9)[:, None]
                 near, which = np.nonzero(cos >= COSINE)
-                for k, j in zip(near.tolist(), which.tolist()):
-                    p = first + k
-                    r, n = int(row[p]), len(items.words[j])
-                    a, z = max(firsts[r], starts[p] - n), min(firsts[r + 1], (ends[p + 1] if goes_on[p] else ends[p]) + n)
-                    got = items.verify(j, h[a:z].tolist())
+                p, n = first + near, items.length[which]
+                a = np.maximum(firsts[row[p]], starts[p] - n)
+                z = np.minimum(firsts[row[p] + 1], ends[np.where(goes_on[p], p + 1, p)] + n)
+                kept = np.flatnonzero(items.may_hold(h, a, z, which))
+                for k, j, r, a_, z_ in zip(*(x[kept].tolist() for x in (near, which, row[p], a, z))):
+                    got = items.verify(j, words[a_:z_])
                     if got and got > best.get((r, j), (0.0, 0.0, False))[1:]:
                         best[(r, j)] = (float(cos[k, j]), *got)
             for runs in items.runs:
@@ -412,7 +478,7 @@ def _search(rows: DataFrame, ids: list, item_texts: list[str], idf: np.ndarray,
                         continue
                     # as far around as the cells of places reach
                     more = 2 * max(STEP, n // 2)
-                    got = items.verify(j, h[max(firsts[r], begin - more) : min(firsts[r + 1], begin + n + more)].tolist())
+                    got = items.verify(j, words[max(firsts[r], begin - more) : min(firsts[r + 1], begin + n + more)])
                     if got and got > had[1:]:
                         p = np.searchsorted(starts, max(begin, firsts[r]), side="right") - 1
                         near = slice(starts[p], ends[p + 1] if goes_on[p] else ends[p])
