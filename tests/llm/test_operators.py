@@ -603,3 +603,17 @@ def test_places_without_enough_words_of_an_item_are_left_before_they_are_verifie
     held = np.array([items.verify(j, h[p:q].tolist()) is not None for p, q, j in zip(a, z, which)])
     assert held.sum() > 50 and not (held & ~may).any()
     assert may.sum() < 0.1 * len(may)
+
+
+def test_leaking_rows_are_dropped_where_they_lie(spark):
+    """The texts were shuffled to the digests of the leaking ones; null and repeated ids and texts are judged row by row."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    item, clean = words(30), [words(60) for _ in range(4)]
+    rows = [(1, clean[0], "a"), (1, f"{clean[1]} {item} {clean[2]}", "b"), (None, f"{clean[1]} {item} {clean[2]}", "c"), (None, clean[3], "d"), (2, None, "e"), (2, clean[3], "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = decontaminate.drop_leaking(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    held = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2)
+    plan = decontaminate.drop_leaking(held, spark.createDataFrame([(7, item)], "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert out.columns == docs.columns and sorted(r["source"] for r in out.collect()) == ["a", "d", "e", "f"]

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import stash, texts, vector_total
@@ -436,57 +436,76 @@ class Items:
         return (share, found) if share >= SAME or share >= REWORDED and found else None
 
 
-def _search(rows: DataFrame, ids: list, item_texts: list[str], idf: np.ndarray, axes: np.ndarray, item_type: str) -> DataFrame:
-    weighted = np.vstack([axes * idf[:, None], np.zeros((1, axes.shape[1]))]).astype(np.float32)
-    square = (idf**2).astype(np.float32)
-
+class Search:
+    """A block of items and what passages are compared by; goes to the tasks."""
+
+    def __init__(self, ids: list, item_texts: list[str], idf: np.ndarray, axes: np.ndarray) -> None:
+        self.given = (ids, item_texts, idf, axes)
+
+    def ready(self) -> Search:
+        ids, item_texts, idf, axes = self.given
+        self.items = Items(ids, item_texts, idf, axes)
+        self.weighted = np.vstack([axes * idf[:, None], np.zeros((1, axes.shape[1]))]).astype(np.float32)
+        self.square = (idf**2).astype(np.float32)
+        return self
+
+    def found(self, h: np.ndarray, firsts: np.ndarray) -> dict[tuple[int, int], tuple[float, float, bool]]:
+        """(row, item): (cosine, share, whether the answer is there) of the
+        items that rows of hashed words hold."""
+        items, weighted, square = self.items, self.weighted, self.square
+        best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+        if not len(h) or not items.ids:
+            return best
+        b, words = buckets(h), h.tolist()
+        starts, row, goes_on = passage_blocks(firsts)
+        ends = np.append(starts[1:], len(h))
+        for first in range(0, len(starts), BLOCKS_TOGETHER):
+            last = min(len(starts), first + BLOCKS_TOGETHER)
+            reach = min(len(starts), last + 1)  # the last passage takes in the next block
+            lo, hi = starts[first], ends[reach - 1]
+            latent = _run_sums(weighted, b[lo:hi], starts[first:reach] - lo, ends[first:reach] - lo)
+            norm = np.add.reduceat(square[b[lo:hi]], starts[first:reach] - lo)
+            more = np.flatnonzero(goes_on[first:last])
+            latent[more] += latent[more + 1].copy()
+            norm[more] += norm[more + 1].copy()
+            latent, norm = latent[: last - first], norm[: last - first]
+            # by the whole passage's weight: what the axes don't see counts against it
+            cos = latent @ items.latent
+            cos /= np.maximum(np.sqrt(norm), 1e-9)[:, None]
+            near, which = np.nonzero(cos >= COSINE)
+            p, n = first + near, items.length[which]
+            a = np.maximum(firsts[row[p]], starts[p] - n)
+            z = np.minimum(firsts[row[p] + 1], ends[np.where(goes_on[p], p + 1, p)] + n)
+            kept = np.flatnonzero(items.may_hold(h, a, z, which))
+            for k, j, r, a_, z_ in zip(*(x[kept].tolist() for x in (near, which, row[p], a, z))):
+                got = items.verify(j, words[a_:z_])
+                if got and got > best.get((r, j), (0.0, 0.0, False))[1:]:
+                    best[(r, j)] = (float(cos[k, j]), *got)
+        for runs in items.runs:
+            for r, j, begin in runs.places(h, firsts):
+                had, n = best.get((r, j), (0.0, 0.0, False)), len(items.words[j])
+                if had[1:] == (1.0, True):
+                    continue
+                # as far around as the cells of places reach
+                more = 2 * max(STEP, n // 2)
+                got = items.verify(j, words[max(firsts[r], begin - more) : min(firsts[r + 1], begin + n + more)])
+                if got and got > had[1:]:
+                    p = np.searchsorted(starts, max(begin, firsts[r]), side="right") - 1
+                    near = slice(starts[p], ends[p + 1] if goes_on[p] else ends[p])
+                    cosine = weighted[b[near]].sum(axis=0) @ items.latent[:, j] / max(float(np.sqrt(square[b[near]].sum())), 1e-9)
+                    best[(r, j)] = (float(cosine), *got)
+        return best
+
+
+def _pairs(rows: DataFrame, search: Search, item_type: str) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs_share, answer_found) of a block of items."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = Items(ids, item_texts, idf, axes)
+        ids = search.ready().items.ids
         for part, h, firsts in batched(batches):
-            if not len(h) or not items.ids:
-                continue
-            b, words = buckets(h), h.tolist()
-            starts, row, goes_on = passage_blocks(firsts)
-            ends = np.append(starts[1:], len(h))
-            best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-            for first in range(0, len(starts), BLOCKS_TOGETHER):
-                last = min(len(starts), first + BLOCKS_TOGETHER)
-                reach = min(len(starts), last + 1)  # the last passage takes in the next block
-                lo, hi = starts[first], ends[reach - 1]
-                latent = _run_sums(weighted, b[lo:hi], starts[first:reach] - lo, ends[first:reach] - lo)
-                norm = np.add.reduceat(square[b[lo:hi]], starts[first:reach] - lo)
-                more = np.flatnonzero(goes_on[first:last])
-                latent[more] += latent[more + 1].copy()
-                norm[more] += norm[more + 1].copy()
-                latent, norm = latent[: last - first], norm[: last - first]
-                # by the whole passage's weight: what the axes don't see counts against it
-                cos = latent @ items.latent
-                cos /= np.maximum(np.sqrt(norm), 1e-9)[:, None]
-                near, which = np.nonzero(cos >= COSINE)
-                p, n = first + near, items.length[which]
-                a = np.maximum(firsts[row[p]], starts[p] - n)
-                z = np.minimum(firsts[row[p] + 1], ends[np.where(goes_on[p], p + 1, p)] + n)
-                kept = np.flatnonzero(items.may_hold(h, a, z, which))
-                for k, j, r, a_, z_ in zip(*(x[kept].tolist() for x in (near, which, row[p], a, z))):
-                    got = items.verify(j, words[a_:z_])
-                    if got and got > best.get((r, j), (0.0, 0.0, False))[1:]:
-                        best[(r, j)] = (float(cos[k, j]), *got)
-            for runs in items.runs:
-                for r, j, begin in runs.places(h, firsts):
-                    had, n = best.get((r, j), (0.0, 0.0, False)), len(items.words[j])
-                    if had[1:] == (1.0, True):
-                        continue
-                    # as far around as the cells of places reach
-                    more = 2 * max(STEP, n // 2)
-                    got = items.verify(j, words[max(firsts[r], begin - more) : min(firsts[r + 1], begin + n + more)])
-                    if got and got > had[1:]:
-                        p = np.searchsorted(starts, max(begin, firsts[r]), side="right") - 1
-                        near = slice(starts[p], ends[p + 1] if goes_on[p] else ends[p])
-                        cosine = weighted[b[near]].sum(axis=0) @ items.latent[:, j] / max(float(np.sqrt(square[b[near]].sum())), 1e-9)
-                        best[(r, j)] = (float(cosine), *got)
+            best = search.found(h, firsts)
             if best:
                 yield pd.DataFrame({
-                    "doc_id": [part["doc_id"].iloc[r] for r, _ in best], "item_id": [items.ids[j] for _, j in best],
+                    "doc_id": [part["doc_id"].iloc[r] for r, _ in best], "item_id": [ids[j] for _, j in best],
                     "cosine": [v[0] for v in best.values()], "lcs_share": [v[1] for v in best.values()], "answer_found": [v[2] for v in best.values()],
                 })
 
@@ -494,11 +513,22 @@ def _search(rows: DataFrame, ids: list, item_texts: list[str], idf: np.ndarray,
     return rows.mapInPandas(run, f"doc_id {kind}, item_id {item_type}, cosine double, lcs_share double, answer_found boolean")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, axes: int = AXES, corpus_weight: float = CORPUS_WEIGHT) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs_share, answer_found): the benchmark items
-    that a document's row holds, word for word or reworded."""
-    rows = texts(docs)
-    items = stash(texts(benchmark, "item_id").select(F.col("doc_id").alias("item_id"), "text"), "decontamination-items")
+def _holds(text: Column, search: Search) -> Column:
+    """Whether a text holds an item of the block."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        search.ready()
+        for b in batches:
+            out, done = np.zeros(len(b), dtype=bool), 0
+            for part, h, firsts in batched(iter([b.to_frame("text")])):
+                out[[done + r for r, _ in search.found(h, firsts)]] = True
+                done += len(part)
+            yield pd.Series(out)
+
+    return F.pandas_udf(run, "boolean")(text)
+
+
+def searches(rows: DataFrame, items: DataFrame, axes: int = AXES, corpus_weight: float = CORPUS_WEIGHT) -> Iterator[Search]:
+    """The query set, in blocks, each to meet all passages of ``rows``."""
     coded = stash(bucketed(rows), "decontamination-words")
     df, n = document_frequencies(coded)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.05)
@@ -507,22 +537,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, axes: int = AXES, corpus_weight
     fit_on = (coded.select("b", F.lit(False).alias("whole"), F.lit(weight).alias("weight"))
               .unionByName(bucketed(items).select("b", F.lit(True).alias("whole"), F.col("copies").cast("double").alias("weight"))))
     basis = latent_axes(fit_on, idf, axes)
-    kind = items.schema["item_id"].dataType.simpleString()
-    # the query set, in blocks: each block meets all passages
-    count = items.count()
-    found = None
-    blocks = max(1, -(-count // ITEM_BLOCK))
+    blocks = max(1, -(-items.count() // ITEM_BLOCK))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        part = _search(rows, [r["item_id"] for r in block], [r["text"] for r in block], idf, basis, kind)
+        yield Search([r["item_id"] for r in block], [r["text"] for r in block], idf, basis)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return stash(texts(benchmark, "item_id").select(F.col("doc_id").alias("item_id"), "text"), "decontamination-items")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, axes: int = AXES, corpus_weight: float = CORPUS_WEIGHT) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs_share, answer_found): the benchmark items
+    that a document's row holds, word for word or reworded."""
+    rows, items = texts(docs), _items(benchmark)
+    kind = items.schema["item_id"].dataType.simpleString()
+    found = None
+    for search in searches(rows, items, axes, corpus_weight):
+        part = _pairs(rows, search, kind)
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item. Rows are matched
-    by the digest of their text, so ids may be null or repeat."""
-    keyed = docs.select(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("doc_id"), F.col("text"))
-    bad = stash(leaks(keyed, benchmark).select(F.col("doc_id").alias("_sha")).distinct(), "decontamination-bad")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("_sha"))
-    return row.join(bad, "_sha", "left_anti").select("_row.*")
+    """``docs`` without the rows that hold a benchmark item. Each row is judged
+    by its own text where it lies, so that no text is shuffled and ids may be
+    null or repeat."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    out = docs
+    for search in searches(docs.select(text.alias("text")), _items(benchmark)):
+        out = out.where(~_holds(text, search))
+    return out
